@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, quality
+from gridloom.llm import decontaminate, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.drop("text")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"), clean=False).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op5_decontamination)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op5_decontamination)}
