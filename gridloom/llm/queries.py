@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, quality, substrings
+from gridloom.llm import decontaminate, quality, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"), clean=False).drop("text")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated(_table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op5_decontamination)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op5_decontamination, op10_suffix_array_dedup)}
