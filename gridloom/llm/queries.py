@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, quality, substrings, suffixes
+from gridloom.llm import decontaminate, lines, mixing, preferences, quality, substrings, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.drop("text")
@@ -27,9 +37,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"), clean=False).drop("text")
 
 
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are taken as the chosen and rejected of pair k."""
+    turns = _table(spark, sf_dir, "conversations")
+    return preferences.preference_pairs(turns, F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "source", "lang", mixing.lexical_topic(F.col("text")).alias("topic"), mixing.word_count(F.col("text")).alias("n_tokens"))
+    d = mixing.mixed(docs)
+    return d.withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)})
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated(_table(spark, sf_dir, "documents"), with_bytes=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_substring_dedup, op5_decontamination, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_preferences, op7_mixing, op10_suffix_array_dedup)}
