@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm import text as tx
+
 KEYS = ("doc_id", "row_key")
 
 
@@ -49,3 +54,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs (from keyed) with column packed (zstd) and size (bytes) for text, to be shuffled in less space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            data, bounds = tx.flat(batch.column("text"))
+            view = memoryview(data)
+            values = [codec.compress(view[a:b], asbytes=True) if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            others = [c for c in batch.schema.names if c != "text"]
+            columns = [*(batch.column(c) for c in others), pa.array(values, pa.binary()), pa.array(np.diff(bounds), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "packed", "size"])
+
+    others = ", ".join(f"`{c}` {k}" for c, k in docs.drop("text").dtypes)
+    return docs.mapInArrow(run, f"{others}, packed binary, size long")
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = tx.CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, text bytes and text bounds, for at most `limit` bytes of text (or one longer text) at a time."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        if "packed" not in batch.schema.names:
+            data, bounds = tx.flat(batch.column("text"))
+            for i, j in tx.chunked(bounds, limit):
+                yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            continue
+        sizes = batch.column("size").to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        texts = batch.column("packed")
+        for i, j in tx.chunked(bounds, limit):
+            raw = b"".join(codec.decompress(texts[k].as_buffer(), int(sizes[k]), asbytes=True) for k in range(i, j) if sizes[k])
+            yield batch.slice(i, j - i), np.frombuffer(raw, dtype=np.uint8), bounds[i : j + 1] - bounds[i]

@@ -10,7 +10,8 @@ last level compares the windows themselves, by 64-bit hash.
 
 Every run is first counted within its document, so a passage that repeats in one text is one
 row, and counts are added before and after the shuffle. What a document gets back are the
-hashes that survive; joins that send them back may split hot hashes (AQE skew join).
+places of runs that survive; joins that send them back may split hot hashes (AQE skew join).
+Texts are shuffled once, packed; a lost executor's share is computed anew from the input.
 
 Defined results: a null text is an empty one; rows with equal id and text are copies of each
 other (and so are removed like copies); rows of one id with different texts are different
@@ -62,12 +63,21 @@ def selected(runs: np.ndarray, least: np.ndarray, full: np.ndarray, width: int)
     return np.flatnonzero((runs == tx.sliding(best, width, np.maximum)) & (runs != 0))
 
 
-def _surviving(hashes: np.ndarray, room: np.ndarray, done: list[tuple[int, np.ndarray]], window: int, text_of: np.ndarray) -> np.ndarray:
-    """Whether each item starts a window that survived the levels so far. done: run length and surviving (text, hash) keys."""
+def _of_text(hashes: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """The same hashes, told apart by text."""
+    return hashes ^ tx.mix(text_of.astype(np.uint64) + np.uint64(1))
+
+
+def _surviving(w: tx.Words, hashes: np.ndarray, done: list[tuple[int, np.ndarray, np.ndarray]], window: int) -> np.ndarray:
+    """Whether each word starts a window that survived the levels in `done`.
+
+    done: run length, places in the text where a repeated run first stands there, and their texts.
+    """
+    room, text_of = w.room(), w.text_of()
     alive = room >= window
-    for run, keys in done:
-        _, least, _ = least_runs(hashes, room, run, window)
-        alive &= np.isin(least ^ tx.mix(text_of.astype(np.uint64) + np.uint64(1)), keys)
+    for run, places, of in done:
+        runs, least, _ = least_runs(hashes, room, run, window)
+        alive &= np.isin(_of_text(least, text_of), _of_text(runs[w.first[of] + places], of))
     return alive
 
 
@@ -75,19 +85,15 @@ def _mapped(docs: DataFrame, fn: Callable, schema: str, found: list[int]) -> Dat
     """fn(words, ids of the texts, keys, surviving keys by level) for each chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = tx.flat(batch.column("text"))
-            for i, j in tx.chunked(bounds):
-                w = tx.Words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], tx.NOT_BLANK)
-                done = []
-                for level in found:
-                    kept = batch.column(f"level_{level}").slice(i, j - i)
-                    of = _owners(kept)
-                    flat = kept.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    done.append((level, flat ^ tx.mix(of.astype(np.uint64) + np.uint64(1))))
-                out = fn(batch.slice(i, j - i), w, done)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch, data, bounds in rows.text_chunks(batches):
+            w = tx.Words(data, bounds, tx.NOT_BLANK)
+            done = []
+            for level in found:
+                kept = batch.column(f"level_{level}")
+                done.append((level, kept.flatten().to_numpy(zero_copy_only=False), _owners(kept)))
+            out = fn(batch, w, done)
+            if out is not None and out.num_rows:
+                yield out
 
     return docs.mapInArrow(run, schema)
 
@@ -99,37 +105,44 @@ def _owners(lists: pa.ListArray) -> np.ndarray:
 
 
 def _level_rows(docs: DataFrame, run: int, window: int, found: list[int]) -> DataFrame:
-    """(doc_id, row_key, run_hash, n): each document's runs of this level that stand for a surviving window."""
+    """(doc_id, row_key, run_hash, n, place): each document's runs of this level that stand for a surviving window.
+
+    Equal runs of a document are one row: how many, and the place of the first.
+    """
 
     def rows_of(batch: pa.RecordBatch, w: tx.Words, done: list) -> pa.RecordBatch | None:
-        h, room, text_of = w.hashes(), w.room(), w.text_of()
-        runs, least, full = least_runs(h, room, run, window)
-        full = _surviving(h, room, done, window, text_of) if done else full
+        h, text_of = w.hashes(), w.text_of()
+        runs, least, full = least_runs(h, w.room(), run, window)
+        full = _surviving(w, h, done, window) if done else full
         at = selected(runs, least, full, window - run + 1)
         if not len(at):
             return None
-        key = runs[at] ^ tx.mix(text_of[at].astype(np.uint64) + np.uint64(1))
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
+        _, first, n = np.unique(_of_text(runs[at], text_of[at]), return_index=True, return_counts=True)
         order = np.argsort(first)
         at, n = at[first[order]], n[order]
         mine = batch.select(["doc_id", "row_key"]).take(pa.array(text_of[at]))
-        return pa.RecordBatch.from_arrays([*mine.columns, pa.array(runs[at].view(np.int64)), pa.array(n.astype(np.int32))], names=["doc_id", "row_key", "run_hash", "n"])
+        places = (at - w.first[text_of[at]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*mine.columns, pa.array(runs[at].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(places)], names=["doc_id", "row_key", "run_hash", "n", "place"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return _mapped(docs, rows_of, f"doc_id {kind}, row_key long, run_hash long, n int", found)
+    return _mapped(docs, rows_of, f"doc_id {kind}, row_key long, run_hash long, n int, place int", found)
 
 
 def repeated_runs(docs: DataFrame, window: int = 35, start_words: int = 18) -> DataFrame:
-    """docs (from rows.keyed) with column `level_<window>`: hashes of its windows that also start elsewhere."""
+    """docs (from rows.keyed, packed) with column `level_<window>`: places of its windows that also start elsewhere.
+
+    Of equal windows of a document the first place is listed.
+    """
     steps, found = levels(window, start_words), []
+    texts = rows.packed(docs)
     out = docs
     for level in steps:
         runs = _level_rows(out, level, window, found)
         twice = runs.groupBy("run_hash").agg(F.sum("n").alias("n")).filter("n > 1").select("run_hash")
-        kept = runs.join(twice, "run_hash", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list("run_hash").alias(f"level_{level}"))
+        kept = runs.join(twice, "run_hash", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list("place").alias(f"level_{level}"))
         # Only documents with survivors go on; at the end each gets its last survivors, or none.
         last = level == steps[-1]
-        out = rows.with_info(docs if last or not found else out, kept, "left" if last else "inner")
+        out = rows.with_info(texts if last or not found else out, kept, "left" if last else "inner")
         found.append(level)
     return out
 
@@ -141,9 +154,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def rows_of(batch: pa.RecordBatch, w: tx.Words, done: list) -> pa.RecordBatch:
         gone = np.zeros(len(w), dtype=bool)
         if len(done[0][1]):
-            h, room, text_of = w.hashes(), w.room(), w.text_of()
-            _, windows, _ = least_runs(h, room, window, window)
-            starts = np.flatnonzero((room >= window) & np.isin(windows ^ tx.mix(text_of.astype(np.uint64) + np.uint64(1)), done[0][1]))
+            starts = np.flatnonzero(_surviving(w, w.hashes(), done, window))
             gone = tx.covered(starts, window, len(w))
         lost = tx.per_text(gone, w.first)
         digests, texts = [], []

@@ -122,18 +122,11 @@ def longest_matches(left: list[bytes], right: list[bytes], window: int) -> tuple
     return most_left, most_right
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        data, bounds = tx.flat(batch.column("text"))
-        for i, j in tx.chunked(bounds, CHUNK):
-            yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-
-
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, row_key, anchor, places): places of each document's anchors, by hash of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in _chunks(batches):
+        for batch, data, bounds in rows.text_chunks(batches, CHUNK):
             sizes = np.diff(bounds)
             room = np.repeat(bounds[1:], sizes) - np.arange(len(data))
             runs, least, full = least_runs(tx.BYTES[data], room, gram, window)
@@ -152,7 +145,7 @@ def _contexts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """The context of each place listed in column `found` (array of anchor and place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in _chunks(batches):
+        for batch, data, bounds in rows.text_chunks(batches, CHUNK):
             found = batch.column("found")
             of = _owners(found)
             if not len(of):
@@ -236,10 +229,11 @@ def _counted(contexts: DataFrame, window: int, gram: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 100, most_contexts: int = 20_000) -> DataFrame:
     """docs (from rows.keyed) with column spans: array of (start, end) byte stretches to remove, which may overlap."""
+    texts = rows.packed(docs)
     placed = rows.written(anchors(docs, window, gram), "anchors")
     twice = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found = placed.join(twice, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
-    around = _contexts(rows.with_info(docs, found, "inner"), window, gram)
+    around = _contexts(rows.with_info(texts, found, "inner"), window, gram)
     around = rows.written(around, "contexts")
     different = around.groupBy("anchor", "context", "check").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.max("around").alias("around"))
     crowded = different.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > most_contexts).select("anchor")
@@ -250,7 +244,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 100, most_con
         reach = _matched(different.join(crowded, "anchor", "left_anti"), window).unionByName(_counted(different.join(crowded, "anchor", "left_semi"), window, gram))
     spans = around.select("doc_id", "row_key", "context", "check", "place").join(reach, ["context", "check"])
     spans = spans.groupBy(*rows.KEYS).agg(F.collect_list(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
-    return rows.with_info(docs, spans)
+    return rows.with_info(texts, spans)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 100, most_contexts: int = 20_000, with_bytes: bool = True) -> DataFrame:
@@ -259,7 +253,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if with_bytes else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in _chunks(batches):
+        for batch, data, bounds in rows.text_chunks(batches, CHUNK):
             out = []
             for t, spans in enumerate(batch.column("spans").to_pylist()):
                 raw = data[bounds[t] : bounds[t + 1]].tobytes()
