@@ -27,7 +27,6 @@ equal rows have one result; component ids are the smallest doc_id of the compone
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import rows
 from gridloom.llm import text as tx
+from gridloom.llm.packing import pack_sorted, unpack_sorted
 
 #: Sizes at which a new band begins, each 16 times the last.
 EDGES = np.array([256 * 16**k for k in range(12)], dtype=np.int64)
@@ -122,31 +122,18 @@ class Sets:
         return np.concatenate(keys), np.concatenate(texts)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values: differences by byte plane, compressed."""
-    steps = np.diff(values, prepend=values[:1] * 0) if len(values) else values
-    planes = steps.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
-    return struct.pack("<q", len(values)) + pa.compress(planes, "zstd", asbytes=True)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<q", raw)
-    planes = np.frombuffer(pa.decompress(raw[8:], n * 8, "zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
-
-
 def identified(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, row_key, n, a, b (the set's identity) and sketch for each row of docs (from rows.keyed)."""
+    """doc_id, row_key, row_check, n, a, b (the set's identity) and sketch for each row of docs (from rows.keyed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in rows.text_chunks(batches):
             s = Sets(data, bounds, words)
             a, b = s.identities()
             sketch = pa.array([x.tobytes() for x in s.bit_sketches()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(s.sizes), pa.array(a), pa.array(b), sketch], names=["doc_id", "row_key", "n", "a", "b", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *rows.KEYS)), pa.array(s.sizes), pa.array(a), pa.array(b), sketch], names=["doc_id", *rows.KEYS, "n", "a", "b", "sketch"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, n long, a long, b long, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, row_check long, n long, a long, b long, sketch binary")
 
 
 def shared_keys(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
@@ -177,12 +164,12 @@ def shared_keys(docs: DataFrame, words: int, percent: int, ranges: int) -> DataF
             out = []
             here = int(key[0]) % ranges
             if local.any():
-                out.append((here, True, _pack(key[local]), text[local].astype(np.uint32).tobytes(), b"", np.ascontiguousarray(who.T).tobytes()))
+                out.append((here, True, pack_sorted(key[local]), text[local].astype(np.uint32).tobytes(), b"", np.ascontiguousarray(who.T).tobytes()))
             for r in range(ranges):
                 i, j = int(cuts[r]), int(cuts[r + 1])
                 if i < j:
                     texts, local_of = np.unique(kept_text[i:j], return_inverse=True)
-                    out.append((r, False, _pack(kept_key[i:j]), local_of.astype(np.uint16 if len(texts) < 65536 else np.uint32).tobytes(), np.packbits(known[i:j]).tobytes(), np.ascontiguousarray(who[:, texts].T).tobytes()))
+                    out.append((r, False, pack_sorted(kept_key[i:j]), local_of.astype(np.uint16 if len(texts) < 65536 else np.uint32).tobytes(), np.packbits(known[i:j]).tobytes(), np.ascontiguousarray(who[:, texts].T).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=["home", "local", "keys", "texts", "known", "who"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +190,7 @@ def shared_keys(docs: DataFrame, words: int, percent: int, ranges: int) -> DataF
 
         for batch in batches:
             for home, local, keys, texts, known, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, who = _unpack(keys), np.frombuffer(who, np.int64).reshape(-1, 3)
+                key, who = unpack_sorted(keys), np.frombuffer(who, np.int64).reshape(-1, 3)
                 text = np.frombuffer(texts, np.uint32 if len(texts) == 4 * len(key) else np.uint16)
                 if local:
                     yield row_batch(key, who[text])
@@ -272,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x_items").to_pylist(), batch.column("y_items").to_pylist(), strict=True):
-                p, q = _unpack(x), _unpack(y)
+                p, q = unpack_sorted(x), unpack_sorted(y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
@@ -303,14 +290,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = rows.keyed(docs, id_col, text_col)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     info = rows.written(identified(keyed, words), "sets")
-    classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("sketch").alias("sketch"))
-    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), F.col("first.row_key").alias("row_key"), "sketch"), "classes")
+    classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"))
+    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), "first.row_key", "first.row_check", "sketch"), "classes")
     announced = shared_keys(keyed, words, percent, max(1, math.ceil(size / range_bytes)))
     keys = announced.groupBy("key", "a", "b").agg(F.max("n").alias("n"))
     keys = rows.written(keys.join(classes.select("a", "b", "vertex"), ["a", "b"]).select("key", "vertex", "n"), "keys")
 
-    involved = keys.select("vertex").distinct().join(classes.select("vertex", "row_key"), "vertex")
-    texts = rows.with_info(rows.packed(keyed), involved.select(F.col("vertex").alias("doc_id"), "row_key", F.lit(True).alias("wanted")), "inner")
+    involved = keys.select("vertex").distinct().join(classes.select("vertex", *rows.KEYS), "vertex")
+    texts = rows.with_info(rows.packed(keyed), involved.select(*rows.KEYS, F.lit(True).alias("wanted")), "inner")
     sets = rows.written(_packed_sets(texts, words), "items")
 
     leaders = keys.groupBy("key").agg(F.min("vertex").alias("x"), F.min_by("n", "vertex").alias("m"))
@@ -339,7 +326,7 @@ def _packed_sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in rows.text_chunks(batches):
             s = Sets(data, bounds, words)
-            items = [_pack(s.hashes[s.first[d] : s.first[d + 1]]) for d in range(len(s.sizes))]
+            items = [pack_sorted(s.hashes[s.first[d] : s.first[d + 1]]) for d in range(len(s.sizes))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary())], names=["vertex", "items"])
 
     kind = dict(texts.dtypes)["doc_id"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard, lines, mixing, preferences, quality, substrings, suffixes, warc
+from gridloom.llm import decontaminate, jaccard, katz, lines, mixing, preferences, quality, substrings, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)})
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    return katz.katz_scores(_table(spark, sf_dir, "documents"), train)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -59,4 +64,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_preferences, op7_mixing, op9_jaccard_join, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_preferences, op7_mixing, op8_lm_scoring, op9_jaccard_join, op10_suffix_array_dedup)}
