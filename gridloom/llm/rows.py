@@ -8,28 +8,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm import text as tx
 
-KEYS = ("doc_id", "row_key")
+#: Two hashes of id and text, never null: they name a row in joins, whatever type its id has.
+KEYS = ("row_key", "row_check")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key and text (null: empty); row_key tells rows of one id with different texts apart."""
+    """doc_id, row_key, row_check and text (null: empty). Rows of one id with different texts differ in their keys."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-
-
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["row_key"] == right["row_key"])
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), F.xxhash64(text, F.lit("check"), F.col(id_col)).alias("row_check"), text.alias("text"))
 
 
 def with_info(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
-    """docs (from keyed) joined to one row of `info` for each (doc_id, row_key)."""
+    """docs (from keyed) joined to one row of `info` for each row name."""
     more = [c for c in info.columns if c not in KEYS]
-    return docs.join(info, same_row(docs, info), how).select(*(docs[c] for c in docs.columns), *(info[c] for c in more))
+    return docs.join(info, list(KEYS), how).select(*docs.columns, *more)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,8 +67,9 @@ def packed(docs: DataFrame) -> DataFrame:
             columns = [*(batch.column(c) for c in others), pa.array(values, pa.binary()), pa.array(np.diff(bounds), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, "packed", "size"])
 
-    others = ", ".join(f"`{c}` {k}" for c, k in docs.drop("text").dtypes)
-    return docs.mapInArrow(run, f"{others}, packed binary, size long")
+    # The nullability is kept, so that inner and outer joins with these rows can share one exchange.
+    more = [T.StructField("packed", T.BinaryType()), T.StructField("size", T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.drop("text").schema.fields, *more]))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = tx.CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

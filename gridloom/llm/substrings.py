@@ -105,7 +105,7 @@ def _owners(lists: pa.ListArray) -> np.ndarray:
 
 
 def _level_rows(docs: DataFrame, run: int, window: int, found: list[int]) -> DataFrame:
-    """(doc_id, row_key, run_hash, n, place): each document's runs of this level that stand for a surviving window.
+    """(row_key, row_check, run_hash, n, place): each document's runs of this level that stand for a surviving window.
 
     Equal runs of a document are one row: how many, and the place of the first.
     """
@@ -120,12 +120,11 @@ def _level_rows(docs: DataFrame, run: int, window: int, found: list[int]) -> Dat
         _, first, n = np.unique(_of_text(runs[at], text_of[at]), return_index=True, return_counts=True)
         order = np.argsort(first)
         at, n = at[first[order]], n[order]
-        mine = batch.select(["doc_id", "row_key"]).take(pa.array(text_of[at]))
+        mine = batch.select(list(rows.KEYS)).take(pa.array(text_of[at]))
         places = (at - w.first[text_of[at]]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([*mine.columns, pa.array(runs[at].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(places)], names=["doc_id", "row_key", "run_hash", "n", "place"])
+        return pa.RecordBatch.from_arrays([*mine.columns, pa.array(runs[at].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(places)], names=[*rows.KEYS, "run_hash", "n", "place"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return _mapped(docs, rows_of, f"doc_id {kind}, row_key long, run_hash long, n int, place int", found)
+    return _mapped(docs, rows_of, "row_key long, row_check long, run_hash long, n int, place int", found)
 
 
 def repeated_runs(docs: DataFrame, window: int = 35, start_words: int = 18) -> DataFrame:

@@ -2,9 +2,9 @@
 
 A sparse suffix array: of every window the `gram`-byte string of least hash is its anchor, so
 equal windows have equal anchors at equal offsets, and one position in about (window - gram) / 2
-is one. Anchors whose hash occurs once cannot be in a repeated window and go no further. The
-others are sent, with the bytes a window around them can span (their context), to the task of
-their hash, each different context once.
+is one. Anchors whose hash occurs once cannot be in a repeated window and go no further. Those
+whose contexts (the bytes a window around them can span) are all equal are repeated as far as
+these go. The contexts of the others are sent to the task of their anchor, each once.
 
 There the contexts of an anchor are suffixes to its right and, read backwards, to its left.
 Both are merge-sorted; two suffixes are compared by a binary search over their prefix
@@ -123,131 +123,125 @@ def longest_matches(left: list[bytes], right: list[bytes], window: int) -> tuple
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, row_key, anchor, places): places of each document's anchors, by hash of the anchor."""
+    """(row_key, row_check, anchor, place, context, before, after): each document's anchors.
+
+    anchor: hash of the anchor's bytes; context: hash of the bytes a window around it can span, of
+    which `before` precede it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in rows.text_chunks(batches, CHUNK):
-            sizes = np.diff(bounds)
-            room = np.repeat(bounds[1:], sizes) - np.arange(len(data))
+            room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))
             runs, least, full = least_runs(tx.BYTES[data], room, gram, window)
             at = selected(runs, least, full, window - gram + 1)
             if not len(at):
                 continue
             of = np.searchsorted(bounds, at, side="right") - 1
-            mine = batch.select(["doc_id", "row_key"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(runs[at].view(np.int64)), pa.array((at - bounds[of]).astype(np.int32))], names=["doc_id", "row_key", "anchor", "place"])
+            lo, hi = np.maximum(bounds[of], at - (window - gram)), np.minimum(bounds[of + 1], at + window)
+            context = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((at - lo).astype(np.uint64)))
+            mine = batch.select(list(rows.KEYS)).take(pa.array(of))
+            columns = [*mine.columns, pa.array(runs[at].view(np.int64)), pa.array((at - bounds[of]).astype(np.int32)), pa.array(context.view(np.int64)), pa.array((at - lo).astype(np.int32)), pa.array((hi - at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rows.KEYS, "anchor", "place", "context", "before", "after"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, anchor long, place int")
+    return docs.mapInArrow(run, "row_key long, row_check long, anchor long, place int, context long, before int, after int")
 
 
-def _contexts(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The context of each place listed in column `found` (array of anchor and place)."""
+def _spelled(docs: DataFrame) -> DataFrame:
+    """The bytes of the contexts listed in column `wanted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in rows.text_chunks(batches, CHUNK):
-            found = batch.column("found")
-            of = _owners(found)
-            if not len(of):
-                continue
-            flat = found.flatten()
-            place, anchor = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "anchor"))
-            at = bounds[of] + place
-            lo, hi = np.maximum(bounds[of], at - (window - gram)), np.minimum(bounds[of + 1], at + window)
-            first, second = tx.span_hashes(data, lo, hi), tx.span_hashes(data, lo, hi, tx.LOWER_BYTES[::-1].copy())
-            key = first ^ tx.mix(anchor.view(np.uint64) ^ tx.mix((at - lo).astype(np.uint64)))
+            wanted = batch.column("wanted")
+            of, flat = _owners(wanted), wanted.flatten()
+            at = bounds[of] + flat.field("place").to_numpy()
+            lo, hi = at - flat.field("before").to_numpy(), at + flat.field("after").to_numpy()
             raw = data.tobytes()
-            mine = batch.select(["doc_id", "row_key"]).take(pa.array(of))
-            _, index = np.unique(key, return_index=True)
-            fresh = np.zeros(len(key), dtype=bool)
-            fresh[index] = True
-            around = [raw[a:b] if f else None for a, b, f in zip(lo.tolist(), hi.tolist(), fresh.tolist(), strict=True)]
-            columns = [*mine.columns, pa.array(anchor), pa.array(place), pa.array(key.view(np.int64)), pa.array(second.view(np.int64)), pa.array((at - lo).astype(np.int32)), pa.array(around, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "anchor", "place", "context", "check", "before", "around"])
+            around = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "context", "before", "n")), around], names=["anchor", "context", "before", "n", "around"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, anchor long, place int, context long, check long, before int, around binary")
+    return docs.mapInArrow(run, "anchor long, context long, before int, n long, around binary")
+
+
+_REACH = "anchor long, context long, reach_left int, reach_right int"
+_ANSWER = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("reach_left", pa.int32()), ("reach_right", pa.int32())])
 
 
 def _matched(contexts: DataFrame, window: int) -> DataFrame:
-    """(context, check, reach_left, reach_right) from each anchor's contexts, which stand together in a partition."""
+    """How far each context is repeated, from each anchor's contexts, which stand together in a partition."""
 
-    def answers(group: list[tuple[int, int, int, bytes, bool]]) -> list[tuple[int, int, int, int]]:
-        lefts = [g[3][: g[2]][::-1] for g in group]
-        rights = [g[3][g[2] :] for g in group]
-        reach = longest_matches(lefts, rights, window) if len(group) > 1 else ([0], [0])
+    def answers(anchor: int, group: list[tuple[int, int, bytes, bool]]) -> list[tuple[int, int, int, int]]:
+        reach = longest_matches([g[2][: g[1]][::-1] for g in group], [g[2][g[1] :] for g in group], window)
         out = []
-        for k, (context, check, before, around, twice) in enumerate(group):
-            a, b = (before, len(around) - before) if twice and len(around) >= window else (reach[0][k], reach[1][k])
+        for (context, before, around, twice), left, right in zip(group, *reach, strict=True):
+            a, b = (before, len(around) - before) if twice else (left, right)
             if a + b >= window:
-                out.append((context, check, a, b))
+                out.append((anchor, context, a, b))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
         out: list[tuple[int, int, int, int]] = []
         for batch in batches:
-            for anchor, context, check, before, around, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, context, before, n, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != now:
-                    out += answers(group) if group else []
+                    out += answers(now, group) if group else []
                     now, group = anchor, []
-                group.append((context, check, before, around, twice))
+                group.append((context, before, around, n > 1))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["context", "check", "reach_left", "reach_right"]).cast(_ANSWER)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
                 out = []
-        if group and (out := answers(group)):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["context", "check", "reach_left", "reach_right"]).cast(_ANSWER)
-
-    ordered = contexts.select("anchor", "context", "check", "before", "around", (F.col("n") > 1).alias("twice")).repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "context long, check long, reach_left int, reach_right int")
-
+        if group and (out := answers(now, group)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
-_ANSWER = pa.schema([("context", pa.int64()), ("check", pa.int64()), ("reach_left", pa.int32()), ("reach_right", pa.int32())])
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _REACH)
 
 
-def _counted(contexts: DataFrame, window: int, gram: int) -> DataFrame:
+def _counted(contexts: DataFrame, window: int) -> DataFrame:
     """As _matched, for anchors with too many contexts: every window around the anchor is counted by its hash."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for anchor, context, check, before, around, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, context, before, n, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.frombuffer(around, dtype=np.uint8)
-                starts = np.arange(max(0, min(before, len(raw) - window) + 1))
-                if not len(starts):
-                    continue
-                h = tx.run_hashes(tx.BYTES[raw], window)[starts] ^ tx.mix(np.uint64(anchor & 0xFFFFFFFFFFFFFFFF) ^ tx.mix((before - starts).astype(np.uint64)))
-                out.append((np.full(len(starts), context), np.full(len(starts), check), before - starts, h.view(np.int64), np.full(len(starts), min(n, 2))))
+                starts = np.arange(min(before, len(raw) - window) + 1)
+                if len(starts):
+                    h = tx.run_hashes(tx.BYTES[raw], window)[starts] ^ tx.mix((before - starts).astype(np.uint64))
+                    out.append((np.full(len(starts), anchor), np.full(len(starts), context), before - starts, h.view(np.int64), np.full(len(starts), n)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["context", "check", "back", "window_hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["anchor", "context", "back", "window_hash", "n"])
 
-    each = contexts.select("anchor", "context", "check", "before", "around", "n").mapInArrow(windows, "context long, check long, back long, window_hash long, n long")
-    twice = each.groupBy("window_hash").agg(F.sum("n").alias("n")).filter("n > 1").select("window_hash")
-    hit = each.join(twice, "window_hash", "left_semi")
-    return hit.groupBy("context", "check").agg(F.max("back").cast("int").alias("reach_left"), (window - F.min("back")).cast("int").alias("reach_right"))
+    each = contexts.mapInArrow(windows, "anchor long, context long, back long, window_hash long, n long")
+    twice = each.groupBy("anchor", "window_hash").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window_hash")
+    hit = each.join(twice, ["anchor", "window_hash"], "left_semi")
+    return hit.groupBy("anchor", "context").agg(F.max("back").cast("int").alias("reach_left"), (window - F.min("back")).cast("int").alias("reach_right"))
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 100, most_contexts: int = 20_000) -> DataFrame:
-    """docs (from rows.keyed) with column spans: array of (start, end) byte stretches to remove, which may overlap."""
+def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 100, most_contexts: int = 4000) -> DataFrame:
+    """docs (from rows.keyed, packed) with column spans: (start, end) byte stretches to remove, which may overlap."""
     texts = rows.packed(docs)
     placed = rows.written(anchors(docs, window, gram), "anchors")
     twice = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    found = placed.join(twice, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct("anchor", "place")).alias("found"))
-    around = _contexts(rows.with_info(texts, found, "inner"), window, gram)
-    around = rows.written(around, "contexts")
-    different = around.groupBy("anchor", "context", "check").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.max("around").alias("around"))
-    crowded = different.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > most_contexts).select("anchor")
-    crowded = rows.written(crowded, "crowded")
+    found = rows.written(placed.join(twice, "anchor", "left_semi"), "found")
+    where = F.struct(*rows.KEYS, "place", "before", "after")
+    different = rows.written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(where).alias("at")).select("anchor", "context", "n", "at.*"), "different")
+    counts = rows.written(different.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
+    # Contexts that are all there is of their anchor need no bytes: their copies are alike throughout.
+    alone = different.join(counts, "anchor", "left_anti").filter(F.col("before") + F.col("after") >= window)
+    reach = alone.select("anchor", "context", F.col("before").alias("reach_left"), F.col("after").alias("reach_right"))
+    several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct("anchor", "context", "n", "place", "before", "after")).alias("wanted"))
+    spelled = _spelled(rows.with_info(texts, several, "inner"))
+    crowded = counts.filter(F.col("m") > most_contexts).select("anchor")
     if crowded.isEmpty():
-        reach = _matched(different, window)
+        reach = reach.unionByName(_matched(spelled, window))
     else:
-        reach = _matched(different.join(crowded, "anchor", "left_anti"), window).unionByName(_counted(different.join(crowded, "anchor", "left_semi"), window, gram))
-    spans = around.select("doc_id", "row_key", "context", "check", "place").join(reach, ["context", "check"])
+        reach = reach.unionByName(_matched(spelled.join(crowded, "anchor", "left_anti"), window)).unionByName(_counted(spelled.join(crowded, "anchor", "left_semi"), window))
+    spans = found.select(*rows.KEYS, "anchor", "context", "place").join(reach, ["anchor", "context"])
     spans = spans.groupBy(*rows.KEYS).agg(F.collect_list(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
     return rows.with_info(texts, spans)
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 100, most_contexts: int = 20_000, with_bytes: bool = True) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 100, most_contexts: int = 4000, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if with_bytes) kept_bytes for each row of docs."""
     d = repeated_spans(rows.keyed(docs, id_col, text_col), window, gram, most_contexts)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if with_bytes else [])]
