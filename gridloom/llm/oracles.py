@@ -74,8 +74,8 @@ d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[
 win as (select distinct item_id, least(10, len(words)) as n, array_to_string(list_slice(words, i + 1, i + least(10, len(words))), ' ') as win
   from (select *, unnest(range(len(words) - least(10, len(words)) + 1)) as i from b where len(words) > 0)),
 sizes as (select distinct n from win),
-at as (select doc_id, n, i, array_to_string(list_slice(words, i + 1, i + n), ' ') as win from (select doc_id, words, n, unnest(range(len(words) - n + 1)) as i from d, sizes where len(words) >= n)),
-hit as (select doc_id, i, at.n, item_id from at join win on at.n = win.n and at.win = win.win),
+spot as (select doc_id, n, i, array_to_string(list_slice(words, i + 1, i + n), ' ') as win from (select doc_id, words, n, unnest(range(len(words) - n + 1)) as i from d, sizes where len(words) >= n)),
+hit as (select doc_id, i, spot.n, item_id from spot join win on spot.n = win.n and spot.win = win.win),
 words_hit as (select doc_id, count(distinct i + k)::bigint as n_hit from (select distinct doc_id, i, n from hit), range(10) t(k) where k < n group by doc_id),
 items as (select doc_id, count(*)::bigint as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from hit) group by doc_id)
 select d.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
@@ -89,14 +89,14 @@ sizes as (select pair_id, coalesce(max(many) filter (is_chosen), 0) as c, coales
 differs as (select a.pair_id, min(a.k) as k from n a join n b on a.pair_id = b.pair_id and a.k = b.k and a.is_chosen and not b.is_chosen where a.role <> b.role or a.text <> b.text group by a.pair_id),
 p as (select s.pair_id, c, r, coalesce(d.k - 1, least(c, r)) as prompt_turns from sizes s left join differs d using (pair_id)),
 piece as (select n.*, prompt_turns, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as piece from n join p using (pair_id)),
-at as (select *, coalesce(sum(length(piece)) filter (k > prompt_turns) over (partition by pair_id, is_chosen order by k), 0) - length(piece) as begin_at from piece),
+spot as (select *, coalesce(sum(length(piece)) filter (k > prompt_turns) over (partition by pair_id, is_chosen order by k), 0) - length(piece) as begin_at from piece),
 text as (select pair_id,
     coalesce(string_agg(piece, '' order by k) filter (is_chosen and k <= prompt_turns), '') as prompt,
     coalesce(string_agg(piece, '' order by k) filter (is_chosen and k > prompt_turns), '') as chosen,
     coalesce(string_agg(piece, '' order by k) filter (not is_chosen and k > prompt_turns), '') as rejected,
     coalesce(string_agg((begin_at + length(role) + 5)::bigint || '-' || (begin_at + length(piece) - 1)::bigint, ',' order by k) filter (is_chosen and k > prompt_turns and role = 'assistant'), '') as chosen_mask,
     coalesce(string_agg((begin_at + length(role) + 5)::bigint || '-' || (begin_at + length(piece) - 1)::bigint, ',' order by k) filter (not is_chosen and k > prompt_turns and role = 'assistant'), '') as rejected_mask
-  from at group by pair_id)
+  from spot group by pair_id)
 select p.pair_id, case when c = 0 or r = 0 then 'unpaired' when prompt_turns = c and prompt_turns = r then 'identical' when prompt_turns in (c, r) then 'prefix' else 'pair' end as status,
   prompt_turns::bigint as prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask
 from p join text using (pair_id)
@@ -139,8 +139,8 @@ with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text,
 s as (select distinct doc_id, md5(array_to_string(list_slice(words, i + 1, i + least(5, len(words))), ' ')) as h
   from (select *, unnest(range(len(words) - least(5, len(words)) + 1)) as i from d where len(words) > 0)),
 n as (select doc_id, count(*)::bigint as n from s group by doc_id),
-both as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.h = b.h and a.doc_id <> b.doc_id group by all),
-link as (select x, y from both join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 75 * (p.n + q.n - k)),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.h = b.h and a.doc_id <> b.doc_id group by all),
+link as (select x, y from shared join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 75 * (p.n + q.n - k)),
 reach(x, y) as (select doc_id, doc_id from d union select r.x, l.y from reach r join link l on r.y = l.x)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(y) from reach r where r.x = d.doc_id) as component_id from d left join n using (doc_id)
 """
