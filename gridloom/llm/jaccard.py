@@ -301,7 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = rows.written(_packed_sets(texts, words), "items")
 
     leaders = keys.groupBy("key").agg(F.min("vertex").alias("x"), F.min_by("n", "vertex").alias("m"))
-    star = keys.join(leaders, "key").filter(f"vertex != x and 100 * least(n, m) >= {percent} * greatest(n, m)").select("x", F.col("vertex").alias("y")).distinct()
+    star = rows.join_hot(keys, leaders, ["key"]).filter(f"vertex != x and 100 * least(n, m) >= {percent} * greatest(n, m)").select("x", F.col("vertex").alias("y")).distinct()
     sketches = classes.select("vertex", "n", "sketch")
     links = rows.written(_verified(_within_bounds(star, sketches, percent), sets, percent), "links-1")
     labels = components(links)
@@ -309,7 +309,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = keys.join(labels, "vertex", "left").select("key", "vertex", "n", F.coalesce("label", "vertex").alias("label"))
     named = rows.written(named, "named")
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("g")).filter("low != high").select("key", "g")
-    member = named.join(open_keys, "key").join(sketches.select("vertex", "sketch"), "vertex")
+    member = rows.join_hot(named, open_keys, ["key"]).join(sketches.select("vertex", "sketch"), "vertex")
     blocks = F.ceil(F.col("g") / F.lit(block)).cast("int")
     member = member.withColumn("side", F.pmod(F.xxhash64("vertex"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     member = member.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})

@@ -87,3 +87,17 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = tx.CHUNK) -> Ite
         for i, j in tx.chunked(bounds, limit):
             raw = b"".join(codec.decompress(texts[k].as_buffer(), int(sizes[k]), asbytes=True) for k in range(i, j) if sizes[k])
             yield batch.slice(i, j - i), np.frombuffer(raw, dtype=np.uint8), bounds[i : j + 1] - bounds[i]
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined to `right`, an aggregate of left by `on` (the last of which is a long), so that hot keys can be split.
+
+    An aggregate already lies dealt out by its keys, and a join that reads it so is bound to that deal. Keys the
+    optimizer takes for new ones give both sides exchanges of their own, whose large partitions AQE splits.
+    """
+    last = on[-1]
+    right = right.select(*(F.col(c).alias(f"__{c}") for c in on[:-1]), F.col(last).bitwiseXOR(F.lit(1)).alias(f"__{last}"), *(c for c in right.columns if c not in on))
+    same = left[last].bitwiseXOR(F.lit(1)) == right[f"__{last}"]
+    for c in on[:-1]:
+        same = same & (left[c] == right[f"__{c}"])
+    return left.join(right, same, how).drop(*(f"__{c}" for c in on))

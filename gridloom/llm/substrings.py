@@ -138,7 +138,7 @@ def repeated_runs(docs: DataFrame, window: int = 35, start_words: int = 18) -> D
     for level in steps:
         runs = _level_rows(out, level, window, found)
         twice = runs.groupBy("run_hash").agg(F.sum("n").alias("n")).filter("n > 1").select("run_hash")
-        kept = runs.join(twice, "run_hash", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list("place").alias(f"level_{level}"))
+        kept = rows.join_hot(runs, twice, ["run_hash"], "left_semi").groupBy(*rows.KEYS).agg(F.collect_list("place").alias(f"level_{level}"))
         # Only documents with survivors go on; at the end each gets its last survivors, or none.
         last = level == steps[-1]
         out = rows.with_info(texts if last or not found else out, kept, "left" if last else "inner")

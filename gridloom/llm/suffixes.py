@@ -213,7 +213,7 @@ def _counted(contexts: DataFrame, window: int) -> DataFrame:
 
     each = contexts.mapInArrow(windows, "anchor long, context long, back long, window_hash long, n long")
     twice = each.groupBy("anchor", "window_hash").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window_hash")
-    hit = each.join(twice, ["anchor", "window_hash"], "left_semi")
+    hit = rows.join_hot(each, twice, ["anchor", "window_hash"], "left_semi")
     return hit.groupBy("anchor", "context").agg(F.max("back").cast("int").alias("reach_left"), (window - F.min("back")).cast("int").alias("reach_right"))
 
 
@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 100, most_con
     texts = rows.packed(docs)
     placed = rows.written(anchors(docs, window, gram), "anchors")
     twice = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    found = rows.written(placed.join(twice, "anchor", "left_semi"), "found")
+    found = rows.written(rows.join_hot(placed, twice, ["anchor"], "left_semi"), "found")
     where = F.struct(*rows.KEYS, "place", "before", "after")
     different = rows.written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(where).alias("at")).select("anchor", "context", "n", "at.*"), "different")
     counts = rows.written(different.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "counts")

@@ -133,7 +133,7 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, fi
     # Who refers to whom, on digests; these rows sort right before their pages.
     slim = p.filter((F.col("payload_bytes") >= revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("digest"), "payload_bytes")
     kept = slim.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = slim.join(kept, ["digest", "payload_bytes"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to")
+    refers = rows.join_hot(slim, kept, ["digest", "payload_bytes"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to")
     stream = p.select("page_id", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(
         refers.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     )
