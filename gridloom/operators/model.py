@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scorer(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 64) -> Callable:
-    """A column function from an array of floats to the model's scores, an array of doubles."""
-    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+def scorer(load: Callable[[], Callable[[np.ndarray], np.ndarray]], width: int, batch_size: int = 64) -> Callable:
+    """A column function from an array of `width` floats to the model's scores, an array of doubles."""
+    return predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[[width]])
 
 
 def trained(rows: DataFrame, features: str, label: str, rounds: int = 10, strength: float = 0.0) -> LogisticRegressionModel:
