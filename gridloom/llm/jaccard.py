@@ -140,7 +140,7 @@ def shared_keys(docs: DataFrame, words: int, percent: int, ranges: int) -> DataF
     """(key, a, b, n): the announced keys that two different sets have, with those sets (maybe repeated)."""
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in rows.text_chunks(batches, 2 * tx.CHUNK):
+        for batch, data, bounds in rows.text_chunks(batches, 4 << 20):
             s = Sets(data, bounds, words)
             a, b = s.identities()
             _, index, klass = np.unique(a, return_index=True, return_inverse=True)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard, katz, lines, mixing, preferences, quality, substrings, suffixes, warc
+from gridloom.llm import decontaminate, jaccard, katz, lines, mixing, preferences, quality, rows, substrings, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

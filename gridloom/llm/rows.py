@@ -18,6 +18,16 @@ from gridloom.llm import text as tx
 KEYS = ("row_key", "row_check")
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Hand Python at most `most` bytes of rows at a time, so that long texts do not fill its workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower()
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    size = int("".join(c for c in now if c.isdigit() or c == "-") or -1) * unit
+    if size <= 0 or size > most:
+        spark.conf.set(name, f"{most}b")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key, row_check and text (null: empty). Rows of one id with different texts differ in their keys."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

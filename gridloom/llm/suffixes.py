@@ -36,7 +36,7 @@ from gridloom.llm import rows
 from gridloom.llm import text as tx
 from gridloom.llm.substrings import _owners, least_runs, selected
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 class SortedSuffixes:
@@ -217,7 +217,7 @@ def _counted(contexts: DataFrame, window: int) -> DataFrame:
     return hit.groupBy("anchor", "context").agg(F.max("back").cast("int").alias("reach_left"), (window - F.min("back")).cast("int").alias("reach_right"))
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 100, most_contexts: int = 4000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 40, most_contexts: int = 4000) -> DataFrame:
     """docs (from rows.keyed, packed) with column spans: (start, end) byte stretches to remove, which may overlap."""
     texts = rows.packed(docs)
     placed = rows.written(anchors(docs, window, gram), "anchors")
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 100, most_con
     return rows.with_info(texts, spans)
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 100, most_contexts: int = 4000, with_bytes: bool = True) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 40, most_contexts: int = 4000, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if with_bytes) kept_bytes for each row of docs."""
     d = repeated_spans(rows.keyed(docs, id_col, text_col), window, gram, most_contexts)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if with_bytes else [])]

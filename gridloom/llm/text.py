@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _RANDOM = np.random.default_rng(5_150_211)
 BYTES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
