@@ -48,15 +48,17 @@ class Sets:
     """Distinct shingles of some texts, sorted within each text: text d has hashes[first[d]:first[d + 1]]."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, words: int) -> None:
-        w = tx.Words(data, bounds, tx.NOT_BLANK)
-        h, room, of = w.hashes(tx.LOWER_BYTES), w.room(), w.text_of()
+        h, counts = tx.word_hashes(data, bounds, tx.NOT_BLANK, tx.LOWER_BYTES)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        of = np.repeat(np.arange(len(counts)), counts)
+        room = np.repeat(first[1:], counts) - np.arange(len(h))
         runs = np.zeros(len(h), dtype=np.uint64)
         full = tx.run_hashes(h, words, words)
         runs[: len(full)] = full
         take = room >= words
         for k in range(1, words):  # a whole text of k words
             short = np.zeros(len(h), dtype=bool)
-            short[w.first[:-1][w.counts == k]] = True
+            short[first[:-1][counts == k]] = True
             some = tx.run_hashes(h, k, k)
             runs[: len(some)][short[: len(some)]] = some[short[: len(some)]]
             take |= short
@@ -140,7 +142,7 @@ def shared_keys(docs: DataFrame, words: int, percent: int, ranges: int) -> DataF
     """(key, a, b, n): the announced keys that two different sets have, with those sets (maybe repeated)."""
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in rows.text_chunks(batches, 4 << 20):
+        for batch, data, bounds in rows.text_chunks(batches, 2 << 20):
             s = Sets(data, bounds, words)
             a, b = s.identities()
             _, index, klass = np.unique(a, return_index=True, return_inverse=True)

@@ -85,31 +85,64 @@ def _tokens(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks: block, ids, train and n_tokens of the texts, vocabulary (sorted hashes) and codes of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for batch, data, bounds in rows.text_chunks(batches, block_bytes):
-            w = tx.Words(data, bounds, tx.NOT_BLANK)
-            tokens = np.full(len(w) + batch.num_rows, END, dtype=np.uint64)
-            tokens[np.arange(len(w)) + w.text_of()] = w.hashes(tx.LOWER_BYTES)
+        at, size = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            tokens = np.concatenate([t for _, t, _ in held])
             vocabulary, codes = np.unique(tokens, return_inverse=True)
-            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), c) for c in (batch.column("doc_id"), batch.column("train"), pa.array(w.counts + 1))]
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists, pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack_ints(codes)], pa.binary())], names=["block", "ids", "train", "n_tokens", "vocabulary", "codes"])
-            at += 1
+            texts = pa.Table.from_batches([b for b, _, _ in held]).combine_chunks()
+            columns = [*(texts.column(c).combine_chunks() for c in ("doc_id", "train")), pa.array(np.concatenate([n for _, _, n in held]))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, texts.num_rows], pa.int32()), c) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists, pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack_ints(codes)], pa.binary())], names=["block", "ids", "train", "n_tokens", "vocabulary", "codes"])
+
+        for batch, data, bounds in rows.text_chunks(batches):
+            hashes, counts = tx.word_hashes(data, bounds, tx.NOT_BLANK, tx.LOWER_BYTES)
+            tokens = np.full(len(hashes) + len(counts), END, dtype=np.uint64)
+            tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
+            held.append((batch.select(["doc_id", "train"]), tokens, counts + 1))
+            size += len(data)
+            if size >= block_bytes:
+                yield block()
+                at, size = at + 1, 0
+                held.clear()
+        if held:
+            yield block()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(run, f"block long, ids array<{kind}>, train array<boolean>, n_tokens array<long>, vocabulary binary, codes binary")
 
 
-class _Block:
-    """A block's row of _tokens, with what is known of its words (rows of reply_1) and pairs (reply_2)."""
+def _lists(batch: pa.RecordBatch, name: str, i: int) -> list[dict]:
+    """Entry i of a column of arrays of structs, as dictionaries of numbers and numpy arrays, without Python numbers."""
+    column = batch.column(name)
+    if not column[i].is_valid:
+        return []
+    structs = column.slice(i, 1).flatten()
+    out = []
+    for k in range(len(structs)):
+        entry = {}
+        for f in structs.type:
+            values = structs.field(f.name)
+            entry[f.name] = values.slice(k, 1).flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(f.type) else values[k].as_py()
+        out.append(entry)
+    return sorted(out, key=lambda r: r["home"])
 
-    def __init__(self, row: dict) -> None:
-        self.lengths = np.array(row["n_tokens"], dtype=np.int64)
-        self.vocabulary, self.codes = unpack_sorted(row["vocabulary"]), unpack_ints(row["codes"]).astype(np.int64)
-        self.train = np.repeat(np.array(row["train"], dtype=bool), self.lengths)
-        if row.get("words") is not None:
-            parts = sorted(row["words"], key=lambda r: r["home"])
-            self.id = np.concatenate([np.array(r["ids"], dtype=np.int64) for r in parts])
-            self.count = np.concatenate([np.array(r["counts"], dtype=np.int64) for r in parts])
+
+class _Block:
+    """Row i of a batch of _tokens, with what is known of its words (column words)."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
+        get = lambda name: batch.column(name).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+        self.name = batch.column("block")[i].as_py()
+        self.lengths = get("n_tokens").astype(np.int64)
+        self.texts_train = get("train").astype(bool)
+        self.vocabulary, self.codes = unpack_sorted(batch.column("vocabulary")[i].as_py()), unpack_ints(batch.column("codes")[i].as_py()).astype(np.int64)
+        self.train = np.repeat(self.texts_train, self.lengths)
+        if "words" in batch.schema.names:
+            parts = _lists(batch, "words", i)
+            self.id = np.concatenate([r["ids"] for r in parts])
+            self.count = np.concatenate([r["counts"] for r in parts])
 
     def train_counts(self) -> np.ndarray:
         return np.bincount(self.codes[self.train], minlength=len(self.vocabulary))
@@ -147,12 +180,12 @@ def _homes(pairs: np.ndarray, ids: int, homes: int, hot: dict[int, int]) -> np.n
 def _ask_words(tokens: DataFrame, homes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row)
+            for i in range(batch.num_rows):
+                b = _Block(batch, i)
                 count = b.train_counts()
                 home = ((b.vocabulary >> np.uint64(32)) * np.uint64(homes) >> np.uint64(32)).astype(np.int64)
                 cut = np.searchsorted(home, np.arange(homes + 1))
-                out = [(h, row["block"], pack_sorted(b.vocabulary[i:j]), pack_ints(count[i:j])) for h, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if i < j]
+                out = [(h, b.name, pack_sorted(b.vocabulary[x:y]), pack_ints(count[x:y])) for h, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if x < y]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["home", "block", "keys", "counts"])
 
     return tokens.select("block", "train", "n_tokens", "vocabulary", "codes").mapInArrow(run, "home int, block long, keys binary, counts binary")
@@ -204,8 +237,8 @@ def _answer_words(asked: DataFrame, homes: int) -> DataFrame:
 def _ask_pairs(blocks: DataFrame, ids: int, homes: int, hot: dict[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row)
+            for i in range(batch.num_rows):
+                b = _Block(batch, i)
                 b.pair_up(ids)
                 home = _homes(b.pairs, ids, homes, hot)
                 order = np.argsort(home, kind="stable")
@@ -213,10 +246,10 @@ def _ask_pairs(blocks: DataFrame, ids: int, homes: int, hot: dict[int, int]) ->
                 back = b.backing[~np.isin(b.backing, list(hot))]
                 back_home = _homes(back * ids, ids, homes, hot)
                 out = []
-                for h, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                    mine, ask = order[i:j], back[back_home == h]
+                for h, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    mine, ask = order[x:y], back[back_home == h]
                     if len(mine) or len(ask):
-                        out.append((h, row["block"], pack_sorted(b.pairs[mine]), pack_ints(b.pair_train[mine]), pack_ints(b.pair_word_count[mine]), pack_sorted(ask)))
+                        out.append((h, b.name, pack_sorted(b.pairs[mine]), pack_ints(b.pair_train[mine]), pack_ints(b.pair_word_count[mine]), pack_sorted(ask)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["home", "block", "pairs", "counts", "word_counts", "back"])
 
@@ -275,8 +308,8 @@ def backoff(totals: np.ndarray, seen: np.ndarray, rare: np.ndarray, d: np.ndarra
 def _scored(blocks: DataFrame, model: WordModel, d: np.ndarray, ids: int, homes: int, hot: dict[int, int], hot_weights: dict[int, tuple[float, bool]], kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row)
+            for i in range(batch.num_rows):
+                b = _Block(batch, i)
                 b.pair_up(ids)
                 p_word = model.probability(b.count)[b.codes]
                 home = _homes(b.pairs, ids, homes, hot)
@@ -285,11 +318,11 @@ def _scored(blocks: DataFrame, model: WordModel, d: np.ndarray, ids: int, homes:
                 count = np.zeros(len(b.pairs), dtype=np.int64)
                 whole: list[np.ndarray] = [np.array([v for v, (_, w) in hot_weights.items() if w], dtype=np.int64)]
                 names, weights = [np.array(list(hot_weights), dtype=np.int64)], [np.array([w for w, _ in hot_weights.values()], dtype=np.float64)]
-                for r in row["replies"] or ():
+                for r in _lists(batch, "replies", i):
                     count[home == r["home"]] = r["counts"]
-                    whole.append(np.array(r["firsts"], dtype=np.int64))
+                    whole.append(r["firsts"])
                     names.append(back[back_home == r["home"]])
-                    weights.append(backoff(np.array(r["totals"], dtype=np.int64), np.array(r["seen"], dtype=np.float64), np.array(r["rare"], dtype=np.int64).reshape(-1, KEEP), d))
+                    weights.append(backoff(r["totals"], r["seen"], r["rare"].reshape(-1, KEEP), d))
                 name, weight = np.concatenate(names), np.concatenate(weights)
                 order = np.argsort(name)
                 name, weight = name[order], weight[order]
@@ -303,8 +336,8 @@ def _scored(blocks: DataFrame, model: WordModel, d: np.ndarray, ids: int, homes:
                 c = b.count[b.codes]
                 base = np.log10((c + 1) / (model.tokens + model.words + 1))
                 cut = np.concatenate([[0], np.cumsum(b.lengths)])[:-1]
-                columns = [row["ids"], [not t for t in row["train"]], b.lengths, np.add.reduceat(c > 0, cut, dtype=np.int64), np.full(len(cut), model.tokens), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+                columns = [batch.column("ids").slice(i, 1).flatten(), ~b.texts_train, b.lengths, np.add.reduceat(c > 0, cut, dtype=np.int64), np.full(len(cut), model.tokens), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)]
+                yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(v, f.type) for v, f in zip(columns[1:], list(schema)[1:], strict=True))], schema=schema)
 
     id_type = blocks.schema["ids"].dataType.elementType
     schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -315,7 +348,7 @@ def _grouped(replies: DataFrame, fields: list[str], name: str) -> DataFrame:
     return replies.filter("kind = 'reply'").groupBy("block").agg(F.collect_list(F.struct("home", *fields)).alias(name))
 
 
-def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, home_bytes: int = 8 << 20, hot: int | None = None) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, home_bytes: int = 8 << 20, hot: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
     base_score: sum of log10((c + 1) / (N + V + 1)) over its tokens; score: log10 of the model's probability of the text.

@@ -47,7 +47,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        if size > 4 * CHUNK:
+        if size > 4 * CHUNK:  # for a long text: not worth keeping
             return both[0], both[1]
         _powers.clear()
         _powers[size] = (both[0], both[1])
@@ -129,10 +129,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
         return np.zeros(0, dtype=np.uint64)
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
+    np.take(table, data, out=sums[1:])
+    sums[1:] *= up[: len(data)]
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray, table: np.ndarray = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the number of words of each text, taken `CHUNK` bytes at a time."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in chunked(bounds):
+        w = Words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], keep)
+        hashes.append(w.hashes(table))
+        counts.append(w.counts)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def run_hashes(items: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of every n consecutive items; whether they are of one text is for the caller."""
     many = len(items) - n + 1
@@ -140,7 +152,8 @@ def run_hashes(items: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     up, down = powers(len(items))
     sums = np.zeros(len(items) + 1, dtype=np.uint64)
-    np.cumsum(items * up[: len(items)], out=sums[1:])
+    np.multiply(items, up[: len(items)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * down[:many], salt)
 
 
