@@ -6,9 +6,11 @@ two texts' sketches, and the number of pieces that differ, is at most the size o
 difference. Texts of sizes x <= y with similarity t or more differ in at most
 (x + y)(1 - t) / (1 + t) shingles, which is at most d(s) = s (1 - t) / t for either size s.
 
-Pigeonhole: each text announces its first d + 1 pieces that are not empty, in one order for all.
-Of the smaller announcement at most d pieces differ, so linked texts agree in a piece both
-announce. Small texts have a piece for each shingle; above `EDGES` the number of pieces belongs to
+Pigeonhole: each text announces its first d + 1 pieces that are not empty, in one order for all
+pieces there are. At most d of a text's pieces are not the other's, so the first piece that linked
+texts agree in is announced by both. Any order will do; here pieces of common shingles only (a
+bounded list, of those that most often stand in several texts of a chunk) come last, so that
+boilerplate is announced only by texts made of it. The list decides on work, never on results. Small texts have a piece for each shingle; above `EDGES` the number of pieces belongs to
 a size band, and a text near a band's lower edge announces in the band below, too.
 
 Announcements travel packed: a chunk of texts sends each key once, with the text that has it. A
@@ -88,9 +90,15 @@ class Sets:
         np.bitwise_xor.at(out, cell, np.uint64(1) << (bit & np.uint64(63)))
         return out.reshape(len(self.sizes), SKETCH_WORDS)
 
-    def announced(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and their texts: the first d + 1 pieces that are not empty, for each band of each text."""
+    def announced(self, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and their texts: the first d + 1 pieces that are not empty, for each band of each text.
+
+        common: sorted hashes of shingles whose pieces come last.
+        """
         keys, texts = [], []
+        rare = np.ones(len(self.hashes), dtype=bool)
+        if len(common):
+            rare = common[np.minimum(np.searchsorted(common, self.hashes), len(common) - 1)] != self.hashes
         need = self.sizes * (100 - percent) // percent + 1
         own = np.searchsorted(EDGES, self.sizes, side="right")
         for band in range(own.max(initial=-1) + 1):
@@ -99,7 +107,7 @@ class Sets:
                 mine |= (own == band + 1) & (percent * self.sizes < 100 * EDGES[band])
             mine &= self.sizes > 0
             pick = mine[self.of]
-            of, h = self.of[pick], self.hashes[pick]
+            of, h, first_half = self.of[pick], self.hashes[pick], rare[pick]
             if not len(of):
                 continue
             if band:
@@ -109,8 +117,10 @@ class Sets:
                 order = np.argsort(slot, kind="stable")
                 slot = slot[order]
                 begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-                of = of[order][begin]
+                of, first_half = of[order][begin], np.logical_or.reduceat(first_half[order], begin)
                 h = tx.mix(np.bitwise_xor.reduceat(h[order], begin) ^ (piece[order][begin] << np.uint64(20)), band)
+            order = np.lexsort((h, ~first_half, of))
+            of, h = of[order], h[order]
             start = np.searchsorted(of, np.arange(len(self.sizes)))
             nth = np.arange(len(of)) - start[of]
             have = np.bincount(of, minlength=len(self.sizes))
@@ -125,22 +135,39 @@ class Sets:
 
 
 def identified(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, row_key, row_check, n, a, b (the set's identity) and sketch for each row of docs (from rows.keyed)."""
+    """doc_id, row_key, row_check, n, a, b (the set's identity) and sketch for each row of docs (from rows.keyed).
+
+    again, again_n: on the first row of a chunk, shingles that several different sets of it have, and how many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in rows.text_chunks(batches):
+        for batch, data, bounds in rows.text_chunks(batches, 4 << 20):
             s = Sets(data, bounds, words)
             a, b = s.identities()
+            _, index = np.unique(a, return_index=True)
+            once = np.zeros(len(a), dtype=bool)
+            once[index] = True
+            h, many = np.unique(s.hashes[once[s.of]], return_counts=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, *[int((many > 1).sum())] * len(a)], pa.int32()), pa.array(x[many > 1])) for x in (h.view(np.int64), many)]
             sketch = pa.array([x.tobytes() for x in s.bit_sketches()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *rows.KEYS)), pa.array(s.sizes), pa.array(a), pa.array(b), sketch], names=["doc_id", *rows.KEYS, "n", "a", "b", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *rows.KEYS)), pa.array(s.sizes), pa.array(a), pa.array(b), sketch, *lists], names=["doc_id", *rows.KEYS, "n", "a", "b", "sketch", "again", "again_n"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, row_check long, n long, a long, b long, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, row_check long, n long, a long, b long, sketch binary, again array<long>, again_n array<long>")
 
 
-def shared_keys(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
+def common_shingles(info: DataFrame, most: int = 300_000, least: int = 8) -> np.ndarray:
+    """Sorted hashes of the shingles that most often stand in several texts of a chunk, at most `most`."""
+    each = info.select(F.explode(F.arrays_zip("again", "again_n")).alias("x")).groupBy(F.col("x.again").alias("h")).agg(F.sum("x.again_n").alias("n"))
+    found = each.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "h").limit(most).select("h")
+    return np.sort(found.toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: int, ranges: int) -> DataFrame:
     """(key, a, b, n): the announced keys that two different sets have, with those sets (maybe repeated)."""
 
+    common = docs.sparkSession.sparkContext.broadcast(common_list)
+
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in rows.text_chunks(batches, 2 << 20):
             s = Sets(data, bounds, words)
@@ -148,7 +175,7 @@ def shared_keys(docs: DataFrame, words: int, percent: int, ranges: int) -> DataF
             _, index, klass = np.unique(a, return_index=True, return_inverse=True)
             once = np.zeros(len(a), dtype=bool)
             once[index] = True  # one text of each class speaks for it
-            key, text = s.announced(percent)
+            key, text = s.announced(percent, common.value)
             key, text = key[once[text]], text[once[text]]
             order = np.argsort(key, kind="stable")
             key, text = key[order], text[order]
@@ -294,29 +321,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     info = rows.written(identified(keyed, words), "sets")
     classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"))
     classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), "first.row_key", "first.row_check", "sketch"), "classes")
-    announced = shared_keys(keyed, words, percent, max(1, math.ceil(size / range_bytes)))
+    announced = shared_keys(keyed, common_shingles(info), words, percent, max(1, math.ceil(size / range_bytes)))
     keys = announced.groupBy("key", "a", "b").agg(F.max("n").alias("n"))
     keys = rows.written(keys.join(classes.select("a", "b", "vertex"), ["a", "b"]).select("key", "vertex", "n"), "keys")
 
-    involved = keys.select("vertex").distinct().join(classes.select("vertex", *rows.KEYS), "vertex")
-    texts = rows.with_info(rows.packed(keyed), involved.select(*rows.KEYS, F.lit(True).alias("wanted")), "inner")
-    sets = rows.written(_packed_sets(texts, words), "items")
+    def verified(pairs: DataFrame, step: int) -> DataFrame:
+        """Only the sets that are in a pair are made and sent."""
+        pairs = rows.written(pairs, f"pairs-{step}")
+        ends = pairs.select(F.col("x").alias("vertex")).unionByName(pairs.select(F.col("y").alias("vertex"))).distinct()
+        wanted = ends.join(classes.select("vertex", *rows.KEYS), "vertex").select(*rows.KEYS, F.lit(True).alias("wanted"))
+        sets = rows.written(_packed_sets(rows.with_info(rows.packed(keyed), wanted, "inner"), words), f"items-{step}")
+        return _verified(pairs, sets, percent)
 
     leaders = keys.groupBy("key").agg(F.min("vertex").alias("x"), F.min_by("n", "vertex").alias("m"))
     star = rows.join_hot(keys, leaders, ["key"]).filter(f"vertex != x and 100 * least(n, m) >= {percent} * greatest(n, m)").select("x", F.col("vertex").alias("y")).distinct()
     sketches = classes.select("vertex", "n", "sketch")
-    links = rows.written(_verified(_within_bounds(star, sketches, percent), sets, percent), "links-1")
+    links = rows.written(verified(_within_bounds(star, sketches, percent), 1), "links-1")
     labels = components(links)
 
     named = keys.join(labels, "vertex", "left").select("key", "vertex", "n", F.coalesce("label", "vertex").alias("label"))
     named = rows.written(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("g")).filter("low != high").select("key", "g")
+    # Keys of the same classes need only one look; a group is known by two hashes of its members.
+    alike = [F.bit_xor(F.xxhash64("vertex", F.lit(salt))).alias(f"members_{salt}") for salt in (1, 2)]
+    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("g"), *alike).filter("low != high")
+    open_keys = open_keys.groupBy("g", "members_1", "members_2").agg(F.min("key").alias("key")).select("key", "g")
     member = rows.join_hot(named, open_keys, ["key"]).join(sketches.select("vertex", "sketch"), "vertex")
     blocks = F.ceil(F.col("g") / F.lit(block)).cast("int")
     member = member.withColumn("side", F.pmod(F.xxhash64("vertex"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     member = member.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    more = _verified(_pairs_in_groups(member, percent), sets, percent)
-    links = rows.written(links.unionByName(more), "links-2")
+    links = rows.written(links.unionByName(verified(_pairs_in_groups(member, percent), 2)), "links-2")
     labels = components(links)
 
     out = info.join(classes.select("a", "b", "vertex"), ["a", "b"], "left").join(labels, "vertex", "left")
