@@ -23,7 +23,8 @@ second, only keys whose classes are still in different components are looked at
 different components within size and Hamming bounds, in blocks of at most `block` classes.
 
 Defined results: a text without words or null text has an empty set and is linked with nothing;
-equal rows have one result; component ids are the smallest doc_id of the component.
+equal rows have one result; component ids are the smallest doc_id of the component; a row without
+an id is in the component of a row with an id and an equal set, or else in none (null).
 """
 
 from __future__ import annotations
@@ -319,8 +320,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = rows.keyed(docs, id_col, text_col)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     info = rows.written(identified(keyed, words), "sets")
-    classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"))
-    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), "first.row_key", "first.row_check", "sketch"), "classes")
+    classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"))
+    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), "first.row_key", "first.row_check", "sketch").filter("vertex is not null"), "classes")
     announced = shared_keys(keyed, common_shingles(info), words, percent, max(1, math.ceil(size / range_bytes)))
     keys = announced.groupBy("key", "a", "b").agg(F.max("n").alias("n"))
     keys = rows.written(keys.join(classes.select("a", "b", "vertex"), ["a", "b"]).select("key", "vertex", "n"), "keys")
