@@ -1,18 +1,16 @@
-"""Explicit schemas of the inputs; only fields that are used, so readers can prune the others."""
+"""Explicit schemas (DDL) of the inputs; only fields that are used, so readers can prune the others."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 #: One JSON object with three arrays. `segmentation` is polymorphic and left out.
-COCO = StructType.fromDDL(
+COCO = (
     "images array<struct<id: bigint, width: int, height: int, coco_url: string>>,"
     " annotations array<struct<image_id: bigint, category_id: bigint, area: double>>,"
     " categories array<struct<id: bigint, name: string>>"
 )
 #: One JSON array of items; every nested part may be missing.
-ROAD_SCENES = StructType.fromDDL("name string, attributes struct<weather: string, timeofday: string>, labels array<struct<category: string>>")
+ROAD_SCENES = "name string, attributes struct<weather: string, timeofday: string>, labels array<struct<category: string>>"
 #: Spark's image struct; data is BGR, rows from the top.
-RASTER = StructType.fromDDL("origin string, height int, width int, nChannels int, mode int, data binary")
-BOX = StructType.fromDDL("x_min double, y_min double, x_max double, y_max double")
-FETCHED = StructType.fromDDL("content binary, error string")
+RASTER = "origin string, height int, width int, nChannels int, mode int, data binary"
+BOX = "x_min double, y_min double, x_max double, y_max double"
+FETCHED = "content binary, error string"
