@@ -47,6 +47,11 @@ SKETCH_WORDS = 16
 _KEY_BITS = 48
 
 
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch as it would be with fewer words: parities add up."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 class Sets:
     """Distinct shingles of some texts, sorted within each text: text d has hashes[first[d]:first[d + 1]]."""
 
@@ -83,13 +88,14 @@ class Sets:
             out.append((sums[self.first[1:]] - sums[self.first[:-1]]).view(np.int64))
         return out[0], out[1]
 
-    def bit_sketches(self) -> np.ndarray:
-        """SKETCH_WORDS 64-bit words of parities for each set."""
-        bit = tx.mix(self.hashes, 3) % np.uint64(64 * SKETCH_WORDS)
-        cell = self.of * SKETCH_WORDS + (bit >> np.uint64(6)).astype(np.int64)
-        out = np.zeros((len(self.sizes)) * SKETCH_WORDS, dtype=np.uint64)
-        np.bitwise_xor.at(out, cell, np.uint64(1) << (bit & np.uint64(63)))
-        return out.reshape(len(self.sizes), SKETCH_WORDS)
+    def bit_sketches(self) -> list[np.ndarray]:
+        """Parities of each set, in 64-bit words: SKETCH_WORDS, or 16 or 256 times as many for large sets."""
+        wide = SKETCH_WORDS * np.where(self.sizes <= 512, 1, np.where(self.sizes <= 8192, 16, 256))
+        begin = np.concatenate([[0], np.cumsum(wide)])
+        bit = tx.mix(self.hashes, 3) % (wide[self.of] * 64).astype(np.uint64)
+        out = np.zeros(begin[-1], dtype=np.uint64)
+        np.bitwise_xor.at(out, begin[self.of] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        return [out[i:j] for i, j in zip(begin[:-1], begin[1:], strict=True)]
 
     def announced(self, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and their texts: the first d + 1 pieces that are not empty, for each band of each text.
@@ -136,7 +142,7 @@ class Sets:
 
 
 def identified(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, row_key, row_check, n, a, b (the set's identity) and sketch for each row of docs (from rows.keyed).
+    """doc_id, row_key, row_check, n, a, b (the set's identity), sketch and wide (its long form, of large sets) for each row of docs (from rows.keyed).
 
     again, again_n: on the first row of a chunk, shingles that several different sets of it have, and how many.
     """
@@ -150,11 +156,13 @@ def identified(docs: DataFrame, words: int = 5) -> DataFrame:
             once[index] = True
             h, many = np.unique(s.hashes[once[s.of]], return_counts=True)
             lists = [pa.ListArray.from_arrays(pa.array([0, *[int((many > 1).sum())] * len(a)], pa.int32()), pa.array(x[many > 1])) for x in (h.view(np.int64), many)]
-            sketch = pa.array([x.tobytes() for x in s.bit_sketches()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *rows.KEYS)), pa.array(s.sizes), pa.array(a), pa.array(b), sketch, *lists], names=["doc_id", *rows.KEYS, "n", "a", "b", "sketch", "again", "again_n"])
+            long = s.bit_sketches()
+            sketch = pa.array([folded(x, SKETCH_WORDS).tobytes() for x in long], pa.binary())
+            wide = pa.array([x.tobytes() if len(x) > SKETCH_WORDS else None for x in long], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *rows.KEYS)), pa.array(s.sizes), pa.array(a), pa.array(b), sketch, wide, *lists], names=["doc_id", *rows.KEYS, "n", "a", "b", "sketch", "wide", "again", "again_n"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, row_check long, n long, a long, b long, sketch binary, again array<long>, again_n array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, row_key long, row_check long, n long, a long, b long, sketch binary, wide binary, again array<long>, again_n array<long>")
 
 
 def common_shingles(info: DataFrame, most: int = 300_000, least: int = 8) -> np.ndarray:
@@ -165,15 +173,15 @@ def common_shingles(info: DataFrame, most: int = 300_000, least: int = 8) -> np.
 
 
 def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: int, ranges: int) -> DataFrame:
-    """(key, a, b, n): the announced keys that two different sets have, with those sets (maybe repeated)."""
+    """(key, a): the announced keys that two different sets have, with a hash of those sets (maybe repeated)."""
 
     common = docs.sparkSession.sparkContext.broadcast(common_list)
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in rows.text_chunks(batches, 2 << 20):
+        for batch, data, bounds in rows.text_chunks(batches, 4 << 20):
             s = Sets(data, bounds, words)
-            a, b = s.identities()
-            _, index, klass = np.unique(a, return_index=True, return_inverse=True)
+            a, _ = s.identities()
+            _, index = np.unique(a, return_index=True)
             once = np.zeros(len(a), dtype=bool)
             once[index] = True  # one text of each class speaks for it
             key, text = s.announced(percent, common.value)
@@ -190,16 +198,15 @@ def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: i
             kept_key, kept_text, known = key[speaker], text[speaker], many
             home = (kept_key * np.uint64(ranges) >> np.uint64(_KEY_BITS)).astype(np.int64)
             cuts = np.searchsorted(home, np.arange(ranges + 1))
-            who = np.stack([a, b, s.sizes]).astype(np.int64)
             out = []
             here = int(key[0]) % ranges
             if local.any():
-                out.append((here, True, pack_sorted(key[local]), text[local].astype(np.uint32).tobytes(), b"", np.ascontiguousarray(who.T).tobytes()))
+                out.append((here, True, pack_sorted(key[local]), text[local].astype(np.uint32).tobytes(), b"", a.tobytes()))
             for r in range(ranges):
                 i, j = int(cuts[r]), int(cuts[r + 1])
                 if i < j:
                     texts, local_of = np.unique(kept_text[i:j], return_inverse=True)
-                    out.append((r, False, pack_sorted(kept_key[i:j]), local_of.astype(np.uint16 if len(texts) < 65536 else np.uint32).tobytes(), np.packbits(known[i:j]).tobytes(), np.ascontiguousarray(who[:, texts].T).tobytes()))
+                    out.append((r, False, pack_sorted(kept_key[i:j]), local_of.astype(np.uint16 if len(texts) < 65536 else np.uint32).tobytes(), np.packbits(known[i:j]).tobytes(), a[texts].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=["home", "local", "keys", "texts", "known", "who"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +214,7 @@ def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: i
         now, parts = None, []
 
         def row_batch(key: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(np.ascontiguousarray(who[:, k])) for k in range(3))], names=["key", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who)], names=["key", "a"])
 
         def settled() -> pa.RecordBatch:
             key, who, known = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -215,12 +222,12 @@ def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: i
             key, who, known = key[order], who[order], known[order]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
-            shared = np.logical_or.reduceat(known, begin) | (np.minimum.reduceat(who[:, 0], begin) != np.maximum.reduceat(who[:, 0], begin))
+            shared = np.logical_or.reduceat(known, begin) | (np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin))
             return row_batch(key[shared[group]], who[shared[group]])
 
         for batch in batches:
             for home, local, keys, texts, known, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key, who = unpack_sorted(keys), np.frombuffer(who, np.int64).reshape(-1, 3)
+                key, who = unpack_sorted(keys), np.frombuffer(who, np.int64)
                 text = np.frombuffer(texts, np.uint32 if len(texts) == 4 * len(key) else np.uint16)
                 if local:
                     yield row_batch(key, who[text])
@@ -234,7 +241,7 @@ def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: i
             yield settled()
 
     sent = docs.mapInArrow(announce, "home int, local boolean, keys binary, texts binary, known binary, who binary")
-    return sent.repartition(ranges, "home").sortWithinPartitions("home").mapInArrow(confirm, "key long, a long, b long, n long")
+    return sent.repartition(ranges, "home").sortWithinPartitions("home").mapInArrow(confirm, "key long, a long")
 
 
 def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -320,23 +327,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = rows.keyed(docs, id_col, text_col)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     info = rows.written(identified(keyed, words), "sets")
-    classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"))
-    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), "first.row_key", "first.row_check", "sketch").filter("vertex is not null"), "classes")
+    classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
+    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), "first.row_key", "first.row_check", "sketch", "wide").filter("vertex is not null"), "classes")
     announced = shared_keys(keyed, common_shingles(info), words, percent, max(1, math.ceil(size / range_bytes)))
-    keys = announced.groupBy("key", "a", "b").agg(F.max("n").alias("n"))
-    keys = rows.written(keys.join(classes.select("a", "b", "vertex"), ["a", "b"]).select("key", "vertex", "n"), "keys")
+    keys = announced.distinct().join(classes.select("a", "vertex", "n"), "a")  # equal hashes of unlike sets only make more candidates
+    keys = rows.written(keys.select("key", "vertex", "n"), "keys")
 
     def verified(pairs: DataFrame, step: int) -> DataFrame:
         """Only the sets that are in a pair are made and sent."""
         pairs = rows.written(pairs, f"pairs-{step}")
         ends = pairs.select(F.col("x").alias("vertex")).unionByName(pairs.select(F.col("y").alias("vertex"))).distinct()
-        wanted = ends.join(classes.select("vertex", *rows.KEYS), "vertex").select(*rows.KEYS, F.lit(True).alias("wanted"))
-        sets = rows.written(_packed_sets(rows.with_info(rows.packed(keyed), wanted, "inner"), words), f"items-{step}")
+        wanted = rows.written(ends.join(classes.select("vertex", *rows.KEYS), "vertex").select(*rows.KEYS), f"wanted-{step}")
+        sets = rows.written(_packed_sets(rows.wanted_texts(keyed, wanted), words), f"items-{step}")
         return _verified(pairs, sets, percent)
 
     leaders = keys.groupBy("key").agg(F.min("vertex").alias("x"), F.min_by("n", "vertex").alias("m"))
     star = rows.join_hot(keys, leaders, ["key"]).filter(f"vertex != x and 100 * least(n, m) >= {percent} * greatest(n, m)").select("x", F.col("vertex").alias("y")).distinct()
-    sketches = classes.select("vertex", "n", "sketch")
+    sketches = classes.select("vertex", "n", F.coalesce("wide", "sketch").alias("sketch"))
     links = rows.written(verified(_within_bounds(star, sketches, percent), 1), "links-1")
     labels = components(links)
 
@@ -346,11 +353,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alike = [F.bit_xor(F.xxhash64("vertex", F.lit(salt))).alias(f"members_{salt}") for salt in (1, 2)]
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("g"), *alike).filter("low != high")
     open_keys = open_keys.groupBy("g", "members_1", "members_2").agg(F.min("key").alias("key")).select("key", "g")
-    member = rows.join_hot(named, open_keys, ["key"]).join(sketches.select("vertex", "sketch"), "vertex")
+    member = rows.join_hot(named, open_keys, ["key"]).join(classes.select("vertex", "sketch"), "vertex")
     blocks = F.ceil(F.col("g") / F.lit(block)).cast("int")
     member = member.withColumn("side", F.pmod(F.xxhash64("vertex"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     member = member.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    links = rows.written(links.unionByName(verified(_pairs_in_groups(member, percent), 2)), "links-2")
+    links = rows.written(links.unionByName(verified(_within_bounds(_pairs_in_groups(member, percent), sketches, percent), 2)), "links-2")
     labels = components(links)
 
     out = info.join(classes.select("a", "b", "vertex"), ["a", "b"], "left").join(labels, "vertex", "left")
@@ -374,11 +381,12 @@ def _within_bounds(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("x_sketch", "y_sketch"))
-            keep = _close(x, y, batch.column("x_n").to_numpy(), batch.column("y_n").to_numpy(), percent)
-            yield batch.select(["x", "y"]).filter(pa.array(keep))
+            keep = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x_sketch", "y_sketch", "x_n", "y_n")), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(p), len(q))
+                keep.append(bool(_close(folded(p, words), folded(q, words), n, m, percent)))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(pairs.dtypes)["x"]
     one, two = (sketches.select(F.col("vertex").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in ("x", "y"))

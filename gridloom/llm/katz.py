@@ -147,13 +147,13 @@ class _Block:
     def train_counts(self) -> np.ndarray:
         return np.bincount(self.codes[self.train], minlength=len(self.vocabulary))
 
-    def pair_up(self, ids: int) -> None:
-        """first: 0 at a text's begin, else the id + 1 of the word before, or -1 if unknown; pairs: its distinct known pairs."""
+    def pair_up(self, ids: int, begins: bool) -> None:
+        """first: 0 at a text's begin (if training had any), else the id + 1 of the word before, or -1 if unknown; pairs: its distinct known pairs."""
         self.second = self.id[self.codes]
         self.first = np.empty(len(self.codes), dtype=np.int64)
         self.first[1:] = np.where(self.second[:-1] >= 0, self.second[:-1] + 1, -1)
         starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.first[starts] = 0
+        self.first[starts] = 0 if begins else -1
         self.first_count = np.zeros(len(self.codes), dtype=np.int64)
         self.first_count[1:] = self.count[self.codes[:-1]]
         self.known = (self.first >= 0) & (self.second >= 0)
@@ -234,12 +234,12 @@ def _answer_words(asked: DataFrame, homes: int) -> DataFrame:
     return asked.repartition(homes, "home").sortWithinPartitions("home").mapInArrow(run, kinds)
 
 
-def _ask_pairs(blocks: DataFrame, ids: int, homes: int, hot: dict[int, int]) -> DataFrame:
+def _ask_pairs(blocks: DataFrame, begins: bool, ids: int, homes: int, hot: dict[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = _Block(batch, i)
-                b.pair_up(ids)
+                b.pair_up(ids, begins)
                 home = _homes(b.pairs, ids, homes, hot)
                 order = np.argsort(home, kind="stable")
                 cut = np.searchsorted(home[order], np.arange(homes + 1))
@@ -310,7 +310,7 @@ def _scored(blocks: DataFrame, model: WordModel, d: np.ndarray, ids: int, homes:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = _Block(batch, i)
-                b.pair_up(ids)
+                b.pair_up(ids, model.texts > 0)
                 p_word = model.probability(b.count)[b.codes]
                 home = _homes(b.pairs, ids, homes, hot)
                 back = b.backing[~np.isin(b.backing, list(hot))]
@@ -373,7 +373,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     many = {r["ids"] + 1: 1 + r["counts"] // limit for r in hot_rows} | ({0: 1 + model.texts // limit} if model.texts > limit else {})
 
     blocks = tokens.join(_grouped(words, ["ids", "counts"], "words"), "block")
-    pairs = rows.written(_answer_pairs(_ask_pairs(blocks, ids, homes, many), model, ids, homes, many), "pairs")
+    pairs = rows.written(_answer_pairs(_ask_pairs(blocks, model.texts > 0, ids, homes, many), model, ids, homes, many), "pairs")
     rare = pairs.filter("kind in ('table', 'hot')").select(F.posexplode("rare").alias("at", "n")).groupBy((F.col("at") % KEEP).alias("r")).agg(F.sum("n").alias("n")).collect()
     next_up = pairs.filter("kind = 'table'").agg(F.sum(F.size(F.filter("counts", lambda c: c == KEEP + 1)))).first()[0]
     of_pairs = [0, *({r["r"]: r["n"] for r in rare}.get(k, 0) for k in range(KEEP)), next_up or 0]

@@ -82,6 +82,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.drop("text").schema.fields, *more]))
 
 
+def wanted_texts(docs: DataFrame, wanted: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows of docs (from keyed) that `wanted`, a written table, names. Up to `most` names (16 bytes each) are broadcast, more are joined."""
+    if wanted.count() <= most:
+        return docs.join(F.broadcast(wanted.select(*KEYS)), list(KEYS), "left_semi")
+    return packed(docs).join(wanted.select(*KEYS), list(KEYS), "left_semi")
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = tx.CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows, text bytes and text bounds, for at most `limit` bytes of text (or one longer text) at a time."""
     codec = pa.Codec("zstd")
