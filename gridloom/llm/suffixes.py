@@ -13,8 +13,10 @@ checked on the bytes. Walking the longest common prefixes of the right order fro
 short and joining the smaller set to the larger, neighbours in the left order give each context
 its longest repeated stretch to either side; stretches shorter than a window do not count.
 
-An anchor with more than `most_contexts` different contexts is not gathered: its windows are
-counted by hash instead, which is exact too and needs no group.
+An anchor with more than `most_contexts` different contexts is not gathered: its windows are dealt
+into four families by their offset, and contexts meet only if they agree in the bytes all windows
+of a family have. Should that be too many still, the family's windows are counted by hash, which is
+exact too and needs no group.
 
 Defined results: a null text is an empty one; rows with equal id and text are copies of each
 other; rows of one id with different texts are different documents.
@@ -157,66 +159,98 @@ def _spelled(docs: DataFrame) -> DataFrame:
             lo, hi = at - flat.field("before").to_numpy(), at + flat.field("after").to_numpy()
             raw = data.tobytes()
             around = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "context", "before", "n")), around], names=["anchor", "context", "before", "n", "around"])
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "context", "before")), around], names=["anchor", "context", "before", "around"])
 
-    return docs.mapInArrow(run, "anchor long, context long, before int, n long, around binary")
+    return docs.mapInArrow(run, "anchor long, context long, before int, around binary")
 
 
 _REACH = "anchor long, context long, reach_left int, reach_right int"
 _ANSWER = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("reach_left", pa.int32()), ("reach_right", pa.int32())])
 
 
-def _matched(contexts: DataFrame, window: int) -> DataFrame:
-    """How far each context is repeated, from each anchor's contexts, which stand together in a partition."""
+def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
+    """How far contexts are repeated in others of their group; the groups' contexts stand together in a partition."""
 
-    def answers(anchor: int, group: list[tuple[int, int, bytes, bool]]) -> list[tuple[int, int, int, int]]:
-        reach = longest_matches([g[2][: g[1]][::-1] for g in group], [g[2][g[1] :] for g in group], window)
-        out = []
-        for (context, before, around, twice), left, right in zip(group, *reach, strict=True):
-            a, b = (before, len(around) - before) if twice else (left, right)
-            if a + b >= window:
-                out.append((anchor, context, a, b))
-        return out
+    def answers(held: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+        reach = longest_matches([h[3][: h[2]][::-1] for h in held], [h[3][h[2] :] for h in held], window)
+        return [(anchor, context, a, b) for (anchor, context, _, _), a, b in zip(held, *reach, strict=True) if a + b >= window]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
+        now, held = None, []
         out: list[tuple[int, int, int, int]] = []
         for batch in batches:
-            for anchor, context, before, n, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != now:
-                    out += answers(now, group) if group else []
-                    now, group = anchor, []
-                group.append((context, before, around, n > 1))
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    out += answers(held) if len(held) > 1 else []
+                    now, held = key, []
+                held.append(tuple(row))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
                 out = []
-        if group and (out := answers(now, group)):
+        if len(held) > 1 and (out := answers(held)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _REACH)
+    one = contexts.select(F.col(group).alias("group"), "anchor", "context", "before", "around")
+    return one.repartition("group").sortWithinPartitions("group").mapInArrow(run, _REACH)
 
 
-def _counted(contexts: DataFrame, window: int) -> DataFrame:
-    """As _matched, for anchors with too many contexts: every window around the anchor is counted by its hash."""
+def _families(window: int, gram: int, many: int = 4) -> list[tuple[int, int]]:
+    """Ranges of how far before the anchor a window begins."""
+    step = -(-(window - gram + 1) // many)
+    return [(low, min(low + step, window - gram + 1) - 1) for low in range(0, window - gram + 1, step)]
+
+
+def _cores(contexts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(core, family, anchor, context): for each family of windows, a hash of the bytes all its windows have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = tx.flat(batch.column("around").cast(pa.large_binary()))
+            anchor, context, before = (batch.column(c).to_numpy() for c in ("anchor", "context", "before"))
+            for family, (low, high) in enumerate(_families(window, gram)):
+                at = bounds[:-1] + before
+                lo, hi = at - low, at + window - high
+                fits = np.flatnonzero((lo >= bounds[:-1]) & (hi <= bounds[1:]))
+                core = tx.mix(tx.span_hashes(data, lo[fits], hi[fits]) ^ tx.mix(anchor[fits].view(np.uint64), family + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(np.full(len(fits), family, np.int32)), pa.array(anchor[fits]), pa.array(context[fits])], names=["core", "family", "anchor", "context"])
+
+    return contexts.select("anchor", "context", "before", "around").mapInArrow(run, "core long, family int, anchor long, context long")
+
+
+def _counted(contexts: DataFrame, window: int, gram: int) -> DataFrame:
+    """As _matched, for cores with too many contexts: every window of the family is counted by its hash."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for anchor, context, before, n, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, context, family, before, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.frombuffer(around, dtype=np.uint8)
-                starts = np.arange(min(before, len(raw) - window) + 1)
+                low, high = _families(window, gram)[family]
+                starts = np.arange(max(0, before - high), min(before - low, len(raw) - window) + 1)
                 if len(starts):
                     h = tx.run_hashes(tx.BYTES[raw], window)[starts] ^ tx.mix((before - starts).astype(np.uint64))
-                    out.append((np.full(len(starts), anchor), np.full(len(starts), context), before - starts, h.view(np.int64), np.full(len(starts), n)))
+                    out.append((np.full(len(starts), anchor), np.full(len(starts), context), before - starts, h.view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["anchor", "context", "back", "window_hash", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["anchor", "context", "back", "window_hash"])
 
-    each = contexts.mapInArrow(windows, "anchor long, context long, back long, window_hash long, n long")
-    twice = each.groupBy("anchor", "window_hash").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window_hash")
+    each = contexts.select("anchor", "context", "family", "before", "around").mapInArrow(windows, "anchor long, context long, back long, window_hash long")
+    twice = each.groupBy("anchor", "window_hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window_hash")
     hit = rows.join_hot(each, twice, ["anchor", "window_hash"], "left_semi")
     return hit.groupBy("anchor", "context").agg(F.max("back").cast("int").alias("reach_left"), (window - F.min("back")).cast("int").alias("reach_right"))
 
 
+def _crowded(contexts: DataFrame, window: int, gram: int, most: int) -> DataFrame:
+    """As _matched, for anchors with too many contexts: they are told apart by the bytes that families of windows share."""
+    contexts = rows.written(contexts, "crowded")
+    cores = _cores(contexts, window, gram)
+    sizes = rows.written(cores.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "cores")
+    held = cores.join(sizes, "core").join(contexts, ["anchor", "context"])
+    reach = _matched(held.filter(F.col("m") <= most), "core", window)
+    if sizes.filter(F.col("m") > most).isEmpty():
+        return reach
+    return reach.unionByName(_counted(held.filter(F.col("m") > most), window, gram))
+
+
 def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 40, most_contexts: int = 4000) -> DataFrame:
     """docs (from rows.keyed, packed) with column spans: (start, end) byte stretches to remove, which may overlap."""
     texts = rows.packed(docs)
@@ -226,17 +260,19 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 40, most_cont
     where = F.struct(*rows.KEYS, "place", "before", "after")
     different = rows.written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(where).alias("at")).select("anchor", "context", "n", "at.*"), "different")
     counts = rows.written(different.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
-    # Contexts that are all there is of their anchor need no bytes: their copies are alike throughout.
-    alone = different.join(counts, "anchor", "left_anti").filter(F.col("before") + F.col("after") >= window)
-    reach = alone.select("anchor", "context", F.col("before").alias("reach_left"), F.col("after").alias("reach_right"))
-    several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct("anchor", "context", "n", "place", "before", "after")).alias("wanted"))
+    # A context that occurs twice is repeated as far as it goes. Only where an anchor has several, their bytes are needed.
+    whole = different.filter((F.col("n") > 1) & (F.col("before") + F.col("after") >= window))
+    reach = whole.select("anchor", "context", F.col("before").alias("reach_left"), F.col("after").alias("reach_right"))
+    several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct("anchor", "context", "place", "before", "after")).alias("wanted"))
     spelled = _spelled(rows.with_info(texts, several, "inner"))
     crowded = counts.filter(F.col("m") > most_contexts).select("anchor")
     if crowded.isEmpty():
-        reach = reach.unionByName(_matched(spelled, window))
+        reach = reach.unionByName(_matched(spelled, "anchor", window))
     else:
-        reach = reach.unionByName(_matched(spelled.join(crowded, "anchor", "left_anti"), window)).unionByName(_counted(spelled.join(crowded, "anchor", "left_semi"), window))
-    spans = found.select(*rows.KEYS, "anchor", "context", "place").join(reach, ["anchor", "context"])
+        reach = reach.unionByName(_matched(spelled.join(crowded, "anchor", "left_anti"), "anchor", window))
+        reach = reach.unionByName(_crowded(spelled.join(crowded, "anchor", "left_semi"), window, gram, most_contexts))
+    reach = reach.groupBy("anchor", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
+    spans = rows.join_hot(found.select(*rows.KEYS, "anchor", "context", "place"), reach, ["anchor", "context"])
     spans = spans.groupBy(*rows.KEYS).agg(F.collect_list(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
     return rows.with_info(texts, spans)
 
