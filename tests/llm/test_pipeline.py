@@ -23,11 +23,11 @@ def test_stages(spark):
     assert len(seen) == len(set(seen))
     want = corpus.components({r.doc_id: r.text for r in kept["line dedup"] if r.doc_id is not None})
     assert sorted(r.doc_id for r in kept["near duplicates"] if r.doc_id is not None) == sorted(i for i, (n, c) in want.items() if n == 0 or i == c)
-    after = corpus.contaminated({r.doc_id: r.text for r in kept["benchmark decontamination"]}, [(r.item_id, r.text) for r in benchmark])
+    after = corpus.contaminated({r.doc_id: r.text for r in kept["benchmark decontamination"]}, [(str(r.item_id), r.text) for r in benchmark])
     assert not any(w[4] for w in after.values())
     ids = {r.doc_id for r in kept["benchmark decontamination"]}
     before = {r.doc_id: r.text for r in kept["near duplicates"]}
-    dirty = corpus.contaminated(before, [(r.item_id, r.text) for r in benchmark])
+    dirty = corpus.contaminated(before, [(str(r.item_id), r.text) for r in benchmark])
     assert ids == {i for i, w in dirty.items() if w[1] <= 0.5 * w[0]}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert set(columns) <= set(last.columns)
