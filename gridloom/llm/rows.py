@@ -18,7 +18,7 @@ from gridloom.llm import text as tx
 KEYS = ("row_key", "row_check")
 
 
-def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Hand Python at most `most` bytes of rows at a time, so that long texts do not fill its workers."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, "64m").lower()

@@ -4,7 +4,8 @@ A sparse suffix array: of every window the `gram`-byte string of least hash is i
 equal windows have equal anchors at equal offsets, and one position in about (window - gram) / 2
 is one. Anchors whose hash occurs once cannot be in a repeated window and go no further. Those
 whose contexts (the bytes a window around them can span) are all equal are repeated as far as
-these go. The contexts of the others are sent to the task of their anchor, each once.
+these go. The contexts of the others are dealt into four families by the offset of their windows, and
+those that agree in the bytes all windows of a family have (its core) meet in a task, each once.
 
 There the contexts of an anchor are suffixes to its right and, read backwards, to its left.
 Both are merge-sorted; two suffixes are compared by a binary search over their prefix
@@ -13,10 +14,8 @@ checked on the bytes. Walking the longest common prefixes of the right order fro
 short and joining the smaller set to the larger, neighbours in the left order give each context
 its longest repeated stretch to either side; stretches shorter than a window do not count.
 
-An anchor with more than `most_contexts` different contexts is not gathered: its windows are dealt
-into four families by their offset, and contexts meet only if they agree in the bytes all windows
-of a family have. Should that be too many still, the family's windows are counted by hash, which is
-exact too and needs no group.
+A core with more than `most_contexts` different contexts is not gathered: the family's windows are
+counted by hash instead, which is exact too and needs no group.
 
 Defined results: a null text is an empty one; rows with equal id and text are copies of each
 other; rows of one id with different texts are different documents.
@@ -239,19 +238,18 @@ def _counted(contexts: DataFrame, window: int, gram: int) -> DataFrame:
     return hit.groupBy("anchor", "context").agg(F.max("back").cast("int").alias("reach_left"), (window - F.min("back")).cast("int").alias("reach_right"))
 
 
-def _crowded(contexts: DataFrame, window: int, gram: int, most: int) -> DataFrame:
-    """As _matched, for anchors with too many contexts: they are told apart by the bytes that families of windows share."""
-    contexts = rows.written(contexts, "crowded")
+def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataFrame:
+    """How far each of the contexts (a written table) is repeated in others of its anchor."""
     cores = _cores(contexts, window, gram)
     sizes = rows.written(cores.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "cores")
-    held = cores.join(sizes, "core").join(contexts, ["anchor", "context"])
+    held = rows.join_hot(cores, sizes, ["core"]).join(contexts, ["anchor", "context"])
     reach = _matched(held.filter(F.col("m") <= most), "core", window)
-    if sizes.filter(F.col("m") > most).isEmpty():
-        return reach
-    return reach.unionByName(_counted(held.filter(F.col("m") > most), window, gram))
+    if not sizes.filter(F.col("m") > most).isEmpty():
+        reach = reach.unionByName(_counted(held.filter(F.col("m") > most), window, gram))
+    return reach
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 40, most_contexts: int = 4000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, most_contexts: int = 1000) -> DataFrame:
     """docs (from rows.keyed, packed) with column spans: (start, end) byte stretches to remove, which may overlap."""
     texts = rows.packed(docs)
     placed = rows.written(anchors(docs, window, gram), "anchors")
@@ -265,19 +263,14 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 40, most_cont
     reach = whole.select("anchor", "context", F.col("before").alias("reach_left"), F.col("after").alias("reach_right"))
     several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct("anchor", "context", "place", "before", "after")).alias("wanted"))
     spelled = _spelled(rows.with_info(texts, several, "inner"))
-    crowded = counts.filter(F.col("m") > most_contexts).select("anchor")
-    if crowded.isEmpty():
-        reach = reach.unionByName(_matched(spelled, "anchor", window))
-    else:
-        reach = reach.unionByName(_matched(spelled.join(crowded, "anchor", "left_anti"), "anchor", window))
-        reach = reach.unionByName(_crowded(spelled.join(crowded, "anchor", "left_semi"), window, gram, most_contexts))
+    reach = reach.unionByName(_in_several(rows.written(spelled, "spelled"), window, gram, most_contexts))
     reach = reach.groupBy("anchor", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
     spans = rows.join_hot(found.select(*rows.KEYS, "anchor", "context", "place"), reach, ["anchor", "context"])
     spans = spans.groupBy(*rows.KEYS).agg(F.collect_list(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
     return rows.with_info(texts, spans)
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 40, most_contexts: int = 4000, with_bytes: bool = True) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int = 200, most_contexts: int = 1000, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if with_bytes) kept_bytes for each row of docs."""
     d = repeated_spans(rows.keyed(docs, id_col, text_col), window, gram, most_contexts)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if with_bytes else [])]

@@ -28,7 +28,7 @@ def test_substrings_levels():
     assert substrings.levels(35, 9) == [9, 18, 35] and substrings.levels(35, 18) == [18, 35] and substrings.levels(5, 9) == [5]
 
 
-@pytest.mark.parametrize("window,gram,most", [(400, 40, 4000), (60, 20, 4000), (60, 20, 1), (30, 30, 2)])
+@pytest.mark.parametrize("window,gram,most", [(400, 200, 1000), (400, 40, 1000), (60, 20, 1000), (60, 20, 1), (30, 30, 2), (30, 28, 1)])
 def test_suffixes(spark, window, gram, most):
     got = suffixes.remove_repeated(corpus.docs(spark), window=window, gram=gram, most_contexts=most).collect()
     assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == corpus.removed_bytes(plain(), window)
