@@ -4,8 +4,10 @@ A sparse suffix array: of every window the `gram`-byte string of least hash is i
 equal windows have equal anchors at equal offsets, and one position in about (window - gram) / 2
 is one. Anchors whose hash occurs once cannot be in a repeated window and go no further. Those
 whose contexts (the bytes a window around them can span) are all equal are repeated as far as
-these go. The contexts of the others are dealt into four families by the offset of their windows, and
-those that agree in the bytes all windows of a family have (its core) meet in a task, each once.
+these go. The contexts of the others are dealt into four families by the offset of their windows. Those
+that agree in all bytes the windows of a family span (its hull) have all these windows in common.
+Of each hull one context goes on, and those that agree in the bytes all windows of a family have
+(its core) meet in a task.
 
 There the contexts of an anchor are suffixes to its right and, read backwards, to its left.
 Both are merge-sorted; two suffixes are compared by a binary search over their prefix
@@ -14,8 +16,9 @@ checked on the bytes. Walking the longest common prefixes of the right order fro
 short and joining the smaller set to the larger, neighbours in the left order give each context
 its longest repeated stretch to either side; stretches shorter than a window do not count.
 
-A core with more than `most_contexts` different contexts is not gathered: the family's windows are
-counted by hash instead, which is exact too and needs no group.
+A core with more than `most_contexts` different hulls is not gathered: its families are halved, and
+the narrower ones are dealt out in the same way by their larger cores. A family of one window has
+its core for hull, so this ends after log2(window - gram) rounds at most, and is exact.
 
 Defined results: a null text is an empty one; rows with equal id and text are copies of each
 other; rows of one id with different texts are different documents.
@@ -26,7 +29,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cmp_to_key
+from functools import cmp_to_key, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -193,60 +196,54 @@ def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
     return one.repartition("group").sortWithinPartitions("group").mapInArrow(run, _REACH)
 
 
-def _families(window: int, gram: int, many: int = 4) -> list[tuple[int, int]]:
-    """Ranges of how far before the anchor a window begins."""
-    step = -(-(window - gram + 1) // many)
-    return [(low, min(low + step, window - gram + 1) - 1) for low in range(0, window - gram + 1, step)]
+def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
+    """(core, hull, anchor, context, low, high, least_back, most_back): each context's windows, dealt into families.
 
-
-def _cores(contexts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(core, family, anchor, context): for each family of windows, a hash of the bytes all its windows have."""
+    A row's windows begin low to high bytes before the anchor; these are cut into `parts` families.
+    core: hash of the bytes all windows of the family have; hull: of those at least one has;
+    least_back, most_back: where windows of the family begin that the document has room for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = tx.flat(batch.column("around").cast(pa.large_binary()))
-            anchor, context, before = (batch.column(c).to_numpy() for c in ("anchor", "context", "before"))
-            for family, (low, high) in enumerate(_families(window, gram)):
-                at = bounds[:-1] + before
-                lo, hi = at - low, at + window - high
-                fits = np.flatnonzero((lo >= bounds[:-1]) & (hi <= bounds[1:]))
-                core = tx.mix(tx.span_hashes(data, lo[fits], hi[fits]) ^ tx.mix(anchor[fits].view(np.uint64), family + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(np.full(len(fits), family, np.int32)), pa.array(anchor[fits]), pa.array(context[fits])], names=["core", "family", "anchor", "context"])
-
-    return contexts.select("anchor", "context", "before", "around").mapInArrow(run, "core long, family int, anchor long, context long")
-
-
-def _counted(contexts: DataFrame, window: int, gram: int) -> DataFrame:
-    """As _matched, for cores with too many contexts: every window of the family is counted by its hash."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for anchor, context, family, before, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(around, dtype=np.uint8)
-                low, high = _families(window, gram)[family]
-                starts = np.arange(max(0, before - high), min(before - low, len(raw) - window) + 1)
-                if len(starts):
-                    h = tx.run_hashes(tx.BYTES[raw], window)[starts] ^ tx.mix((before - starts).astype(np.uint64))
-                    out.append((np.full(len(starts), anchor), np.full(len(starts), context), before - starts, h.view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["anchor", "context", "back", "window_hash"])
-
-    each = contexts.select("anchor", "context", "family", "before", "around").mapInArrow(windows, "anchor long, context long, back long, window_hash long")
-    twice = each.groupBy("anchor", "window_hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window_hash")
-    hit = rows.join_hot(each, twice, ["anchor", "window_hash"], "left_semi")
-    return hit.groupBy("anchor", "context").agg(F.max("back").cast("int").alias("reach_left"), (window - F.min("back")).cast("int").alias("reach_right"))
+            anchor, context, before, low, high = (batch.column(c).to_numpy() for c in ("anchor", "context", "before", "low", "high"))
+            start, end, at = bounds[:-1], bounds[1:], bounds[:-1] + before
+            step = -(-(high - low + 1) // parts)
+            for part in range(parts):
+                first = low + part * step
+                last = np.minimum(first + step - 1, high)
+                least, most = np.maximum(first, window - (end - at)), np.minimum(last, before)
+                fits = np.flatnonzero((first <= last) & (least <= most) & (at - first >= start) & (at + window - last <= end))
+                one, f, t = at[fits], first[fits], last[fits]
+                family = tx.mix(anchor[fits].view(np.uint64) ^ tx.mix((f * (window + 1) + t).astype(np.uint64)))
+                core = tx.mix(tx.span_hashes(data, one - f, one + window - t) ^ family)
+                lo, hi = np.maximum(one - t, start[fits]), np.minimum(one + window - f, end[fits])
+                hull = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((one - lo).astype(np.uint64)))
+                columns = [core.view(np.int64), hull.view(np.int64), anchor[fits], context[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "anchor", "context", "low", "high", "least_back", "most_back"])
+
+    return contexts.mapInArrow(run, "core long, hull long, anchor long, context long, low int, high int, least_back int, most_back int")
 
 
 def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataFrame:
     """How far each of the contexts (a written table) is repeated in others of its anchor."""
-    cores = _cores(contexts, window, gram)
-    sizes = rows.written(cores.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "cores")
-    held = rows.join_hot(cores, sizes, ["core"]).join(contexts, ["anchor", "context"])
-    reach = _matched(held.filter(F.col("m") <= most), "core", window)
-    if not sizes.filter(F.col("m") > most).isEmpty():
-        reach = reach.unionByName(_counted(held.filter(F.col("m") > most), window, gram))
-    return reach
+    found, parts = [], 4
+    todo = contexts.withColumns({"low": F.lit(0), "high": F.lit(window - gram)})
+    while True:
+        nodes = rows.written(_nodes(todo, window, parts), "nodes")
+        one = F.min(F.struct("anchor", "context", "low", "high")).alias("one")
+        hulls = rows.written(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), one).select("core", "hull", "n", "one.*"), "hulls")
+        same = rows.join_hot(nodes, hulls.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
+        found.append(same.select("anchor", "context", F.col("most_back").alias("reach_left"), (window - F.col("least_back")).alias("reach_right")))
+        sizes = rows.written(hulls.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "cores")
+        held = rows.join_hot(hulls, sizes, ["core"]).select("core", "m", "anchor", "context", "low", "high")
+        wider = todo.withColumnsRenamed({"low": "from_low", "high": "from_high"})  # a family lies in one that was cut
+        held = held.join(wider, ["anchor", "context"]).filter("low between from_low and from_high").drop("from_low", "from_high")
+        found.append(_matched(held.filter(F.col("m") <= most), "core", window))
+        if sizes.filter(F.col("m") > most).isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        todo, parts = rows.written(held.filter(F.col("m") > most).drop("core", "m"), "crowded"), 2
 
 
 def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, most_contexts: int = 1000) -> DataFrame:
