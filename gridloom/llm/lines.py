@@ -6,11 +6,16 @@ from the ranks of its halves, by one sort of the distinct pairs over the cluster
 that occur once drop out, so a round only sorts what is still repeated.
 
 Two suffixes share their first n lines if and only if the ranks of the two (overlapping) runs of
-2**k lines that make up those n are equal, k = floor(log2 n). For every suffix, the interval of
-the suffix array with longest common prefix n, where n is the number of lines that first reach
-`min_chars` characters, is therefore one key; but for its first suffix, in the order of
-documents and lines, the interval's suffixes are later copies. The union of their runs is every
-line that is in a later copy of a repeated run, maximal ones included, of `min_chars` or more.
+2**k lines that make up those n are equal, k = floor(log2 n). For every suffix and length n looked
+at, the interval of the suffix array with longest common prefix n or more is therefore one key; but
+for its first suffix, in the order of documents and lines, the interval's suffixes are later copies.
+
+The lengths looked at are those of the shortest runs of `min_chars` characters from each line on
+and up to each line. Every line x of a longer copied run, from s to f, is in one of these within
+that run: in the shortest from x on if x to f has the characters, in the shortest up to x if s to x
+has them, and in the shortest from s on otherwise. So the union of the later copies is every line
+of every later copy of a repeated run, maximal ones included, of `min_chars` or more, its short
+last lines too; and a document has at most two runs for each of its lines.
 
 Defined results: a null text has no line and stays null; an empty text stays empty; rows with
 equal id and text are copies, of which the first stays as far as it is no copy itself (as equal
@@ -34,16 +39,26 @@ def _numbered_lines() -> Column:
     return F.transform(lines, lambda x: F.struct(F.char_length(x["line"]).alias("chars"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(x["line"], F.lit("again")).alias("b")))
 
 
-def _needed(min_chars: int) -> Column:
-    """How many lines from place i (0-based) on first have min_chars characters; null if the text ends before."""
+def _reaching(first: Column, min_chars: int) -> Column:
+    """(chars, many): the lines from place `first` (0-based) on until they have min_chars characters, or the text ends."""
     start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("many"))
 
     def add(have: Column, x: Column) -> Column:
         more = F.struct((have["chars"] + x["chars"]).alias("chars"), (have["many"] + 1).alias("many"))
         return F.when(have["chars"] >= min_chars, have).otherwise(more)
 
-    run = F.aggregate(F.slice("lines", F.col("place") + 1, min_chars), start, add)
-    return F.when(run["chars"] >= min_chars, run["many"])
+    return F.aggregate(F.slice("lines", first + 1, min_chars), start, add)
+
+
+def _lengths(min_chars: int) -> tuple[Column, Column]:
+    """Least and greatest number of lines of the runs from place on that are looked at; null if the text ends before min_chars.
+
+    The least is the shortest run from here on. Those up to a later line that begin here go on while what follows the first line has under min_chars.
+    """
+    run, rest = _reaching(F.col("place"), min_chars), _reaching(F.col("place") + 1, min_chars)
+    least = F.when(run["chars"] >= min_chars, run["many"])
+    upto = F.when(rest["chars"] >= min_chars, rest["many"]).otherwise(rest["many"] + 1)
+    return least, F.when(least.isNotNull(), F.greatest(least, upto))
 
 
 def _ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -56,13 +71,16 @@ def later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """(row_key, row_check, places): places of the lines to delete, among the lines with a word."""
     at = ["doc_id", *rows.KEYS, "place"]
     lined = docs.select("doc_id", *rows.KEYS, _numbered_lines().alias("lines"))
-    line = lined.select("doc_id", *rows.KEYS, "lines", F.posexplode("lines").alias("place", "line")).select(*at, _needed(min_chars).alias("need"), "line.a", "line.b")
+    least, longest = _lengths(min_chars)
+    line = lined.select("doc_id", *rows.KEYS, "lines", F.posexplode("lines").alias("place", "line")).select(*at, least.alias("least"), longest.alias("longest"), "line.a", "line.b")
     line = rows.written(line, "lines")
-    level = rows.written(line.join(_ranked(line, ["a", "b"], "ranks-0"), ["a", "b"]).select(*at, "need", "rank"), "level-0")
+    span = ["least", "longest"]
+    level = rows.written(line.join(_ranked(line, ["a", "b"], "ranks-0"), ["a", "b"]).select(*at, *span, "rank"), "level-0")
     starts = []
-    length, most = 1, level.agg(F.max("need")).first()[0] or 0
+    length, most = 1, level.agg(F.max("longest")).first()[0] or 0
     while length <= most:
-        mine = level.filter((F.col("need") >= length) & (F.col("need") < 2 * length))
+        mine = level.filter((F.col("longest") >= length) & (F.col("least") < 2 * length))
+        mine = mine.select(*at, "rank", F.explode(F.sequence(F.greatest("least", F.lit(length)), F.least("longest", F.lit(2 * length - 1)))).alias("need"))
         other = level.select(*(F.col(c).alias(f"{c}_2") for c in (*at, "rank")))
         there = (level["row_key"] == other["row_key_2"]) & (level["row_check"] == other["row_check_2"])
         if length == 1:
@@ -71,11 +89,11 @@ def later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
             starts.append(mine.join(other, there & (mine["place"] + mine["need"] - length == other["place_2"])).select(*at, "need", "rank", "rank_2"))
         if 2 * length > most:
             break
-        pairs = level.join(other, there & (level["place"] + length == other["place_2"])).select(*at, "need", F.col("rank").alias("first"), F.col("rank_2").alias("second"))
+        pairs = level.join(other, there & (level["place"] + length == other["place_2"])).select(*at, *span, F.col("rank").alias("first"), F.col("rank_2").alias("second"))
         pairs = rows.written(pairs, "pairs")
         length *= 2
         ranks = _ranked(pairs, ["first", "second"], f"ranks-{length}")
-        level = rows.written(pairs.join(ranks, ["first", "second"]).select(*at, "need", "rank"), f"level-{length}")
+        level = rows.written(pairs.join(ranks, ["first", "second"]).select(*at, *span, "rank"), f"level-{length}")
         if level.isEmpty():
             break
     if not starts:
