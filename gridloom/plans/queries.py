@@ -109,7 +109,7 @@ def r07_grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r08_tile_overlap_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = _t(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    line = _t(spark, sf_dir, "lineitem")
     x, y = F.col("l_quantity") % 20, F.col("l_quantity") % 30
     boxes = line.select(F.col("l_partkey").alias("image_id"), x.alias("x_min"), y.alias("y_min"), (x + F.col("l_linenumber") * 3).alias("x_max"), (y + F.col("l_linenumber") * 5).alias("y_max"))
     return tiles.labelled(_part_tiles(spark, sf_dir), boxes).select("image_id", "index", "label")
@@ -128,7 +128,7 @@ def r09_coarse_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10).alias("logits"))
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
     return e.select("vec_id", F.posexplode(scoring.softmax(F.col("logits"))).alias("class_idx", "p"))
 
 
@@ -179,7 +179,7 @@ def r15_grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r16_detections_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").filter("user_id < 20").select(F.col("user_id").alias("image"), F.col("event_type").alias("label"), (F.col("value") / 100).alias("conf"), F.col("event_id").alias("pos"))
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("image"), F.col("event_type").alias("label"), (F.col("value") / 100).alias("conf"), F.col("event_id").alias("pos"))
     return scoring.detections(e, "image").select("image", F.array_join("labels", ",").alias("labels"))
 
 
@@ -237,7 +237,7 @@ def r22_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic 12 x 9 pictures of three channels."""
-    part = _t(spark, sf_dir, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(12 * 9 * 3 - 1))).alias("k"), "p_size")
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(12 * 9 * 3 - 1))).alias("k"), "p_size")
     v = (F.col("k") * 7 + F.col("p_size") * F.col("k") % 31 + F.col("image") * 13) % 256
     return part.select("image", F.expr("cast(k div 36 as int)").alias("y"), F.expr("cast(k div 3 % 12 as int)").alias("x"), F.expr("cast(k % 3 as int)").alias("c"), v.cast("int").alias("v"))
 
@@ -253,18 +253,19 @@ def r23b_pixel_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic BGR rasters, one for each small part."""
+    """Synthetic BGR rasters, one for each part."""
 
     def paint(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for key, size in zip(part["p_partkey"], part["p_size"], strict=True):
-                h, w = 24 + int(size), 30 + int(size) * 2
-                y, x, c = np.mgrid[0:h, 0:w, 0:3]
-                out.append((key, h, w, 3, ((x * 5 + y * 3 + c * 40 + key * 11) % 256).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["image_id", "height", "width", "nChannels", "data"])
-
-    part = _t(spark, sf_dir, "part").filter("p_partkey < 40").select("p_partkey", "p_size")
+            for start in range(0, len(part), 100):
+                out = []
+                for key, size in part.iloc[start : start + 100].itertuples(index=False):
+                    h, w = 24 + int(size), 30 + int(size) * 2
+                    y, x, c = np.mgrid[0:h, 0:w, 0:3]
+                    out.append((key, h, w, 3, ((x * 5 + y * 3 + c * 40 + key * 11) % 256).astype(np.uint8).tobytes()))
+                yield pd.DataFrame(out, columns=["image_id", "height", "width", "nChannels", "data"])
+
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
     return part.mapInPandas(paint, "image_id long, height int, width int, nChannels int, data binary")
 
 
