@@ -13,8 +13,10 @@ word. Order 2: P(w | v) = d(c) c / c(v) for pairs seen in training, else a(v) P(
 shares what the discounts of v's followers take away among the words that did not follow v,
 unknown ones included, so that all sum to one. If nothing was taken away (all counts over `KEEP`),
 the total is c(v) + 1. After an unknown word, P(w). Texts begin in a state of their own and end
-with a token. Discounts are Good-Turing's for counts up to `KEEP`; where these are not between 0
-and 1 (small corpora), absolute discounting takes their place.
+with a token. Discounts are Good-Turing's for counts up to `KEEP`. Groups of copies make counts of
+counts uneven at any size; where the discounts then do not rise between 0 and 1, they are taken from
+a line fitted to the logarithms of counts and counts of counts. Absolute discounting takes their
+place only where no falling line fits (tables of a few counts).
 
 Defined results: a null text is an empty one, of one token, the end; rows are scored one by one;
 without training rows nothing is known and the unknown word has probability 1.
@@ -42,17 +44,40 @@ HOT_WORDS = 1000
 END = np.uint64(0x5EED0E4D)
 
 
+def _good_turing(n: list[float]) -> np.ndarray:
+    """Katz's discounts d(1..KEEP) of the counts of counts n[1..KEEP + 1], all over 0."""
+    whole = (KEEP + 1) * n[KEEP + 1] / n[1]
+    return np.array([((r + 1) * n[r + 1] / (r * n[r]) - whole) / (1 - whole) if whole < 1 else 0.0 for r in range(1, KEEP + 1)])
+
+
+def _slope(n: list[float]) -> float:
+    """Of the line through log n[r] over log r, a count shared with the empty ones around it; 0 if there are no two to fit."""
+    seen = [r for r in range(1, KEEP + 2) if n[r]]
+    if len(seen) < 2 or seen[0] > 1:
+        return 0.0
+    before = [0, *seen[:-1]]
+    after = [*seen[1:], 2 * seen[-1] - seen[-2]]
+    share = [2 * n[r] / (t - q) for q, r, t in zip(before, seen, after, strict=True)]
+    return float(np.polyfit(np.log(seen), np.log(share), 1)[0])
+
+
 def discounts(of_count: list[int]) -> np.ndarray:
-    """d(0..KEEP); of_count[r]: how many were seen r times, r up to KEEP + 1. d(0) is unused."""
+    """d(0..KEEP); of_count[r]: how many were seen r times, r up to KEEP + 1. d(0) is unused.
+
+    Good-Turing of the counts of counts as they are if that rises between 0 and 1, else of the line r**slope fitted
+    to them, whose discounts do so for every slope under -1; absolute discounting only where there is no such line.
+    """
     n = [float(x) for x in of_count]
     d = np.ones(KEEP + 1)
-    whole = (KEEP + 1) * n[KEEP + 1] / n[1] if n[1] else 0.0
-    if all(n[r] for r in range(1, KEEP + 2)) and whole < 1:
-        for r in range(1, KEEP + 1):
-            d[r] = ((r + 1) * n[r + 1] / (r * n[r]) - whole) / (1 - whole)
-    if not all(0 < x < 1 for x in d[1:]):
-        less = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        d[1:] = [(r - less) / r for r in range(1, KEEP + 1)]
+    if all(n[1 : KEEP + 2]):
+        d[1:] = _good_turing(n)
+    if not (all(0 < x < 1 for x in d[1:]) and all(np.diff(d[1:]) >= 0)):
+        slope = _slope(n)
+        if slope < -1:
+            d[1:] = _good_turing([0.0, *(r**slope for r in range(1, KEEP + 2))])
+        else:
+            less = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+            d[1:] = [(r - less) / r for r in range(1, KEEP + 1)]
     return d
 
 
