@@ -172,6 +172,11 @@ def common_shingles(info: DataFrame, most: int = 300_000, least: int = 8) -> np.
     return np.sort(found.toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
+def _homes(key: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key, rising with it; by its upper 32 bits, so that the product fits 64 bits for any int of ranges."""
+    return ((key >> np.uint64(_KEY_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: int, ranges: int) -> DataFrame:
     """(key, a): the announced keys that two different sets have, with a hash of those sets (maybe repeated)."""
 
@@ -196,7 +201,7 @@ def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: i
             local = many[group]
             speaker = np.flatnonzero(fresh)
             kept_key, kept_text, known = key[speaker], text[speaker], many
-            home = (kept_key * np.uint64(ranges) >> np.uint64(_KEY_BITS)).astype(np.int64)
+            home = _homes(kept_key, ranges)
             cuts = np.searchsorted(home, np.arange(ranges + 1))
             out = []
             here = int(key[0]) % ranges
