@@ -10,11 +10,11 @@ _TILES = """select p_partkey as image_id, (p_size + 9)::int as width, (p_size *
   ((i % 3) * ((p_size + 9) // 3))::int as x_min, ((i // 3) * ((p_size * 2 + 7) // 3))::int as y_min, ((i % 3 + 1) * ((p_size + 9) // 3))::int as x_max, ((i // 3 + 1) * ((p_size * 2 + 7) // 3))::int as y_max
   from part, range(9) t(i)"""
 _P = """select vec_id, i::int as class_idx, exp(x - max(x) over (partition by vec_id)) / sum(exp(x - m)) over (partition by vec_id) as p
-  from (select *, max(x) over (partition by vec_id) as m from (select vec_id, i, embedding[i + 1]::double * 10 as x from embeddings, range(10) t(i)))"""
+  from (select *, max(x) over (partition by vec_id) as m from (select vec_id, i, embedding[i + 1]::double * 10 as x from embeddings, range(64) t(i)))"""
 _VOCABULARY = "(values (0, 'school bus'), (1, 'minibus'), (2, 'trolleybus'), (3, 'sports car'), (4, 'traffic light'), (5, 'mountain bike'), (6, 'cabinet'), (7, 'hydrant'), (8, 'dog'), (9, 'tandem')) v(class_idx, label)"
 _EPOCHS = "select event_id // 300 as epoch, round(avg(case when event_type = 'click' then 1::double else 0::double end), 3) as val_acc from events group by 1"
 _PIXELS = """select p_partkey as image, (k // 36)::int as y, (k // 3 % 12)::int as x, (k % 3)::int as c, ((k * 7 + p_size * k % 31 + p_partkey * 13) % 256)::int as v
-  from part, range(324) t(k) where p_partkey < 50"""
+  from part, range(324) t(k)"""
 _PARTS = "case when p_partkey % 3 = 0 then format('{:012d}_original.jpg', p_partkey) when p_partkey % 3 = 1 then format('{:012d}_night.jpg', p_partkey) else format('other_{:012d}_original.jpg', p_partkey) end"
 _CLIP = "greatest(0, least(255, floor({})))::int"
 
@@ -47,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "r06_variant_fanout": "select p_partkey as id, variant, format('other_{:012d}_', p_partkey) || variant || '.jpg' as name from part, (values ('original'), ('night'), ('rain')) v(variant)",
         "r06b_variant_draws": f"select p_partkey as id, variant, round(case variant when 'night' then 0.2::double + {_unit('night', 'p_partkey')} * (0.4::double - 0.2::double) else 0.5::double + {_unit('rain', 'p_partkey')} * (0.8::double - 0.5::double) end, 9) as factor from part, (values ('night'), ('rain')) v(variant)",
         "r07_grid_tiles": _TILES,
-        "r08_tile_overlap_label": f"""with t as ({_TILES}), b as (select l_partkey as image_id, l_quantity % 20 as x_min, l_quantity % 30 as y_min, l_quantity % 20 + l_linenumber * 3 as x_max, l_quantity % 30 + l_linenumber * 5 as y_max from lineitem where l_linenumber <= 2)
+        "r08_tile_overlap_label": f"""with t as ({_TILES}), b as (select l_partkey as image_id, l_quantity % 20 as x_min, l_quantity % 30 as y_min, l_quantity % 20 + l_linenumber * 3 as x_max, l_quantity % 30 + l_linenumber * 5 as y_max from lineitem)
             select image_id, "index", (exists (select 1 from b where b.image_id = t.image_id and t.x_min < b.x_max and t.x_max > b.x_min and t.y_min < b.y_max and t.y_max > b.y_min))::int as label from t""",
         "r08b_tile_label_arrays": f'select image_id, "index", (x_min < 12 and x_max > 5 and y_min < 12 and y_max > 5)::int as label from ({_TILES})',
         "r09_coarse_keywords": f"select p_partkey, {joined(anywhere)} as categories, {joined(whole)} as whole_words from part",
@@ -60,7 +60,7 @@ def oracle_sql() -> dict[str, str]:
         "r13b_published_best": "select 7::int as epoch, 0.9749::double as val_acc",
         "r14_natural_sort": "select p_brand, row_number() over (order by regexp_extract(p_brand, '^[^0-9]*'), regexp_extract(p_brand, '[0-9]+$')::int)::int as place from (select distinct p_brand from part)",
         "r15_grid_pivot": "select l_orderkey % 50 as grid, (((l_linenumber - 1) % 9) // 3)::int as row, max(case when ((l_linenumber - 1) % 9) % 3 = 0 then l_returnflag end) as c0, max(case when ((l_linenumber - 1) % 9) % 3 = 1 then l_returnflag end) as c1, max(case when ((l_linenumber - 1) % 9) % 3 = 2 then l_returnflag end) as c2 from lineitem group by 1, 2",
-        "r16_detections_collect": "select user_id as image, string_agg(event_type, ',' order by value / 100 desc, event_id) as labels from events where user_id < 20 and value / 100 >= 0.1::double group by user_id",
+        "r16_detections_collect": "select user_id as image, string_agg(event_type, ',' order by value / 100 desc, event_id) as labels from events where value / 100 >= 0.1::double group by user_id",
         "r17_gap_fill": "select i::int as tile, coalesce(n_name, 'missing') as mark, case when n_name is null then 'missing' else 'ok' end as status from range(9) t(i) left join nation on n_nationkey = i and n_nationkey % 3 <> 1",
         "r18_incremental": f"""select 'limit_first' as mode, o_orderkey as id from (select o_orderkey from orders where o_orderkey in ({_PROMO}) order by 1 limit 100) where o_orderkey % 2 <> 0
             union all (select 'new_only', o_orderkey from orders where o_orderkey in ({_PROMO}) and o_orderkey % 2 <> 0 order by 2 limit 100)""",
