@@ -17,48 +17,75 @@ has them, and in the shortest from s on otherwise. So the union of the later cop
 of every later copy of a repeated run, maximal ones included, of `min_chars` or more, its short
 last lines too; and a document has at most two runs for each of its lines.
 
-Defined results: a null text has no line and stays null; an empty text stays empty; rows with
+Defined results: a null text is an empty one; an empty text stays empty; rows with
 equal id and text are copies, of which the first stays as far as it is no copy itself (as equal
 rows can't be told apart, they get one result: what both lose); ids are compared as they sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import rows
+from gridloom.llm import text as tx
 
-_WORD = r"\S"  # Java's: a character other than the ASCII blanks
-
-
-def _numbered_lines() -> Column:
-    """Array of (line_no, chars, a, b) of the lines with a word; a and b are the line's ID."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
-    lines = F.filter(lines, lambda x: x["line"].rlike(_WORD))
-    return F.transform(lines, lambda x: F.struct(F.char_length(x["line"]).alias("chars"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(x["line"], F.lit("again")).alias("b")))
-
+_LINE = "row_key long, row_check long, place int, a long, b long, least int, longest int"
 
-def _reaching(first: Column, min_chars: int) -> Column:
-    """(chars, many): the lines from place `first` (0-based) on until they have min_chars characters, or the text ends."""
-    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("many"))
 
-    def add(have: Column, x: Column) -> Column:
-        more = F.struct((have["chars"] + x["chars"]).alias("chars"), (have["many"] + 1).alias("many"))
-        return F.when(have["chars"] >= min_chars, have).otherwise(more)
+def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, row_key, row_check, place, a, b, least, longest) for each line with a word; a and b are the line's ID.
 
-    return F.aggregate(F.slice("lines", first + 1, min_chars), start, add)
-
-
-def _lengths(min_chars: int) -> tuple[Column, Column]:
-    """Least and greatest number of lines of the runs from place on that are looked at; null if the text ends before min_chars.
-
-    The least is the shortest run from here on. Those up to a later line that begin here go on while what follows the first line has under min_chars.
+    least and longest: number of lines of the shortest and the longest run from here on that is looked at; null if the text ends
+    before min_chars. The shortest is the first with min_chars characters. Those up to a later line that begin
+    here go on while what follows the first line has under min_chars.
     """
-    run, rest = _reaching(F.col("place"), min_chars), _reaching(F.col("place") + 1, min_chars)
-    least = F.when(run["chars"] >= min_chars, run["many"])
-    upto = F.when(rest["chars"] >= min_chars, rest["many"]).otherwise(rest["many"] + 1)
-    return least, F.when(least.isNotNull(), F.greatest(least, upto))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in rows.text_chunks(batches):
+            w = worded_lines(data, bounds)
+            if not len(w.starts):
+                continue
+            upto = np.concatenate([[0], np.cumsum(w.chars)])
+            place = np.arange(len(w.starts))
+            end = w.first[w.of + 1]
+            far = lambda first: np.searchsorted(upto, upto[first] + min_chars)  # noqa: E731  one behind the last line of the run from `first` on
+            least = far(place)
+            longest = np.maximum(least, np.minimum(far(place + 1) - 1, end)) - place
+            fits = least <= end
+            spans = (pa.array(x.astype(np.int32), mask=~fits) for x in (least - place, longest))
+            ids = (tx.span_hashes(data, w.starts, w.ends, t).view(np.int64) for t in (tx.BYTES, tx.SECOND))
+            mine = batch.select(["doc_id", *rows.KEYS]).take(pa.array(w.of))
+            yield pa.RecordBatch.from_arrays([*mine.columns, pa.array((place - w.first[w.of]).astype(np.int32)), *map(pa.array, ids), *spans], names=["doc_id", *rows.KEYS, "place", "a", "b", "least", "longest"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {_LINE}")
+
+
+class WordedLines(NamedTuple):
+    """Byte spans, characters and texts of the lines with a word; text d has lines first[d]..first[d+1]-1 of them."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    chars: np.ndarray
+    of: np.ndarray
+    first: np.ndarray
+
+
+def worded_lines(data: np.ndarray, bounds: np.ndarray) -> WordedLines:
+    breaks = np.flatnonzero(data == 0x0A)
+    starts = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
+    starts = starts[starts < len(data)]
+    ends = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, starts)], bounds[np.searchsorted(bounds, starts, side="right")])
+    word, char = (np.concatenate([[0], np.cumsum(x)]) for x in (tx.NOT_BLANK[data], (data & 0xC0) != 0x80))
+    kept = word[ends] > word[starts]
+    starts, ends = starts[kept], ends[kept]
+    of = np.searchsorted(bounds, starts, side="right") - 1
+    return WordedLines(starts, ends, char[ends] - char[starts], of, np.searchsorted(of, np.arange(len(bounds))))
 
 
 def _ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -70,12 +97,9 @@ def _ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
 def later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """(row_key, row_check, places): places of the lines to delete, among the lines with a word."""
     at = ["doc_id", *rows.KEYS, "place"]
-    lined = docs.select("doc_id", *rows.KEYS, _numbered_lines().alias("lines"))
-    least, longest = _lengths(min_chars)
-    line = lined.select("doc_id", *rows.KEYS, "lines", F.posexplode("lines").alias("place", "line")).select(*at, least.alias("least"), longest.alias("longest"), "line.a", "line.b")
-    line = rows.written(line, "lines")
+    line = rows.written(_line_rows(docs, min_chars), "lines")
     span = ["least", "longest"]
-    level = rows.written(line.join(_ranked(line, ["a", "b"], "ranks-0"), ["a", "b"]).select(*at, *span, "rank"), "level-0")
+    level = rows.written(line.join(_ranked(line, ["a", "b"], "ranks-0"), ["a", "b"]).select(*at, *span, "rank").dropDuplicates([*rows.KEYS, "place"]), "level-0")
     starts = []
     length, most = 1, level.agg(F.max("longest")).first()[0] or 0
     while length <= most:
@@ -89,7 +113,8 @@ def later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
             starts.append(mine.join(other, there & (mine["place"] + mine["need"] - length == other["place_2"])).select(*at, "need", "rank", "rank_2"))
         if 2 * length > most:
             break
-        pairs = level.join(other, there & (level["place"] + length == other["place_2"])).select(*at, *span, F.col("rank").alias("first"), F.col("rank_2").alias("second"))
+        behind = Window.partitionBy(*rows.KEYS).orderBy("place").rangeBetween(length, length)
+        pairs = level.select(*at, *span, F.col("rank").alias("first"), F.max("rank").over(behind).alias("second")).filter("second is not null")
         pairs = rows.written(pairs, "pairs")
         length *= 2
         ranks = _ranked(pairs, ["first", "second"], f"ranks-{length}")
@@ -111,10 +136,24 @@ def later_copies(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
     """doc_id, row_key, row_check, n_lines (with a word), n_removed and kept_text for each row of docs."""
     d = rows.keyed(docs, id_col, text_col)
-    d = rows.with_info(d, later_copies(d, min_chars)).withColumn("lines", F.split("text", "\n"))
-    worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(_WORD))
-    d = d.withColumn("worded", worded)
-    gone = F.transform("places", lambda p: F.get("worded", p))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone), lambda i: F.get("lines", i))
-    kept = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return d.select("doc_id", *rows.KEYS, F.size("worded").cast("long").alias("n_lines"), F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long").alias("n_removed"), kept.alias("kept_text"))
+    d = rows.with_info(d, later_copies(d, min_chars))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in rows.text_chunks(batches):
+            w, places, kept, lost = worded_lines(data, bounds), batch.column("places"), [], []
+            for t, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                gone = np.sort(places[t].values.to_numpy()) + w.first[t] if places[t].is_valid else w.first[:0]
+                lost.append(len(gone))
+                kept.append(_without(data[i:j], w.starts[gone] - i, w.ends[gone] - i) if len(gone) else data[i:j].tobytes())
+            columns = [batch.column(c) for c in ("doc_id", *rows.KEYS)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(w.first)), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", *rows.KEYS, "n_lines", "n_removed", "kept_text"])
+
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, row_key long, row_check long, n_lines long, n_removed long, kept_text string")
+
+
+def _without(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The text without these lines, each with the line break behind it, or the one before it if nothing follows that stays."""
+    keep = ~tx.covered(starts, np.minimum(ends + 1, len(text)) - starts, len(text))
+    if len(ends) and ends[-1] == len(text) and keep.any():
+        keep[np.flatnonzero(keep)[-1]] = False  # the break behind the last line that stays
+    return text[keep].tobytes()

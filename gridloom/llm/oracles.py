@@ -19,15 +19,12 @@ from d left join m on d.payload_digest = m.payload_digest
 OP2 = r"""
 with raw as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
 every as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as line_no from raw),
-worded as (select doc_id, line_no, line, row_number() over (partition by doc_id order by line_no) - 1 as place,
-    sum(length(line)) over (partition by doc_id order by line_no) as upto
+worded as (select doc_id, line_no, line, row_number() over (partition by doc_id order by line_no) - 1 as place
   from every where regexp_matches(line, '[^\x20\x09-\x0D]')),
-need as (select s.doc_id, s.place, min(e.place) as final from worded s join worded e
-    on s.doc_id = e.doc_id and e.place >= s.place and e.place < s.place + 40 and e.upto - s.upto + length(s.line) >= 40 group by all),
-run as (select n.doc_id, n.place, n.final, string_agg(w.line, chr(10) order by w.place) as content
-  from need n join worded w on n.doc_id = w.doc_id and w.place between n.place and n.final group by all),
-later as (select doc_id, place, final from (select *, row_number() over (partition by content order by doc_id, place) as nth from run) where nth > 1),
-gone as (select distinct l.doc_id, w.line_no from later l join worded w on l.doc_id = w.doc_id and w.place between l.place and l.final),
+same as (select a.doc_id, a.line_no, a.place, length(a.line) as chars, b.doc_id as other, a.place - b.place as gap
+  from worded a join worded b on a.line = b.line and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.place < a.place))),
+run as (select *, place - row_number() over (partition by doc_id, other, gap order by place) as run from same),
+gone as (select distinct doc_id, line_no from (select *, sum(chars) over (partition by doc_id, other, gap, run) as size from run) where size >= 40),
 kept as (select e.doc_id, coalesce(string_agg(e.line, chr(10) order by e.line_no), '') as kept from every e
   where not exists (select 1 from gone g where g.doc_id = e.doc_id and g.line_no = e.line_no) group by e.doc_id)
 select r.doc_id, (select count(*) from worded w where w.doc_id = r.doc_id)::bigint as n_lines,

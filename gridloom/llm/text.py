@@ -20,6 +20,8 @@ CHUNK = 1 << 19
 
 _RANDOM = np.random.default_rng(5_150_211)
 BYTES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Another table, for a second hash that does not follow from the first.
+SECOND = np.random.default_rng(7_300_427).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -93,23 +93,18 @@ def test_jaccard_common_passage(spark):
 
 
 def deleted_lines(by_doc, least):
+    """Every line of any run of lines of `least` characters or more that has an earlier copy, by trying all runs."""
     seen, out = set(), {}
     for i in sorted(by_doc):
         parts = (by_doc[i] or "").split("\n")
         worded = [k for k, x in enumerate(parts) if corpus.WORD.search(x)]
         gone = set()
         for s in range(len(worded)):
-            size, run = 0, []
-            for k in worded[s:]:
-                run.append(parts[k])
-                size += len(parts[k])
-                if size >= least:
-                    break
-            if size < least:
-                continue
-            if tuple(run) in seen:
-                gone |= set(worded[s : s + len(run)])
-            seen.add(tuple(run))
+            for e in range(s + 1, len(worded) + 1):
+                run = tuple(parts[k] for k in worded[s:e])
+                if sum(map(len, run)) >= least and run in seen:
+                    gone |= set(worded[s:e])
+                seen.add(run)
         out[i] = (len(worded), len(gone), "\n".join(x for k, x in enumerate(parts) if k not in gone))
     return out
 
@@ -123,6 +118,19 @@ def test_lines(spark, least):
     assert by_id(lines.dedup_lines(d, min_chars=least).collect(), "n_lines", "n_removed", "kept_text") == deleted_lines(dict(data), least)
 
 
+def test_lines_of_a_very_long_text(spark):
+    """200,000 lines in one text, of which another has the last 1,000; beside them a row that is repeated often."""
+    long = [f"line {i} of a text" for i in range(200_000)]
+    data = [(1, "\n".join(long)), (2, "\n".join(["first", *long[-1000:], "", "last"])), *[(3, "a repeated row of one line with more than forty characters")] * 3000]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect(), "n_lines", "n_removed", "kept_text")
+    assert got == {1: (200_000, 0, data[0][1]), 2: (1002, 1000, "first\n\nlast"), 3: (1, 0, data[2][1])}
+
+
+def test_lines_with_and_without_words():
+    w = lines.worded_lines(np.frombuffer("a\n\n \nbéc\n".encode(), np.uint8), np.array([0, 0, 8, 8, 10]))
+    assert [x.tolist() for x in w] == [[0, 5, 8], [1, 8, 9], [1, 2, 1], [1, 1, 3], [0, 0, 2, 2, 3]]
+
+
 def test_lines_of_repeated_rows(spark):
     got = lines.dedup_lines(corpus.docs(spark)).collect()
     assert len(got) == len(corpus.rows())
