@@ -1,11 +1,15 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Pages are range-partitioned by page_id into shards of about `shard_bytes` of payload. The bounds
-come from page ids chosen by their own hash, so the same pages give the same shards, whatever
-the partitions. Within a shard records are sorted, and files are closed at `file_bytes` compressed.
-Every record is a gzip member of its own, with headers and digests made anew. A task writes to
-temporary names and returns manifest rows; only what successful tasks returned is renamed, then
-the manifest is renamed into place. Files without a manifest are not an archive.
+Pages are sorted by (page_id, payload digest) and cut into shards of about `shard_bytes` of payload: a
+range sort of ids and sizes alone gives the running sums that name each shard's first key, so
+the same pages give the same shards, whatever the partitions. Payloads then go to the partition
+of their shard's number, each shard to one of its own, are sorted there, and files are closed at
+`file_bytes` compressed. Every record is a gzip member of its own, with headers and digests made anew.
+
+Commit: a task writes its files under temporary names, renames them when its shard is whole, and
+last renames the shard's own manifest into place. The names follow from the shard, so an
+attempt that is repeated replaces equal files. The driver only adds up what the tasks did, writes the
+archive's manifest (counts), and removes what killed attempts left. Without it a folder is no archive.
 
 Of pages with equal payloads of at least `revisit_bytes`, that with the largest page_id holds
 the payload, the others are revisit records that refer to it. Who refers to whom is found on
@@ -13,7 +17,8 @@ digests alone and merged into the sorted stream, so payloads are shuffled once.
 
 Defined results: a null payload is an empty one; a null page_id sorts first and never is what
 others refer to; repeated rows of the referred page all stay responses; a null url is written as
-`urn:page:<id>`; further columns are not archived.
+`urn:page:<id>`; further columns are not archived; rows of one page_id with different payloads may
+be in different shards, rows equal in both are in one, which is written as a stream.
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import rows
@@ -37,6 +42,7 @@ from gridloom.llm import rows
 _NEWLINE = b"\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard long, part long, path string, records long, bytes long, sha256 string"
+_COUNTS = "shards long, files long, records long, bytes long"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, payload binary"
 
 
@@ -79,87 +85,117 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _shard_bounds(pages: DataFrame, shard_bytes: int, sample: int = 20_000) -> list[int]:
-    """First page ids of the shards but the first, from about `sample` ids chosen by hash."""
-    n, size = pages.agg(F.count("*"), F.sum("payload_bytes")).first()
-    shards = max(1, -(-int(size or 0) // shard_bytes))
-    if shards == 1:
-        return []
-    every = max(1, n // sample)
-    chosen = pages.filter(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0)).groupBy("page_id").agg(F.count("*").alias("n")).toPandas().sort_values("page_id")
-    if chosen.empty:
-        return []
-    share = chosen["n"].cumsum().to_numpy() / chosen["n"].sum()
-    at = np.searchsorted(share, np.arange(1, shards) / shards)
-    return sorted(set(chosen["page_id"].to_numpy()[np.minimum(at, len(chosen) - 1)].tolist()))
-
+def _sort_key(page_id: int | None, digest: str) -> tuple[bool, int, str]:
+    """Nulls first, as Spark sorts."""
+    return page_id is not None, page_id or 0, digest
 
-class _Files:
-    """Rolls temporary files of one task."""
 
-    def __init__(self, folder: str, file_bytes: int) -> None:
+def _shard_bounds(pages: DataFrame, shard_bytes: int, most_shards: int) -> list[tuple[bool, int, str]]:
+    """The first sort key of each shard but the first; pages: page_id, digest, payload_bytes."""
+    size = pages.agg(F.sum("payload_bytes")).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-size // most_shards))
+    if size <= shard_bytes:
+        return []
+    keys = [F.col("page_id").asc_nulls_first(), F.col("digest")]
+    sized = pages.groupBy("page_id", "digest").agg(F.sum("payload_bytes").alias("size"))
+    ranged = rows.written(sized.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
+    before, offset = {}, 0
+    for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).orderBy("range").collect():  # one row for each shuffle partition
+        before[r["range"]], offset = offset, offset + r["size"]
+    start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("range")]
+    ahead = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    at = (start + F.coalesce(F.sum("size").over(ahead), F.lit(0))) / F.lit(shard_bytes)
+    first = ranged.withColumn("shard", F.floor(at)).groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "digest")).alias("key"))
+    return sorted(_sort_key(r["key"]["page_id"], r["key"]["digest"]) for r in first.collect())[1:]
+
+
+class _Shard:
+    """Rolls the files of one shard under temporary names; commit() gives them their own."""
+
+    def __init__(self, folder: str, shard: int, file_bytes: int) -> None:
         self.fs, self.path = pafs.FileSystem.from_uri(folder)
-        self.file_bytes, self.stream, self.done, self.shard = file_bytes, None, [], None
+        self.shard, self.file_bytes, self.attempt = shard, file_bytes, uuid.uuid4().hex
+        self.stream, self.done = None, []
 
-    def add(self, shard: int, record: bytes) -> None:
-        if self.stream is not None and (shard != self.shard or self.size >= self.file_bytes):
-            self.close()
+    def add(self, record: bytes) -> None:
+        if self.stream is not None and self.size >= self.file_bytes:
+            self._close()
         if self.stream is None:
-            self.part = self.part + 1 if shard == self.shard else 0
-            self.shard, self.size, self.records, self.sum = shard, 0, 0, hashlib.sha256()
-            self.name = f"_temporary/{shard:06d}-{self.part:05d}-{uuid.uuid4().hex}"
-            self.stream = self.fs.open_output_stream(f"{self.path}/{self.name}", compression=None)
+            self.size, self.records, self.sum = 0, 0, hashlib.sha256()
+            self.name = f"part-{self.shard:06d}-{len(self.done):05d}.warc.gz"
+            self.stream = self.fs.open_output_stream(self._temporary(self.name), compression=None)
         self.stream.write(record)
         self.sum.update(record)
         self.size, self.records = self.size + len(record), self.records + 1
 
-    def close(self) -> None:
-        if self.stream is not None:
-            self.stream.close()
-            self.done.append((self.shard, self.part, self.name, self.records, self.size, self.sum.hexdigest()))
-            self.stream = None
+    def _temporary(self, name: str) -> str:
+        return f"{self.path}/_temporary/{name}-{self.attempt}"
+
+    def _close(self) -> None:
+        self.stream.close()
+        self.stream = None
+        self.done.append({"shard": self.shard, "part": len(self.done), "path": self.name, "records": self.records, "bytes": self.size, "sha256": self.sum.hexdigest()})
+
+    def commit(self) -> tuple[int, int, int, int]:
+        self._close()
+        for f in self.done:
+            self.fs.move(self._temporary(f["path"]), f"{self.path}/{f['path']}")
+        name = _shard_manifest(self.shard)
+        with self.fs.open_output_stream(self._temporary(name)) as out:
+            out.write(json.dumps(self.done, indent=1).encode())
+        self.fs.move(self._temporary(name), f"{self.path}/{name}")
+        return 1, len(self.done), sum(f["records"] for f in self.done), sum(f["bytes"] for f in self.done)
 
 
-def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> list[dict]:
-    """Write pages (page_id, url, html) as WARC files under `folder`; returns the manifest, one entry for each file."""
+def _shard_manifest(shard: int) -> str:
+    return f"manifest-{shard:06d}.json"
+
+
+def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", most_shards: int = 100_000) -> dict[str, int]:
+    """Write pages (page_id, url, html) as WARC files under `folder`, a new one; returns numbers of shards, files, records and bytes.
+
+    most_shards: bounds what the driver and each task hold of shard bounds; larger tables have larger shards.
+    """
+    fs, path = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{path}/manifest.json").type != pafs.FileType.NotFound:
+        raise FileExistsError(f"{folder} is an archive already")
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir_contents(path)  # what a writer that was killed has left
+    fs.create_dir(f"{path}/_temporary", recursive=True)
+
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    bounds = np.array(_shard_bounds(p.select("page_id", "payload_bytes"), shard_bytes), dtype=np.int64)
+    slim = p.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    bounds = _shard_bounds(slim, shard_bytes, most_shards)
 
-    @F.pandas_udf("long")
-    def shard_of(page_id: pd.Series) -> pd.Series:
-        return pd.Series(np.where(page_id.isna(), 0, np.searchsorted(bounds, page_id.fillna(0).astype("int64"), side="right")))
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        keys = zip(page_id.astype("Int64").astype(object).where(page_id.notna(), None), digest, strict=True)
+        return pd.Series([bisect_right(bounds, _sort_key(*k)) for k in keys], dtype="int32")
 
     # Who refers to whom, on digests; these rows sort right before their pages.
-    slim = p.filter((F.col("payload_bytes") >= revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("digest"), "payload_bytes")
+    slim = slim.filter((F.col("payload_bytes") >= revisit_bytes) & F.col("page_id").isNotNull())
     kept = slim.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = rows.join_hot(slim, kept, ["digest", "payload_bytes"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to")
+    refers = rows.join_hot(slim, kept, ["digest", "payload_bytes"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     stream = p.select("page_id", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(
         refers.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     )
-    many = max(len(bounds) + 1, 1)
-    stream = stream.withColumn("shard", shard_of("page_id")).repartition(many, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
+    stream = stream.withColumn("shard", shard_of("page_id", "digest")).repartitionById(len(bounds) + 1, "shard")
+    stream = stream.sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, target = _Files(folder, file_bytes), None
+        shard, target = None, None
         for batch in batches:
-            for page_id, digest, refers_to, url, payload, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, digest, refers_to, url, payload, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard = shard or _Shard(folder, number, file_bytes)
                 if payload is None:
                     target = (page_id, digest, refers_to)
                     continue
                 revisit = target is not None and target[:2] == (page_id, digest)
-                files.add(shard, build_record(page_id, url, payload, date, target[2] if revisit else None, revisit))
-        files.close()
-        if files.done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files.done, strict=True)], names=["shard", "part", "path", "records", "bytes", "sha256"])
+                shard.add(build_record(page_id, url, payload, date, target[2] if revisit else None, revisit))
+        if shard is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([n]) for n in shard.commit()], names=["shards", "files", "records", "bytes"])
 
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(f"{path}/_temporary", recursive=True)
-    made = sorted((r.asDict() for r in stream.mapInArrow(run, _MANIFEST).collect()), key=lambda r: (r["shard"], r["part"]))
-    for r in made:
-        final = f"part-{r['shard']:06d}-{r['part']:05d}.warc.gz"
-        fs.move(f"{path}/{r['path']}", f"{path}/{final}")
-        r["path"] = final
+    made = stream.mapInArrow(run, _COUNTS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("shards", "files", "records", "bytes"))).first().asDict()
     with fs.open_output_stream(f"{path}/_temporary/manifest") as out:
         out.write(json.dumps(made, indent=1).encode())
     fs.move(f"{path}/_temporary/manifest", f"{path}/manifest.json")
@@ -167,6 +203,22 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, fi
     return made
 
 
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each file of the archive, from the shards' manifests, read by tasks."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{path}/manifest.json") as f:
+        shards = json.loads(f.read())["shards"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                with here.open_input_stream(f"{root}/{_shard_manifest(shard)}") as f:
+                    yield pa.RecordBatch.from_pylist(json.loads(f.read()))
+
+    return spark.range(0, shards, 1, max(1, shards)).mapInArrow(run, _MANIFEST)
+
+
 def _members(stream: pa.NativeFile) -> Iterator[bytes]:
     """The gzip members of a stream, decompressed one at a time."""
     pack, parts = zlib.decompressobj(31), []
@@ -183,16 +235,11 @@ def _members(stream: pa.NativeFile) -> Iterator[bytes]:
 
 def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """One row for each record of the files in the manifest."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    with fs.open_input_stream(f"{path}/manifest.json") as f:
-        names = [r["path"] for r in json.loads(f.read())]
-    files = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "at long, file string").repartition(max(1, len(names)), "at")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, root = pafs.FileSystem.from_uri(folder)
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("payload", pa.binary())])
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name in batch.column("path").to_pylist():
                 out, size = [], 0
                 with here.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for raw in _members(stream):
@@ -212,7 +259,7 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return files.mapInArrow(run, _RECORD)
+    return read_manifest(spark, folder).mapInArrow(run, _RECORD)
 
 
 def round_trip(pages: DataFrame, **how: object) -> DataFrame:

@@ -152,12 +152,47 @@ def test_warc(spark):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", top if revisit else None)
     folders = [rows.new_folder(spark, "warc") for _ in range(2)]
     a, b = (warc.write_archive(d.repartition(n), f, shard_bytes=2000, file_bytes=300) for n, f in zip((1, 4), folders, strict=True))
-    assert a == b and len(a) > 2
+    files = [sorted(map(tuple, warc.read_manifest(spark, f).collect())) for f in folders]
+    assert a == b and files[0] == files[1] and a["files"] == len(files[0]) > a["shards"] > 2 and a["records"] == len(data)
+    with pytest.raises(FileExistsError):
+        warc.write_archive(d, folders[0])
     whole = warc.read_archive(spark, folders[0]).filter("record_type = 'response'").collect()
     assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in whole)
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_warc_shards_are_even(spark):
+    """Over 60 shards; page ids are uneven and one of them stands in many rows of different payloads."""
+    d = spark.range(4000).select(F.when(F.col("id") % 4 == 0, 7).otherwise(F.col("id") * F.col("id")).alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat("id", F.lit(" "), F.repeat(F.lit("payload "), 30)).alias("html"))
+    folder = rows.new_folder(spark, "warc")
+    made = warc.write_archive(d.repartition(5), folder, shard_bytes=15_700)
+    sizes = [r.n for r in warc.read_manifest(spark, folder).groupBy("shard").agg(F.sum("records").alias("n")).collect()]
+    assert made["shards"] == len(sizes) >= 60 and sum(sizes) == 4000 and max(sizes) <= 2 * np.median(sizes)
+    assert warc.read_archive(spark, folder).count() == 4000
+
+
+def test_warc_after_a_killed_write(spark):
+    """Tasks fail in the middle: no archive, and a new writer replaces what they have left."""
+    d = pages(spark, [(k, "u", f"{k} " * 700, None, None) for k in range(40)])
+    folder = rows.new_folder(spark, "warc")
+    broken = d.withColumn("html", F.when(F.col("page_id") == 33, F.raise_error(F.lit("killed")).cast("string")).otherwise(F.col("html")))
+    for left in (broken, d):
+        fs, path = warc.pafs.FileSystem.from_uri(folder)
+        fs.create_dir(f"{path}/_temporary", recursive=True)
+        for name in ("_temporary/part-000000-00000.warc.gz-x", "part-000009-00000.warc.gz", "manifest-000009.json"):
+            with fs.open_output_stream(f"{path}/{name}", compression=None) as f:
+                f.write(b"half a fil")
+        if left is broken:
+            with pytest.raises(Exception, match="killed"):
+                warc.write_archive(broken, folder, shard_bytes=9000)
+            with pytest.raises(FileNotFoundError):
+                warc.read_archive(spark, folder)
+        else:
+            warc.write_archive(d, folder, shard_bytes=9000)
+    assert warc.read_archive(spark, folder).filter("record_type = 'response'").count() == 40
+    assert not [f.path for f in fs.get_file_info(warc.pafs.FileSelector(path)) if "000009" in f.path or "_temporary" in f.path]
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "system", "s"), (0, 1, "user", "q"), (0, 2, "assistant", "good"), (1, 1, "user", "q"), (1, 0, "system", "s"), (1, 2, "assistant", "bad"), (1, 3, "user", None),
