@@ -100,28 +100,24 @@ from p join text using (pair_id)
 """
 
 
-def op7(rounds: int = 20) -> str:
+def op7(rounds: int = 200) -> str:
     dims = ("source", "lang", "topic")
-    steps, last = [], "cells0"
-    k = 0
-    for _ in range(rounds):
-        for d in dims:
-            k += 1
-            steps.append(f"cells{k} as materialized (select * exclude (raked), raked * t_{d} / nullif(sum(raked) over (partition by {d}), 0) as raked from {last})")
-            last = f"cells{k}"
     totals = ", ".join(f"pow(sum(tokens) over (partition by {d}), 0.5) as p_{d}" for d in dims)
     shares = ", ".join(
         f"(select any_value(p_{d}) from base b where b.{d} = c.{d}) * (select sum(tokens) from base) / (select sum(p) from (select any_value(p_{d}) as p from base group by {d})) as t_{d}" for d in dims
     )
+    step = "last"
+    for d in dims:
+        step = f"(select * exclude (raked), raked * t_{d} / nullif(sum(raked) over (partition by {d}), 0) as raked from {step})"
     return rf"""
-with docs as (select doc_id, source, lang,
+with recursive docs as (select doc_id, source, lang,
     case when contains(text, '|') then 'table' when regexp_matches(text, '[#<>]') then 'markup' when length(text) < 500 then 'short' else 'prose' end as topic,
     len({_WORDS})::bigint as n_tokens from documents),
 cells as (select source, lang, topic, sum(n_tokens)::double as tokens from docs group by all),
 base as materialized (select *, {totals} from cells),
 cells0 as materialized (select c.source, c.lang, c.topic, c.tokens, {shares}, c.tokens as raked from base c),
-{", ".join(steps)},
-ratio as materialized (select *, raked / tokens as ratio from {last}),
+last as (select 0 as round, * from cells0 union all select round + 1, * exclude (round) from {step} where round < {rounds}),
+ratio as materialized (select *, raked / tokens as ratio from last where round = {rounds}),
 ordered as materialized (select *, coalesce(sum(tokens) over (order by ratio desc rows between unbounded preceding and 1 preceding), 0) as whole,
     sum(raked) over (order by ratio desc rows between current row and unbounded following) as rest, sum(tokens) over () * 0.5::double as budget from ratio),
 scale as (select (budget - whole) / rest as scale from ordered where (budget - whole) / rest * ratio <= 1 order by ratio desc limit 1)

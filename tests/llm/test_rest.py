@@ -217,6 +217,7 @@ def mixture(spark):
     return d
 
 
+@pytest.mark.filterwarnings("ignore:targets are missed")
 @pytest.mark.parametrize("most", [200_000, 1])
 def test_mixing(spark, most):
     d = mixing.mixed(mixture(spark), rounds=60 if most > 1 else 4, max_cells=most)
@@ -234,6 +235,40 @@ def test_mixing(spark, most):
     assert {r.source for r in got} == {r[3] for r in corpus.rows()}
 
 
+TARGETS = {"source": {"a": 3, "b": 1, mixing.NONE: 1}, "lang": {"en": 0.7, "fr": 0.3}, "topic": {"short": 1, "prose": 1}}
+
+
+def labelled(spark):
+    """Every source in every language and topic, with other numbers of tokens."""
+    data = [(i, ["a", "b", None][i % 3], ["en", "fr"][i // 3 % 2], ["short", "prose"][i // 6 % 2], 10 + i * i % 97) for i in range(600)]
+    return spark.createDataFrame(data, "doc_id long, source string, lang string, topic string, n_tokens long")
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_mixing_meets_given_targets(spark, most):
+    got = mixing.mixed(labelled(spark), targets=TARGETS, tolerance=1e-7, max_cells=most).collect()
+    total = sum(r.n_tokens for r in got)
+    for dim, target in TARGETS.items():
+        share = Counter()
+        for r in got:
+            share[r[dim] or mixing.NONE] += r.n_tokens * r.weight / total
+        assert all(abs(share[k] - w / sum(target.values())) < 1e-6 for k, w in target.items())
+    assert math.isclose(sum(r.n_tokens * r.probability for r in got), total / 2, rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_mixing_of_targets_that_cannot_be_met(spark, most):
+    d = labelled(spark)
+    with pytest.raises(ValueError, match="no tokens for the targets of lang.*de"):
+        mixing.mixed(d, targets={"lang": {"en": 1, "de": 1}}, max_cells=most)
+    with pytest.warns(UserWarning, match="missed by"):  # a is only in English, yet has most of the tokens wanted
+        mixing.mixed(d.filter("source != 'a' or lang = 'en'"), targets={"source": {"a": 9, "b": 1}, "lang": {"fr": 9, "en": 1}}, rounds=3, max_cells=most)
+    left = mixing.mixed(d, targets={"source": {"a": 1}}, max_cells=most).filter("probability > 0").select("source").distinct().collect()
+    assert [r.source for r in left] == ["a"]
+    assert mixing.mixed(d.limit(0), targets=TARGETS, max_cells=most).count() == 0
+
+
+@pytest.mark.filterwarnings("ignore:targets are missed")
 def test_both_ways_of_raking_agree(spark):
     a, b = (mixing.mixed(mixture(spark), rounds=5, max_cells=m).select("a", "weight", "probability").collect() for m in (10**6, 0))
     key = lambda rs: sorted((str(r.a), round(r.weight or 0, 9), round(r.probability, 9)) for r in rs)
