@@ -20,6 +20,9 @@ A core with more than `most_contexts` different hulls is not gathered: its famil
 the narrower ones are dealt out in the same way by their larger cores. A family of one window has
 its core for hull, so this ends after log2(window - gram) rounds at most, and is exact.
 
+Extensions are checked on bytes. That contexts, or hulls, are copies as a whole is decided by hash alone,
+by two independent ones of 64 and 32 bits, as their bytes would be several times the input to send.
+
 Defined results: a null text is an empty one; rows with equal id and text are copies of each
 other; rows of one id with different texts are different documents.
 """
@@ -41,6 +44,8 @@ from gridloom.llm import text as tx
 from gridloom.llm.substrings import _owners, least_runs, selected
 
 CHUNK = 1 << 18
+#: What names a context: the hash of its anchor, and two of all its bytes.
+_CONTEXT = ("anchor", "context", "check")
 
 
 class SortedSuffixes:
@@ -127,10 +132,10 @@ def longest_matches(left: list[bytes], right: list[bytes], window: int) -> tuple
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(row_key, row_check, anchor, place, context, before, after): each document's anchors.
+    """(row_key, row_check, anchor, place, context, check, after): each document's anchors.
 
-    anchor: hash of the anchor's bytes; context: hash of the bytes a window around it can span, of
-    which `before` precede it.
+    anchor: hash of the anchor's bytes; context, check: two hashes of the bytes a window around it can span, of
+    which min(place, window - gram) precede it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +148,12 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
             of = np.searchsorted(bounds, at, side="right") - 1
             lo, hi = np.maximum(bounds[of], at - (window - gram)), np.minimum(bounds[of + 1], at + window)
             context = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((at - lo).astype(np.uint64)))
+            check = (tx.span_hashes(data, lo, hi, tx.SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             mine = batch.select(list(rows.KEYS)).take(pa.array(of))
-            columns = [*mine.columns, pa.array(runs[at].view(np.int64)), pa.array((at - bounds[of]).astype(np.int32)), pa.array(context.view(np.int64)), pa.array((at - lo).astype(np.int32)), pa.array((hi - at).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rows.KEYS, "anchor", "place", "context", "before", "after"])
+            columns = [*mine.columns, pa.array(runs[at].view(np.int64)), pa.array((at - bounds[of]).astype(np.int32)), pa.array(context.view(np.int64)), pa.array(check), pa.array((hi - at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rows.KEYS, "anchor", "place", "context", "check", "after"])
 
-    return docs.mapInArrow(run, "row_key long, row_check long, anchor long, place int, context long, before int, after int")
+    return docs.mapInArrow(run, "row_key long, row_check long, anchor long, place int, context long, check int, after int")
 
 
 def _spelled(docs: DataFrame) -> DataFrame:
@@ -161,25 +167,25 @@ def _spelled(docs: DataFrame) -> DataFrame:
             lo, hi = at - flat.field("before").to_numpy(), at + flat.field("after").to_numpy()
             raw = data.tobytes()
             around = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "context", "before")), around], names=["anchor", "context", "before", "around"])
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in (*_CONTEXT, "before")), around], names=[*_CONTEXT, "before", "around"])
 
-    return docs.mapInArrow(run, "anchor long, context long, before int, around binary")
+    return docs.mapInArrow(run, "anchor long, context long, check int, before int, around binary")
 
 
-_REACH = "anchor long, context long, reach_left int, reach_right int"
-_ANSWER = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("reach_left", pa.int32()), ("reach_right", pa.int32())])
+_REACH = "anchor long, context long, check int, reach_left int, reach_right int"
+_ANSWER = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("check", pa.int32()), ("reach_left", pa.int32()), ("reach_right", pa.int32())])
 
 
 def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
     """How far contexts are repeated in others of their group; the groups' contexts stand together in a partition."""
 
-    def answers(held: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-        reach = longest_matches([h[3][: h[2]][::-1] for h in held], [h[3][h[2] :] for h in held], window)
-        return [(anchor, context, a, b) for (anchor, context, _, _), a, b in zip(held, *reach, strict=True) if a + b >= window]
+    def answers(held: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int, int]]:
+        reach = longest_matches([h[4][: h[3]][::-1] for h in held], [h[4][h[3] :] for h in held], window)
+        return [(*h[:3], a, b) for h, a, b in zip(held, *reach, strict=True) if a + b >= window]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
@@ -192,22 +198,22 @@ def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
         if len(held) > 1 and (out := answers(held)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
-    one = contexts.select(F.col(group).alias("group"), "anchor", "context", "before", "around")
+    one = contexts.select(F.col(group).alias("group"), *_CONTEXT, "before", "around")
     return one.repartition("group").sortWithinPartitions("group").mapInArrow(run, _REACH)
 
 
 def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
-    """(core, hull, anchor, context, low, high, least_back, most_back): each context's windows, dealt into families.
+    """(core, hull, hull_check, anchor, context, check, low, high, least_back, most_back): each context's windows, dealt into families.
 
     A row's windows begin low to high bytes before the anchor; these are cut into `parts` families.
-    core: hash of the bytes all windows of the family have; hull: of those at least one has;
+    core: hash of the bytes all windows of the family have; hull, hull_check: two of those at least one has;
     least_back, most_back: where windows of the family begin that the document has room for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = tx.flat(batch.column("around").cast(pa.large_binary()))
-            anchor, context, before, low, high = (batch.column(c).to_numpy() for c in ("anchor", "context", "before", "low", "high"))
+            anchor, context, check, before, low, high = (batch.column(c).to_numpy() for c in (*_CONTEXT, "before", "low", "high"))
             start, end, at = bounds[:-1], bounds[1:], bounds[:-1] + before
             step = -(-(high - low + 1) // parts)
             for part in range(parts):
@@ -220,10 +226,11 @@ def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
                 core = tx.mix(tx.span_hashes(data, one - f, one + window - t) ^ family)
                 lo, hi = np.maximum(one - t, start[fits]), np.minimum(one + window - f, end[fits])
                 hull = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((one - lo).astype(np.uint64)))
-                columns = [core.view(np.int64), hull.view(np.int64), anchor[fits], context[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "anchor", "context", "low", "high", "least_back", "most_back"])
+                hull_check = (tx.span_hashes(data, lo, hi, tx.SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                columns = [core.view(np.int64), hull.view(np.int64), hull_check, anchor[fits], context[fits], check[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "hull_check", *_CONTEXT, "low", "high", "least_back", "most_back"])
 
-    return contexts.mapInArrow(run, "core long, hull long, anchor long, context long, low int, high int, least_back int, most_back int")
+    return contexts.mapInArrow(run, "core long, hull long, hull_check int, anchor long, context long, check int, low int, high int, least_back int, most_back int")
 
 
 def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataFrame:
@@ -232,14 +239,14 @@ def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataF
     todo = contexts.withColumns({"low": F.lit(0), "high": F.lit(window - gram)})
     while True:
         nodes = rows.written(_nodes(todo, window, parts), "nodes")
-        one = F.min(F.struct("anchor", "context", "low", "high")).alias("one")
-        hulls = rows.written(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), one).select("core", "hull", "n", "one.*"), "hulls")
-        same = rows.join_hot(nodes, hulls.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
-        found.append(same.select("anchor", "context", F.col("most_back").alias("reach_left"), (window - F.col("least_back")).alias("reach_right")))
+        one = F.min(F.struct(*_CONTEXT, "low", "high")).alias("one")
+        hulls = rows.written(nodes.groupBy("core", "hull_check", "hull").agg(F.count("*").alias("n"), one).select("core", "hull_check", "hull", "n", "one.*"), "hulls")
+        same = rows.join_hot(nodes, hulls.filter("n > 1").select("core", "hull_check", "hull"), ["core", "hull_check", "hull"], "left_semi")
+        found.append(same.select(*_CONTEXT, F.col("most_back").alias("reach_left"), (window - F.col("least_back")).alias("reach_right")))
         sizes = rows.written(hulls.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "cores")
-        held = rows.join_hot(hulls, sizes, ["core"]).select("core", "m", "anchor", "context", "low", "high")
+        held = rows.join_hot(hulls, sizes, ["core"]).select("core", "m", *_CONTEXT, "low", "high")
         wider = todo.withColumnsRenamed({"low": "from_low", "high": "from_high"})  # a family lies in one that was cut
-        held = held.join(wider, ["anchor", "context"]).filter("low between from_low and from_high").drop("from_low", "from_high")
+        held = held.join(wider, list(_CONTEXT)).filter("low between from_low and from_high").drop("from_low", "from_high")
         found.append(_matched(held.filter(F.col("m") <= most), "core", window))
         if sizes.filter(F.col("m") > most).isEmpty():
             return reduce(DataFrame.unionByName, found)
@@ -252,17 +259,17 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, most_con
     placed = rows.written(anchors(docs, window, gram), "anchors")
     twice = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found = rows.written(rows.join_hot(placed, twice, ["anchor"], "left_semi"), "found")
-    where = F.struct(*rows.KEYS, "place", "before", "after")
-    different = rows.written(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(where).alias("at")).select("anchor", "context", "n", "at.*"), "different")
+    where = F.struct(*rows.KEYS, "place", F.least("place", F.lit(window - gram)).alias("before"), "after")
+    different = rows.written(found.groupBy(*_CONTEXT).agg(F.count("*").alias("n"), F.min(where).alias("at")).select(*_CONTEXT, "n", "at.*"), "different")
     counts = rows.written(different.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
     # A context that occurs twice is repeated as far as it goes. Only where an anchor has several, their bytes are needed.
     whole = different.filter((F.col("n") > 1) & (F.col("before") + F.col("after") >= window))
-    reach = whole.select("anchor", "context", F.col("before").alias("reach_left"), F.col("after").alias("reach_right"))
-    several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct("anchor", "context", "place", "before", "after")).alias("wanted"))
+    reach = whole.select(*_CONTEXT, F.col("before").alias("reach_left"), F.col("after").alias("reach_right"))
+    several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct(*_CONTEXT, "place", "before", "after")).alias("wanted"))
     spelled = _spelled(rows.with_info(texts, several, "inner"))
     reach = reach.unionByName(_in_several(rows.written(spelled, "spelled"), window, gram, most_contexts))
-    reach = reach.groupBy("anchor", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
-    spans = rows.join_hot(found.select(*rows.KEYS, "anchor", "context", "place"), reach, ["anchor", "context"])
+    reach = reach.groupBy("anchor", "check", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
+    spans = rows.join_hot(found.select(*rows.KEYS, *_CONTEXT, "place"), reach, ["anchor", "check", "context"])
     spans = spans.groupBy(*rows.KEYS).agg(F.collect_list(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
     return rows.with_info(texts, spans)
 
