@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, jaccard, lines, mixing, quality, rows
@@ -22,17 +22,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with equal id and text get one result, so they are one row before.
     """
-    keyed = docs.withColumns({"__key": F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "__check": F.xxhash64(F.coalesce("text", F.lit("")), F.lit("check"), F.col("doc_id"))})
-    done = lines.dedup_lines(docs).filter("n_lines = 0 or n_removed < n_lines").select(F.col("row_key").alias("__key"), F.col("row_check").alias("__check"), "n_removed", "kept_text").dropDuplicates(["__key", "__check"])
-    kept = keyed.drop("text").join(done, ["__key", "__check"])
-    text = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
-    return kept.withColumns(text).select(*docs.columns)
+    keyed, names = rows.with_keys(docs)
+    done = lines.dedup_lines(docs).filter("n_lines = 0 or n_removed < n_lines").dropDuplicates(list(rows.KEYS))
+    done = done.select(*(F.col(k).alias(n) for k, n in zip(rows.KEYS, names, strict=True)), F.struct("n_removed", "kept_text").alias(f"done_{names[0]}"))
+    kept = keyed.join(done, names).withColumn("text", F.col(f"done_{names[0]}.kept_text"))
+    return kept.withColumn("n_chars", F.when(F.col(f"done_{names[0]}.n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; texts without words all stay."""
-    found = jaccard.jaccard_components(docs).filter("doc_id is null or n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    """Of each group of near duplicates one row stays, with the smallest id; texts without words all stay.
+
+    Rows without an id are duplicates of rows with an equal set of shingles, with or without an id.
+    """
+    found = jaccard.jaccard_components(docs)
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("class_key"))]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("one")
+    one = found.filter("n_shingles > 0").groupBy(*group).agg(first).select("one.row_key", "one.row_check", F.lit(True).alias("single"))
+    kept = one.unionByName(found.filter("n_shingles = 0").select(*rows.KEYS, F.lit(False).alias("single")).distinct())
+    keyed, names = rows.with_keys(docs)
+    kept = kept.select(*(F.col(k).alias(n) for k, n in zip(rows.KEYS, names, strict=True)), F.col("single").alias(f"single_{names[0]}"))
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*names))  # of equal rows one stays
+    joined = keyed.join(kept, names).withColumn(f"nth_{names[0]}", nth)
+    return joined.filter((F.col(f"nth_{names[0]}") == 1) | ~F.col(f"single_{names[0]}")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +53,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that tokens meet the target marginals of source, language and topic."""
-    d = docs.withColumns({"topic": mixing.lexical_topic(F.col("text")), "n_tokens": mixing.word_count(F.col("text"))})
-    return mixing.mixed(d).filter("taken").drop("taken")
+    """Documents sampled so that tokens meet the target marginals of source, language and topic.
+
+    Adds mix_topic, mix_tokens, weight and probability, which replace columns of these names.
+    """
+    d = docs.withColumns({"mix_topic": mixing.lexical_topic(F.col("text")), "mix_tokens": mixing.word_count(F.col("text"))})
+    return mixing.mixed(d, powers=dict.fromkeys(("source", "lang", "mix_topic"), 0.5), tokens_col="mix_tokens").filter("taken").drop("taken")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -61,6 +75,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; each stage's result is written and read again."""
+    rows.small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

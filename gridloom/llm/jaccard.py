@@ -10,39 +10,47 @@ Pigeonhole: each text announces its first d + 1 pieces that are not empty, in on
 pieces there are. At most d of a text's pieces are not the other's, so the first piece that linked
 texts agree in is announced by both. Any order will do; here pieces of common shingles only (a
 bounded list, of those that most often stand in several texts of a chunk) come last, so that
-boilerplate is announced only by texts made of it. The list decides on work, never on results. Small texts have a piece for each shingle; above `EDGES` the number of pieces belongs to
-a size band, and a text near a band's lower edge announces in the band below, too.
+boilerplate is announced only by texts made of it. The list decides on work, never on results. The number of
+pieces belongs to a size band, and a text near a band's lower edge announces in the band below, too. In the
+first band, of texts of a few words, two shingles practically never share a piece.
 
 Announcements travel packed: a chunk of texts sends each key once, with the text that has it. A
 key that two different texts of a chunk have needs no confirmation and is sent on to no key's
 task, so a task gets a key at most once for each chunk. Texts with equal sets are one class.
 
-Candidates in two rounds. In the first, all of a key's classes are paired with the smallest, which
-grows as the keys do. Links are verified on the full sets and joined to components. In the
-second, only keys whose classes are still in different components are looked at again: pairs of
-different components within size and Hamming bounds, in blocks of at most `block` classes.
+Candidates in rounds. In the first, all of a key's classes are paired with the smallest, which
+grows as the keys do. Links are verified on the full sets and joined to components. After that, only
+keys whose classes are still in different components are looked at again, in blocks of at most `block` classes:
+each class is paired with the first earlier class of another component within size and Hamming bounds, in the
+next round with the first four that were not refuted, then sixteen, until no block has a pair left. So families
+of near copies cost a row for each text, and only pairs that the bounds cannot tell from links are all tried.
 
 Defined results: a text without words or null text has an empty set and is linked with nothing;
 equal rows have one result; component ids are the smallest doc_id of the component; a row without
-an id is in the component of a row with an id and an equal set, or else in none (null).
+an id is in the component of a row with an id and an equal set, or else in none (null), but its class_key tells
+those with equal sets. Sets are known by hash: equal ones by two of 64 bits, shingles by one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm import rows
 from gridloom.llm import text as tx
 from gridloom.llm.packing import pack_sorted, unpack_sorted
 
 #: Sizes at which a new band begins, each 16 times the last.
-EDGES = np.array([256 * 16**k for k in range(12)], dtype=np.int64)
+EDGES = np.array([16 * 16**k for k in range(9)], dtype=np.int64)
+#: Pieces of the first band.
+FINE = 1 << 40
 SKETCH_WORDS = 16
 _KEY_BITS = 48
 
@@ -52,6 +60,16 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
+def pieces_of(band: int, percent: int) -> int:
+    """So many pieces that the largest sets that announce in a band still have d + 1 pieces that are not empty, and a tenth more."""
+    if not band:
+        return FINE
+    t, many = percent / 100, 2 / 3
+    while many * (1 - math.exp(-1 / (many * t))) < 1.1 * (1 - t) / t**2:
+        many *= 2
+    return int(EDGES[min(band, len(EDGES) - 1)] * many)
+
+
 class Sets:
     """Distinct shingles of some texts, sorted within each text: text d has hashes[first[d]:first[d + 1]]."""
 
@@ -117,22 +135,20 @@ class Sets:
             of, h, first_half = self.of[pick], self.hashes[pick], rare[pick]
             if not len(of):
                 continue
-            if band:
-                pieces = int(EDGES[band] * 2 // 3) if band < len(EDGES) else int(EDGES[-1])
-                piece = tx.mix(h, 100 + band) % np.uint64(pieces)
-                slot = of.astype(np.uint64) * np.uint64(pieces) + piece
-                order = np.argsort(slot, kind="stable")
-                slot = slot[order]
-                begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-                of, first_half = of[order][begin], np.logical_or.reduceat(first_half[order], begin)
-                h = tx.mix(np.bitwise_xor.reduceat(h[order], begin) ^ (piece[order][begin] << np.uint64(20)), band)
+            piece = tx.mix(h, 100 + band) % np.uint64(pieces_of(band, percent))
+            slot = of.astype(np.uint64) * np.uint64(pieces_of(band, percent)) + piece  # fits: many texts of a chunk are short
+            order = np.argsort(slot)
+            slot = slot[order]
+            begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            of, first_half = of[order][begin], np.logical_or.reduceat(first_half[order], begin)
+            h = tx.mix(np.bitwise_xor.reduceat(h[order], begin) ^ tx.mix(piece[order][begin]), band)
             order = np.lexsort((h, ~first_half, of))
             of, h = of[order], h[order]
             start = np.searchsorted(of, np.arange(len(self.sizes)))
             nth = np.arange(len(of)) - start[of]
             have = np.bincount(of, minlength=len(self.sizes))
             if (have[mine] < need[mine]).any():
-                raise ValueError("a text has too few pieces for its size; the number of pieces must be raised")
+                raise ValueError("a text has too few pieces for its size; `pieces_of` must give more")
             first = nth < need[of]
             keys.append(tx.mix(h[first], 1000 + band) >> np.uint64(64 - _KEY_BITS))
             texts.append(of[first])
@@ -255,43 +271,58 @@ def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent:
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _pairs_in_groups(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of close members of different components; members: group columns, side, vertex, label, n, sketch."""
+def _pairs_in_groups(members: DataFrame, refuted: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """(key, i, j, x, y): for each member at most `most` close earlier members of other components, without refuted pairs.
+
+    members: group columns, side, vertex, label, n, sketch; refuted: group columns, x, y.
+    """
+    vertex = members.schema["vertex"].dataType
+    kind = vertex.simpleString()
+
+    def close_pairs(group: tuple, held: list[tuple], no: set[tuple]) -> tuple[list, list]:
+        n, side = np.array([h[2] for h in held]), np.array([h[4] for h in held])
+        _, label = np.unique(np.array([str(h[1]) for h in held]), return_inverse=True)
+        sketch = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), SKETCH_WORDS)
+        room = np.full(len(held), most)
+        xs, ys = [], []
+        for i in range(len(held) - 1):
+            far = slice(i + 1, None)
+            ok = (label[far] != label[i]) & (room[far] > 0) & ((side[far] != side[i]) | (group[1] == group[2]))
+            at = np.flatnonzero(ok) + i + 1
+            at = at[_close(sketch[at], sketch[i], n[at], n[i], percent)]
+            if no:
+                at = np.array([k for k in at.tolist() if tuple(sorted((held[i][0], held[k][0]))) not in no], dtype=np.int64)
+            room[at] -= 1
+            xs += [held[i][0]] * len(at)
+            ys += [held[k][0] for k in at.tolist()]
+        return xs, ys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def close_pairs() -> pa.RecordBatch:
-            n = np.array([h[2] for h in held])
-            side = np.array([h[4] for h in held])
-            _, label = np.unique(np.array([str(h[1]) for h in held]), return_inverse=True)
-            sketch = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), SKETCH_WORDS)
-            xs, ys = [], []
-            whole = now[1] == now[2]
-            for i in range(len(held)):
-                far = slice(i + 1, None)
-                ok = (label[far] != label[i]) & ((side[far] != side[i]) | whole)
-                at = np.flatnonzero(ok) + i + 1
-                at = at[_close(sketch[at], sketch[i], n[at], n[i], percent)]
-                xs += [held[i][0]] * len(at)
-                ys += [held[k][0] for k in at.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(xs, kind), pa.array(ys, kind)], names=["x", "y"])
-
-        kind = None
+        now, held, no = None, [], set()
+
+        def found() -> Iterator[pa.RecordBatch]:
+            xs, ys = close_pairs(now, held, no) if len(held) > 1 else ([], [])
+            if xs:
+                columns = [pa.array([v] * len(xs), k) for v, k in zip(now, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(xs, arrow), pa.array(ys, arrow)], names=["key", "i", "j", "x", "y"])
+
+        arrow = to_arrow_type(vertex)
         for batch in batches:
-            kind = batch.schema.field("vertex").type
-            for key, i, j, side, vertex, label, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, side, vertex_, label, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != now:
-                    if len(held) > 1:
-                        yield close_pairs()
-                    now, held = (key, i, j), []
-                held.append((vertex, label, n, sketch, side))
-        if len(held) > 1:
-            yield close_pairs()
+                    yield from found()
+                    now, held, no = (key, i, j), [], set()
+                if side < 0:
+                    no.add(tuple(sorted((vertex_, label))))
+                else:
+                    held.append((vertex_, label, n, sketch, side))
+        yield from found()
 
-    kind = dict(members.dtypes)["vertex"]
-    found = members.select("key", "i", "j", "side", "vertex", "label", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"x {kind}, y {kind}")
-    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows_in = members.select("key", "i", "j", "side", "vertex", "label", "n", "sketch")
+    if refuted is not None:
+        rows_in = rows_in.unionByName(refuted.select("key", "i", "j", F.lit(-1).alias("side"), F.col("x").alias("vertex"), F.col("y").alias("label"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch")))
+    pairs = rows_in.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "vertex").mapInArrow(run, f"key long, i int, j int, x {kind}, y {kind}")
+    return pairs.select("key", "i", "j", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,11 +342,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "x_items", "y_items").mapInArrow(run, f"x {kind}, y {kind}")
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(vertex, label): the smallest vertex reachable from each end of a link (x, y); lineage is cut every round."""
     edges = rows.written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = rows.written(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("vertex"), F.least("x", "m").alias("label")), "labels")
-    for _ in range(limit):
+    while True:
         near = edges.join(labels, edges["y"] == labels["vertex"]).groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["vertex"] == near["x"]).select("vertex", "label", F.least("label", "near").alias("next"))
         jump = step.select(F.col("vertex").alias("at"), F.col("next").alias("beyond"))
@@ -324,11 +355,12 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         labels = done.select("vertex", F.col("next").alias("label"))
         if done.filter("next != label").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, block: int = 2000, range_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for each row of docs (text rows of one id count as one vertex by their smallest id)."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, block: int = 1000, range_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, row_key, row_check, n_shingles, class_id, class_key, component_id for each row of docs (text rows of one id count as one vertex by their smallest id)."""
+    if percent < 60:
+        raise ValueError("percent must be 60 or more: below, sketches of the size of the sets leave too little to agree in")
     keyed = rows.keyed(docs, id_col, text_col)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     info = rows.written(identified(keyed, words), "sets")
@@ -358,16 +390,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alike = [F.bit_xor(F.xxhash64("vertex", F.lit(salt))).alias(f"members_{salt}") for salt in (1, 2)]
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("g"), *alike).filter("low != high")
     open_keys = open_keys.groupBy("g", "members_1", "members_2").agg(F.min("key").alias("key")).select("key", "g")
-    member = rows.join_hot(named, open_keys, ["key"]).join(classes.select("vertex", "sketch"), "vertex")
+    member = rows.join_hot(named.drop("label"), rows.written(open_keys, "open"), ["key"]).join(classes.select("vertex", "sketch"), "vertex")
     blocks = F.ceil(F.col("g") / F.lit(block)).cast("int")
     member = member.withColumn("side", F.pmod(F.xxhash64("vertex"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     member = member.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    links = rows.written(links.unionByName(verified(_within_bounds(_pairs_in_groups(member, percent), sketches, percent), 2)), "links-2")
-    labels = components(links)
+    refuted = None
+    for step in count(2):
+        now = member.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+        found = rows.written(_pairs_in_groups(now, refuted, percent, 4 ** (step - 2)), f"found-{step}")
+        if found.isEmpty():
+            break
+        linked = rows.written(verified(_within_bounds(found.select("x", "y").distinct(), sketches, percent), step), f"links-{step}")
+        wrong = rows.written(found.join(linked, ["x", "y"], "left_anti"), f"refuted-{step}")
+        refuted = wrong if refuted is None else refuted.unionByName(wrong)
+        # A block without a pair is done: components only grow.
+        member = member.join(found.select("key", "i", "j").distinct(), ["key", "i", "j"], "left_semi")
+        if not linked.isEmpty():
+            links = links.unionByName(linked)
+            labels = components(links)
 
     out = info.join(classes.select("a", "b", "vertex"), ["a", "b"], "left").join(labels, "vertex", "left")
     own = F.coalesce("vertex", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("class_id"), F.coalesce("label", own).alias("component_id"))
+    key = F.concat(F.hex("a"), F.lit("-"), F.hex("b")).alias("class_key")
+    return out.select("doc_id", *rows.KEYS, F.col("n").alias("n_shingles"), own.alias("class_id"), key, F.coalesce("label", own).alias("component_id"))
 
 
 def _packed_sets(texts: DataFrame, words: int) -> DataFrame:

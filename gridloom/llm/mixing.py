@@ -126,9 +126,9 @@ def _scale_in_spark(cells: DataFrame, budget: float) -> float:
 
 
 def mixed(
-    docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, budget_share: float = 0.5, rounds: int = 200, tolerance: float = 1e-12, seed: str = "mix", max_cells: int = 200_000, id_col: str = "doc_id"
+    docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, budget_share: float = 0.5, rounds: int = 200, tolerance: float = 1e-12, seed: str = "mix", max_cells: int = 200_000, id_col: str = "doc_id", tokens_col: str = "n_tokens"
 ) -> DataFrame:
-    """docs (with column n_tokens and one for each dimension) with weight, probability and taken.
+    """docs (with a column of tokens and one for each dimension) with weight, probability and taken, which replace columns of these names.
 
     targets: for each dimension, the weight of each label; a null label is named `(none)`.
     powers: for each other dimension, the power its token shares are raised to for its target (1: as they are);
@@ -140,7 +140,7 @@ def mixed(
     dims = (*powers, *targets)
     docs = docs.drop("weight", "probability", "taken")
     labelled = docs.withColumns({f"__label_{d}": F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in dims})
-    cells = rows.written(labelled.groupBy(*(F.col(f"__label_{d}").alias(d) for d in dims)).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")), "cells")
+    cells = rows.written(labelled.groupBy(*(F.col(f"__label_{d}").alias(d) for d in dims)).agg(F.coalesce(F.sum(tokens_col), F.lit(0)).alias("tokens")), "cells")
     if cells.count() <= max_cells:
         local, residual = _rake_in_memory(cells.orderBy(*dims).toPandas(), powers, targets, rounds, tolerance)
         scale = _scale_in_memory(local, budget_share * float(local["tokens"].sum()))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,20 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key, row_check and text (null: empty). Rows of one id with different texts differ in their keys."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), F.xxhash64(text, F.lit("check"), F.col(id_col)).alias("row_check"), text.alias("text"))
+    keys = (c.alias(k) for c, k in zip(key_columns(id_col, text_col), KEYS, strict=True))
+    return docs.select(F.col(id_col).alias("doc_id"), *keys, text.alias("text"))
+
+
+def key_columns(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """The two hashes that name a row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.xxhash64(F.col(id_col), text), F.xxhash64(text, F.lit("check"), F.col(id_col))
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """docs with the hashes that name its rows, in two columns of new names."""
+    names = [f"{k}_{uuid.uuid4().hex}" for k in KEYS]
+    return docs.withColumns(dict(zip(names, key_columns(id_col, text_col), strict=True))), names
 
 
 def with_info(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
@@ -41,9 +54,11 @@ def with_info(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one of ours where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir, or a temporary one of ours where that is unset and all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -79,6 +79,48 @@ def test_jaccard_bands_and_chains(spark):
     assert len({c for _, c in want.values()}) == 1
 
 
+def test_jaccard_family_unlike_its_smallest(spark):
+    """2,000 near copies whose smallest member shares pieces with all of them and is linked with none; a row a text, not a pair a row."""
+    r = np.random.default_rng(7)
+    core = [f"c{i}" for i in range(300)]
+    data = [(0, " ".join(core[:200]))]
+    for k in range(1, 2001):
+        own = core.copy()
+        own[int(r.integers(0, 300))] = f"x{k}"
+        data.append((k, " ".join(own)))
+    got = jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), block=300).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: min(k, 1) for k in range(2001)}
+
+
+def test_jaccard_close_but_not_linked(spark):
+    """Neighbours in a family at a similarity just below and just above the limit, so that candidates are refuted in several rounds."""
+    r = np.random.default_rng(8)
+    core = [f"c{i}" for i in range(120)]
+    data = []
+    for k in range(60):
+        own = core.copy()
+        for at in r.choice(24, 2 + k % 2, replace=False):
+            own[int(at) * 5] = f"x{k}-{at}"
+        data.append((k, " ".join(own)))
+    got = jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), block=11).collect()
+    assert by_id(got, "n_shingles", "component_id") == corpus.components(dict(data))
+
+
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_jaccard_all_sizes(spark, percent):
+    """Sets from 1 to 9,000 shingles, with links across the bands' edges."""
+    data, words = [], [f"w{i}" for i in range(9100)]
+    for k, n in enumerate((5, 6, 7, 12, 17, 19, 22, 24, 100, 255, 258, 262, 300, 400, 500, 3000, 4090, 4100, 4600, 7000, 9000)):
+        data += [(10 * k + j, " ".join(f"{k // 3}{w}" for w in words[j : j + n + j])) for j in range(3)]
+    got = jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), percent=percent).collect()
+    assert by_id(got, "n_shingles", "component_id") == corpus.components(dict(data), percent)
+
+
+def test_jaccard_refuses_low_similarity(spark):
+    with pytest.raises(ValueError, match="60 or more"):
+        jaccard.jaccard_components(corpus.docs(spark), percent=50)
+
+
 def test_jaccard_common_passage(spark):
     """Many unlike texts with one long passage, and pairs among them."""
     r = np.random.default_rng(5)

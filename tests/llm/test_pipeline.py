@@ -23,6 +23,8 @@ def test_stages(spark):
     assert len(seen) == len(set(seen))
     want = corpus.components({r.doc_id: r.text for r in kept["line dedup"] if r.doc_id is not None})
     assert sorted(r.doc_id for r in kept["near duplicates"] if r.doc_id is not None) == sorted(i for i, (n, c) in want.items() if n == 0 or i == c)
+    sets = {corpus.shingles(r.text) for r in kept["line dedup"] if r.doc_id is not None}
+    assert not [r for r in kept["near duplicates"] if r.doc_id is None and corpus.shingles(r.text) in sets]
     after = corpus.contaminated({r.doc_id: r.text for r in kept["benchmark decontamination"]}, [(str(r.item_id), r.text) for r in benchmark])
     assert not any(w[4] for w in after.values())
     ids = {r.doc_id for r in kept["benchmark decontamination"]}
@@ -36,5 +38,17 @@ def test_stages(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+def test_rows_without_id_and_repeated_rows(spark):
+    """Beside columns named like those that the stages add."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(70)) for x in "abc")
+    data = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, a), (3, c + " more"), (4, None), (4, None), (5, " "), (None, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1.0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, row_key string, mix_topic string, weight double").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, d, DATA)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, c), (None, b), (4, None), (4, None), (5, " "), (None, "")], key=str)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d, DATA).count() >= 0
+
+
 def test_run(spark):
     assert 0 < corpus_pipeline.run(spark, DATA).count() < 200

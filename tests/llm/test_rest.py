@@ -38,13 +38,13 @@ def test_quality(spark):
 ITEMS = [("1", "wé1 W2 x#3 " * 6), ("2", None), ("3", " "), ("10", "Tick TOCK tick"), ("4", "no such words as these in any text of the corpus"), (None, "one"), ("11", "a b c d")]
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 5])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("block_words,resident_words", [(250_000, 1_000_000), (5, 1_000_000), (5, 30)])
+def test_decontamination(spark, block_words, resident_words):
     some = plain()
     long = max((t for t in some.values() if t), key=len).split(" ")
     items = [*ITEMS, ("7", " ".join(long[10:40])), ("8", " ".join(long[30:45])), ("9", " ".join(long[10:25]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = decontaminate.scan(corpus.docs(spark), bench, block_words=block_words).collect()
+    got = decontaminate.scan(corpus.docs(spark), bench, block_words=block_words, resident_words=resident_words).collect()
     want = corpus.contaminated(some, [(n or "", t) for n, t in items])
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
     for r in got:
@@ -67,10 +67,23 @@ def test_automaton_longest_matches():
     for s in subs:
         state = 0
         for c in s:
-            state = a.next[state][codes[c]]
+            state = a.step(state, codes[c])
         assert a.length[state] >= len(s) > a.length[a.link[state]]
 
 
+def test_automata_are_bounded(spark):
+    """20 blocks, two at a time: what is held at once is under a tenth of all, and under 100 bytes a word."""
+    bench = spark.createDataFrame([(str(k), " ".join(f"w{k}x{i % 700}" for i in range(2000))) for k in range(60)], "item_id string, text string")
+    blocks = decontaminate._automata(bench, "item_id", "text", 10, 6000 * 8 // 2)
+    words = [r.words for r in blocks.collect()]
+    assert len(words) >= 15 and sum(words) == 120_000
+    sizes = [sum(len(decontaminate.pickle.dumps(a)) for a in g) for g in decontaminate._groups(blocks, 12_000)]
+    assert len(sizes) > 5 and max(sizes) <= 100 * max(12_000, *words)
+    docs = spark.createDataFrame([(k, f"start w{k}x0 " + " ".join(f"w{k}x{i}" for i in range(100 + k))) for k in range(60)], "doc_id long, text string")
+    a, b = (sorted(decontaminate.scan(docs, bench, block_words=24_000, resident_words=n).collect()) for n in (12_000, 10**9))
+    assert a == b and all(r.contaminated and r.n_items == 1 for r in a)
+
+
 def brute_katz(some):
     tokens = {i: [*corpus.WORD.findall((t or "").translate(corpus.LOWER)), None] for i, t in some.items()}
     train = [i for i in tokens if not corpus.held_out(i)]
