@@ -48,7 +48,27 @@ def first_per_group(rows: DataFrame, by: str, most: int, *order: Column) -> Data
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("__rank") <= most).drop("__rank")
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their 0-based place in this order, from a range sort: places within a range, and how many rows the ranges before it have."""
+    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each shuffle partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("__range").alias("__r"), before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    d = ranged.withColumn("__within", within)
+    return d.join(sizes, d["__range"] == sizes["__r"]).withColumn(name, F.col("__before") + F.col("__within")).select(*rows.columns, name)
+
+
 def batches(rows: DataFrame, key: str, size: int = 32, seed: str = "epoch") -> DataFrame:
-    """rows with `batch`: shuffled by hash and cut into batches of about `size` rows, by a second hash."""
-    many = F.greatest(F.lit(1), F.ceil(F.lit(rows.count() / size)))
-    return rows.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), many))
+    """rows with `batch`: shuffled by hash and cut into batches of exactly `size` rows, but for the last.
+
+    Hashes are counted by their first four digits, so rows are only ranked among those that share these.
+    """
+    d = rows.withColumn("__hash", hash_order(seed, F.col(key))).withColumn("__bin", F.substring("__hash", 1, 4))
+    bins = d.groupBy("__bin").agg(F.count("*").alias("__n"))  # at most 65,536 rows
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select(F.col("__bin").alias("__b"), before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__bin").orderBy("__hash", key)) - 1
+    d = d.withColumn("__within", within)
+    place = F.col("__before") + F.col("__within")
+    return d.join(bins, d["__bin"] == bins["__b"]).withColumn("batch", F.floor(place / size)).select(*rows.columns, "batch")

@@ -12,7 +12,7 @@ _TILES = """select p_partkey as image_id, (p_size + 9)::int as width, (p_size *
 _P = """select vec_id, i::int as class_idx, exp(x - max(x) over (partition by vec_id)) / sum(exp(x - m)) over (partition by vec_id) as p
   from (select *, max(x) over (partition by vec_id) as m from (select vec_id, i, embedding[i + 1]::double * 10 as x from embeddings, range(64) t(i)))"""
 _VOCABULARY = "(values (0, 'school bus'), (1, 'minibus'), (2, 'trolleybus'), (3, 'sports car'), (4, 'traffic light'), (5, 'mountain bike'), (6, 'cabinet'), (7, 'hydrant'), (8, 'dog'), (9, 'tandem')) v(class_idx, label)"
-_EPOCHS = "select event_id // 300 as epoch, round(avg(case when event_type = 'click' then 1::double else 0::double end), 3) as val_acc from events group by 1"
+_EPOCHS = "select event_id % 40 as epoch, round(avg(case when event_type = 'click' then 1::double else 0::double end), 3) as val_acc from events group by 1"
 _PIXELS = """select p_partkey as image, (k // 36)::int as y, (k // 3 % 12)::int as x, (k % 3)::int as c, ((k * 7 + p_size * k % 31 + p_partkey * 13) % 256)::int as v
   from part, range(324) t(k)"""
 _PARTS = "case when p_partkey % 3 = 0 then format('{:012d}_original.jpg', p_partkey) when p_partkey % 3 = 1 then format('{:012d}_night.jpg', p_partkey) else format('other_{:012d}_original.jpg', p_partkey) end"
@@ -78,5 +78,8 @@ def oracle_sql() -> dict[str, str]:
             select *, round((v / 255::double - ([0.485::double, 0.456::double, 0.406::double])[c + 1]) / ([0.229::double, 0.224::double, 0.225::double])[c + 1], 6) as n, (11 - x)::int as flipped_x, ((y // 3) * 3 + x // 4)::int as tile from q""",
         "r23b_pixel_nearest": f"""with p as ({_PIXELS}) select p.image, (k // 20)::int as y, (k % 20)::int as x, p.c, v from (select distinct image, c from p) s cross join range(100) t(k)
             join p on p.image = s.image and p.c = s.c where p.y = (k // 20) * 9 // 5 and p.x = (k % 20) * 12 // 20""",
+        "r25_model_scoring": """select vec_id, (s < 0)::int as pred, round(100 / (1 + exp(-2 * abs(s))), 6) as percent
+            from (select vec_id, list_sum(list_transform(range(64), lambda i: embedding[i + 1]::double * cos(i))) as s from embeddings)""",
+        "r27_batches": "select batch, count(*) as n from (select (row_number() over (order by md5('epoch:' || vec_id), vec_id) - 1) // 32 as batch from embeddings) group by batch",
         "r28_report": f"select epoch, printf('%-5s loss: %.4f acc: %.4f', 'Val', 1 - val_acc, val_acc) as line from ({_EPOCHS})",
     }

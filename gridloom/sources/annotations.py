@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources import schemas
+from gridloom.operators import curation
+from gridloom.sources import files, schemas
 
 
 def coco_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -13,12 +14,14 @@ def coco_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
     A document is one JSON object, so one task parses it: write the tables once, then read those.
     """
+    files.required(spark, path)
     doc = spark.read.schema(schemas.COCO).option("multiLine", True).json(path)
     return {name: doc.select(F.posexplode(name).alias("pos", "row")).select("pos", "row.*") for name in ("images", "annotations", "categories")}
 
 
 def road_scenes(spark: SparkSession, path: str) -> DataFrame:
     """Items of a labelled road-scene document, with `pos`, their place in it."""
+    files.required(spark, path)
     doc = spark.read.schema(schemas.ROAD_SCENES).option("multiLine", True).json(path)
     return doc.withColumn("pos", F.monotonically_increasing_id())
 
@@ -27,3 +30,16 @@ def capped(images: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
     """Images with a wanted category, at most `most`, by place in the document. wanted: image_id."""
     ids = wanted.select(F.col("image_id").alias("id")).distinct()
     return images.join(ids, "id", "left_semi").orderBy("pos").limit(most)
+
+
+def subset(tables: dict[str, DataFrame], classes: list[str], split: str | None = None, most: int | None = 500) -> dict[str, DataFrame]:
+    """The tables of a document cut down to images with one of these classes, of this split (column split of images), at most `most`.
+
+    Annotations are those of the kept images, of all classes; categories stay whole.
+    """
+    images = tables["images"] if split is None else tables["images"].filter(F.col("split") == split)
+    wanted = tables["annotations"].join(curation.category_ids(tables["categories"], classes).select("category_id"), "category_id").select("image_id")
+    kept = images.join(wanted.select(F.col("image_id").alias("id")), "id", "left_semi")
+    kept = kept if most is None else kept.orderBy("pos").limit(most)
+    annotations = tables["annotations"].join(kept.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+    return {"images": kept, "annotations": annotations, "categories": tables["categories"]}

@@ -13,12 +13,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from gridloom.functions import names
+from gridloom.operators import sampling
 
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
 
 
+def required(spark: SparkSession, *paths: str) -> None:
+    """Raise FileNotFoundError that names all the paths (or patterns) at which there is nothing."""
+    missing = []
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
+            missing.append(path)
+    if missing:
+        raise FileNotFoundError(f"missing inputs: {', '.join(missing)}")
+
+
 def file_list(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png"), case_sensitive: bool = False) -> DataFrame:
     """path, name, size of the files with these suffixes; contents are not read."""
+    required(spark, path)
     files = spark.read.format("binaryFile").load(path).select("path", names.base_name(F.col("path")).alias("name"), F.col("length").alias("size"))
     name = F.col("name") if case_sensitive else F.lower("name")
     return files.filter(name.rlike(rf"\.({'|'.join(suffixes)})$"))
@@ -26,13 +39,13 @@ def file_list(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("jpg"
 
 def natural_list(spark: SparkSession, path: str) -> DataFrame:
     """Image files of a folder with `index`, their 0-based place in natural order."""
-    files = file_list(spark, path, SUFFIXES)
-    ordered = files.withColumn("key", names.natural_key(F.col("path")))
-    return ordered.withColumn("index", F.row_number().over(Window.orderBy("key", "path")) - 1).drop("key")
+    files = file_list(spark, path, SUFFIXES).withColumn("key", names.natural_key(F.col("path")))
+    return sampling.numbered(files, "index", F.col("key"), F.col("path")).drop("key")
 
 
 def rasters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Readable images (Spark's image struct, flattened) and the origins of unreadable ones."""
+    required(spark, path)
     images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     return images.filter("height > 0"), images.filter("height <= 0").select("origin")
 
@@ -40,7 +53,7 @@ def rasters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def labelled_folders(spark: SparkSession, path: str) -> DataFrame:
     """Images under path/<cls=name>/ with cls and class_index, the alphabetical rank of the class."""
     images = spark.read.format("image").load(path)
-    classes = images.select("cls").distinct()
+    classes = spark.read.format("binaryFile").load(path).select("cls").distinct()  # from the listing, without contents
     ranked = classes.withColumn("class_index", F.dense_rank().over(Window.orderBy("cls")) - 1)  # a row for each class
     return images.join(ranked, "cls").select("image.*", "cls", "class_index")
 
