@@ -172,20 +172,20 @@ def _spelled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, context long, check int, before int, around binary")
 
 
-_REACH = "anchor long, context long, check int, reach_left int, reach_right int"
-_ANSWER = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("check", pa.int32()), ("reach_left", pa.int32()), ("reach_right", pa.int32())])
+_REACH = "id long, reach_left int, reach_right int"
+_ANSWER = pa.schema([("id", pa.int64()), ("reach_left", pa.int32()), ("reach_right", pa.int32())])
 
 
 def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
-    """How far contexts are repeated in others of their group; the groups' contexts stand together in a partition."""
+    """(id, reach_left, reach_right): how far contexts are repeated in others of their group; a group's contexts stand together in a partition."""
 
-    def answers(held: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int, int]]:
-        reach = longest_matches([h[4][: h[3]][::-1] for h in held], [h[4][h[3] :] for h in held], window)
-        return [(*h[:3], a, b) for h, a, b in zip(held, *reach, strict=True) if a + b >= window]
+    def answers(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
+        reach = longest_matches([h[2][: h[1]][::-1] for h in held], [h[2][h[1] :] for h in held], window)
+        return [(h[0], a, b) for h, a, b in zip(held, *reach, strict=True) if a + b >= window]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        out: list[tuple[int, int, int, int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
@@ -198,12 +198,12 @@ def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
         if len(held) > 1 and (out := answers(held)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
 
-    one = contexts.select(F.col(group).alias("group"), *_CONTEXT, "before", "around")
+    one = contexts.select(F.col(group).alias("group"), "id", "before", "around")
     return one.repartition("group").sortWithinPartitions("group").mapInArrow(run, _REACH)
 
 
 def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
-    """(core, hull, hull_check, anchor, context, check, low, high, least_back, most_back): each context's windows, dealt into families.
+    """(core, hull, hull_check, id, low, high, least_back, most_back): each context's windows, dealt into families.
 
     A row's windows begin low to high bytes before the anchor; these are cut into `parts` families.
     core: hash of the bytes all windows of the family have; hull, hull_check: two of those at least one has;
@@ -213,7 +213,7 @@ def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = tx.flat(batch.column("around").cast(pa.large_binary()))
-            anchor, context, check, before, low, high = (batch.column(c).to_numpy() for c in (*_CONTEXT, "before", "low", "high"))
+            anchor, name, before, low, high = (batch.column(c).to_numpy() for c in ("anchor", "id", "before", "low", "high"))
             start, end, at = bounds[:-1], bounds[1:], bounds[:-1] + before
             step = -(-(high - low + 1) // parts)
             for part in range(parts):
@@ -227,29 +227,31 @@ def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
                 lo, hi = np.maximum(one - t, start[fits]), np.minimum(one + window - f, end[fits])
                 hull = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((one - lo).astype(np.uint64)))
                 hull_check = (tx.span_hashes(data, lo, hi, tx.SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                columns = [core.view(np.int64), hull.view(np.int64), hull_check, anchor[fits], context[fits], check[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "hull_check", *_CONTEXT, "low", "high", "least_back", "most_back"])
+                columns = [core.view(np.int64), hull.view(np.int64), hull_check, name[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "hull_check", "id", "low", "high", "least_back", "most_back"])
 
-    return contexts.mapInArrow(run, "core long, hull long, hull_check int, anchor long, context long, check int, low int, high int, least_back int, most_back int")
+    return contexts.mapInArrow(run, "core long, hull long, hull_check int, id long, low int, high int, least_back int, most_back int")
 
 
 def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataFrame:
-    """How far each of the contexts (a written table) is repeated in others of its anchor."""
+    """How far each of the contexts is repeated in others of its anchor."""
     found, parts = [], 4
+    contexts = rows.written(contexts.withColumn("id", F.monotonically_increasing_id()), "spelled")
     todo = contexts.withColumns({"low": F.lit(0), "high": F.lit(window - gram)})
     while True:
         nodes = rows.written(_nodes(todo, window, parts), "nodes")
-        one = F.min(F.struct(*_CONTEXT, "low", "high")).alias("one")
+        one = F.min(F.struct("id", "low", "high")).alias("one")
         hulls = rows.written(nodes.groupBy("core", "hull_check", "hull").agg(F.count("*").alias("n"), one).select("core", "hull_check", "hull", "n", "one.*"), "hulls")
         same = rows.join_hot(nodes, hulls.filter("n > 1").select("core", "hull_check", "hull"), ["core", "hull_check", "hull"], "left_semi")
-        found.append(same.select(*_CONTEXT, F.col("most_back").alias("reach_left"), (window - F.col("least_back")).alias("reach_right")))
+        found.append(same.select("id", F.col("most_back").alias("reach_left"), (window - F.col("least_back")).alias("reach_right")))
         sizes = rows.written(hulls.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "cores")
-        held = rows.join_hot(hulls, sizes, ["core"]).select("core", "m", *_CONTEXT, "low", "high")
+        held = rows.join_hot(hulls, sizes, ["core"]).select("core", "m", "id", "low", "high")
         wider = todo.withColumnsRenamed({"low": "from_low", "high": "from_high"})  # a family lies in one that was cut
-        held = held.join(wider, list(_CONTEXT)).filter("low between from_low and from_high").drop("from_low", "from_high")
+        held = held.join(wider, "id").filter("low between from_low and from_high").drop("from_low", "from_high")
         found.append(_matched(held.filter(F.col("m") <= most), "core", window))
         if sizes.filter(F.col("m") > most).isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            reach = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
+            return contexts.select("id", *_CONTEXT).join(reach, "id").drop("id")
         todo, parts = rows.written(held.filter(F.col("m") > most).drop("core", "m"), "crowded"), 2
 
 
@@ -267,7 +269,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, most_con
     reach = whole.select(*_CONTEXT, F.col("before").alias("reach_left"), F.col("after").alias("reach_right"))
     several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct(*_CONTEXT, "place", "before", "after")).alias("wanted"))
     spelled = _spelled(rows.with_info(texts, several, "inner"))
-    reach = reach.unionByName(_in_several(rows.written(spelled, "spelled"), window, gram, most_contexts))
+    reach = reach.unionByName(_in_several(spelled, window, gram, most_contexts))
     reach = reach.groupBy("anchor", "check", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
     spans = rows.join_hot(found.select(*rows.KEYS, *_CONTEXT, "place"), reach, ["anchor", "check", "context"])
     spans = spans.groupBy(*rows.KEYS).agg(F.collect_list(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
