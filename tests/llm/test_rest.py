@@ -84,55 +84,59 @@ def test_automata_are_bounded(spark):
     assert a == b and all(r.contaminated and r.n_items == 1 for r in a)
 
 
-def brute_katz(some):
+def brute_katz(some, order):
     tokens = {i: [*corpus.WORD.findall((t or "").translate(corpus.LOWER)), None] for i, t in some.items()}
-    train = [i for i in tokens if not corpus.held_out(i)]
-    c, c2 = Counter(), defaultdict(Counter)
-    for i in train:
-        before = "<s>"
-        for w in tokens[i]:
-            c[w] += 1
-            c2[before][w] += 1
-            before = w
-    total = sum(c.values())
-    of = lambda counts: katz.discounts([0, *(sum(1 for x in counts if x == r) for r in range(1, 7))])
-    d1, d2 = of(list(c.values())), of([x for f in c2.values() for x in f.values()])
-    cut = lambda d, x: x * d[x] if x <= katz.KEEP else x
-    lost = sum(x - cut(d1, x) for x in c.values())
-    over = total if lost else total + 1
-    p1 = lambda w: cut(d1, c[w]) / over if c[w] else (lost or 1) / over
-    table = {}
-    for v, f in c2.items():
-        n, gone = sum(f.values()), sum(x - cut(d2, x) for x in f.values())
+    tables = [defaultdict(Counter) for _ in range(order + 1)]  # [k]: context of k - 1 tokens -> followers
+    for i in tokens:
+        if not corpus.held_out(i):
+            for k in range(1, order + 1):
+                padded = ["<s>"] * (k - 1) + tokens[i]
+                for at in range(len(tokens[i])):
+                    tables[k][tuple(padded[at : at + k - 1])][padded[at + k - 1]] += 1
+    c = tables[1][()]
+    total, d = sum(c.values()), [None]
+    for k in range(1, order + 1):
+        counts = [x for f in tables[k].values() for x in f.values()]
+        d.append(katz.discounts([0, *(sum(1 for x in counts if x == r) for r in range(1, 7))]))
+    cut = lambda k, x: x * d[k][x] if x <= katz.KEEP else x
+    lost = sum(x - cut(1, x) for x in c.values())
+    unknown, over = (lost or 1) / (total if lost else total + 1), total if lost else total + 1
+    weights = {}
+
+    def p(context, w):
+        k = len(context) + 1
+        if k == 1:
+            return cut(1, c[w]) / over if c[w] else unknown
+        f = tables[k].get(context)
+        if f is None:
+            return p(context[1:], w)
         whole = all(x > katz.KEEP for x in f.values())
-        left = 1 / (n + 1) if whole else gone / n
-        table[v] = (n + whole, left / (1 - sum(p1(w) for w in f)))
-        mass = sum(cut(d2, x) / table[v][0] for x in f.values()) + table[v][1] * (sum(p1(w) for w in c if w not in f) + (lost or 1) / over)
-        assert abs(mass - 1) < 1e-9
+        n = sum(f.values()) + whole
+        if w in f:
+            return cut(k, f[w]) / n
+        if context not in weights:
+            left = 1 / n if whole else sum(x - cut(k, x) for x in f.values()) / n
+            weights[context] = left / (1 - sum(p(context[1:], x) for x in f))
+        return weights[context] * p(context[1:], w)
+
+    for k in range(2, order + 1):
+        for context in sorted(tables[k], key=str)[:20]:
+            assert abs(sum(p(context, w) for w in c) + p(context, "no such word") - 1) < 1e-9
     out = {}
     for i, ws in tokens.items():
-        score = base = 0.0
-        before = "<s>"
-        for w in ws:
-            base += math.log10((c[w] + 1) / (total + len(c) + 1))
-            if before in table:
-                x = c2[before].get(w, 0)
-                p = cut(d2, x) / table[before][0] if x else table[before][1] * p1(w)
-            else:
-                p = p1(w)
-            score += math.log10(p)
-            before = w
-        out[i] = (len(ws), sum(c[w] > 0 for w in ws), total, base, score)
+        padded = ["<s>"] * (order - 1) + ws
+        score = sum(math.log10(p(tuple(padded[at : at + order - 1]), w)) for at, w in enumerate(ws))
+        out[i] = (len(ws), sum(c[w] > 0 for w in ws), total, sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in ws), score)
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"block_bytes": 3000, "home_bytes": 2000}, {"block_bytes": 5000, "home_bytes": 2000, "hot": 40}])
+@pytest.mark.parametrize("how", [{}, {"order": 1}, {"order": 3}, {"order": 4, "block_bytes": 3000, "home_bytes": 2000}, {"block_bytes": 3000, "home_bytes": 2000}, {"order": 3, "block_bytes": 5000, "home_bytes": 2000, "hot": 40}])
 def test_katz(spark, how, monkeypatch):
     if "hot" in how:
         monkeypatch.setattr(katz, "HOT_WORDS", 10**6)
-    d = spark.createDataFrame([r for r in corpus.rows() if r[0] is not None], corpus.COLUMNS).repartition(3)
-    got = katz.katz_scores(d, F.crc32(F.col("doc_id").cast("string")) % 7 != 2, **how).collect()
-    want = brute_katz({r[0]: r[1] for r in corpus.rows() if r[0] is not None})
+    d = spark.createDataFrame(corpus.rows(), corpus.COLUMNS).repartition(3)
+    got = katz.katz_scores(d, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2, **how).collect()
+    want = brute_katz({r[0]: r[1] for r in corpus.rows()}, how.get("order", 2))
     assert len(got) == len(want)
     for r in got:
         w = want[r.doc_id]
@@ -140,6 +144,13 @@ def test_katz(spark, how, monkeypatch):
         assert math.isclose(r.base_score, w[3], rel_tol=1e-9) and math.isclose(r.score, w[4], rel_tol=1e-9)
 
 
+def test_katz_of_string_ids_and_long_texts(spark):
+    d = spark.createDataFrame([("a", "tick tock " * 60_000), ("b", "tick tock"), ("c", "tock " + "é" * 600_000)], "doc_id string, text string")
+    got = {r.doc_id: r for r in katz.katz_scores(d, F.col("doc_id") == "a", order=3).collect()}
+    assert {k: (r.n_tokens, r.n_known, r.train_tokens) for k, r in got.items()} == {"a": (120_001, 120_001, 120_001), "b": (3, 3, 120_001), "c": (3, 2, 120_001)}
+    assert got["b"].score > got["c"].score
+
+
 def test_katz_edges(spark):
     d = corpus.docs(spark)
     assert katz.katz_scores(d.limit(0), F.lit(True)).count() == 0
