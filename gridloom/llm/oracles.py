@@ -126,6 +126,29 @@ select doc_id, d.source, d.lang, d.topic, n_tokens, round(ratio, 6) as weight, r
 from docs d join ratio r on d.source = r.source and d.lang = r.lang and d.topic = r.topic, scale
 """
 
+#: Bigrams; the discounts as counted, or from the line through their logarithms (all counts of counts are over 0 here).
+OP8 = rf"""
+with raw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') as words,
+    xor(list_reduce([4294967295] || list_transform(range(length(doc_id::varchar)), lambda i: ascii(substr(doc_id::varchar, i::int + 1, 1))::bigint),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 7 = 2 as held_out from documents),
+tok as materialized (select doc_id, held_out, word, coalesce(lag(word) over (partition by doc_id order by i), ' ') as prev
+  from (select doc_id, held_out, unnest(list_append(words, '')) as word, unnest(range(len(words) + 1)) as i from raw)),
+w1 as materialized (select word, count(*) as c from tok where not held_out group by word),
+w2 as materialized (select prev, word, count(*) as c from tok where not held_out group by all),
+cc as (select 1 as k, c as r, count(*)::double as n from w1 where c <= 6 group by c union all select 2, c, count(*) from w2 where c <= 6 group by c),
+ends as (select k, 6 * max(n) filter (r = 6) / max(n) filter (r = 1) as whole, regr_slope(ln(n), ln(r)) as slope from cc group by k),
+counted as (select a.k, a.r, ((a.r + 1) * b.n / (a.r * a.n) - whole) / (1 - whole) as d, whole < 1 as ok from cc a join cc b on a.k = b.k and b.r = a.r + 1 join ends e on e.k = a.k),
+good as (select k, bool_and(ok and d > 0 and d < 1 and d >= before) as good from (select *, coalesce(lag(d) over (partition by k order by r), 0) as before from counted) group by k),
+d as materialized (select c.k, c.r, case when good then c.d else (pow(c.r + 1, slope + 1) / pow(c.r, slope + 1) - pow(6, slope + 1)) / (1 - pow(6, slope + 1)) end as d
+  from counted c join good g on g.k = c.k join ends e on e.k = c.k),
+n as (select sum(c) as n, count(*) as v, sum(case when c <= 5 then (1 - d) * c else 0 end) / sum(c) as unknown from w1 left join d on k = 1 and r = c),
+p1 as materialized (select word, c, c * coalesce(d, 1) / n as p from w1 left join d on k = 1 and r = c, n),
+p2 as materialized (select prev, w2.word, w2.c, w2.c * coalesce(d, 1) as kept, p1.p as lower from w2 join p1 on p1.word = w2.word left join d on k = 2 and r = w2.c),
+before as materialized (select prev, sum(c) + bool_and(c > 5)::int as total, (case when bool_and(c > 5) then 1 / (sum(c) + 1) else sum(c - kept) / sum(c) end) / (1 - sum(lower)) as weight from p2 group by prev),
+scored as (select doc_id, held_out, n, p1.c, log10((coalesce(p1.c, 0) + 1) / (n + v + 1)) as base, log10(coalesce(kept / total, coalesce(weight, 1) * coalesce(p1.p, unknown))) as score
+  from tok left join p1 on p1.word = tok.word left join p2 on p2.prev = tok.prev and p2.word = tok.word left join before on before.prev = tok.prev, n)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, any_value(n)::bigint as train_tokens, round(sum(base), 6) as base_score, round(sum(score), 6) as score from scored group by doc_id, held_out
+"""
 
 OP9 = rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') as words from documents),
@@ -142,5 +165,5 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(y) from reach r whe
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1, "op2_line_dedup": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4,
-        "op5_decontamination": OP5, "op6_preferences": OP6, "op7_mixing": op7(), "op9_jaccard_join": OP9,
+        "op5_decontamination": OP5, "op6_preferences": OP6, "op7_mixing": op7(), "op8_lm_scoring": OP8, "op9_jaccard_join": OP9,
     }

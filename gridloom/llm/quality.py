@@ -6,7 +6,8 @@ prefixes of neighbours give each word's longest repeat; their union gives the co
 
 Defined results: a null or blank text has no words and fails the base rule; repeated rows are
 judged row by row; other columns are untouched. Nothing is shuffled, so no key can be hot.
-A task holds one chunk of `text.CHUNK` bytes, or one longer text, at a time.
+A task holds one chunk of `text.CHUNK` bytes, or one longer text, at a time. Words and lines are told apart by
+a 64-bit hash.
 """
 
 from __future__ import annotations

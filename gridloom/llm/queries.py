@@ -53,7 +53,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
-    return katz.katz_scores(_table(spark, sf_dir, "documents"), train)
+    d = katz.katz_scores(_table(spark, sf_dir, "documents"), train)
+    return d.withColumns({"base_score": F.round("base_score", 6), "score": F.round("score", 6)})
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, katz, mixing, oracles, preferences, quality, queries, rows, warc
+from gridloom.llm import decontaminate, katz, mixing, oracles, preferences, quality, queries, rows, suffixes, warc
 from tests.compare import DATA, check
 from tests.llm import corpus
 
@@ -35,6 +35,20 @@ def test_quality(spark):
     assert quality.quality_rules(corpus.docs(spark).limit(0)).count() == 0
 
 
+def test_texts_longer_than_a_chunk(spark):
+    """Of over 512 KB, between short ones: quality rules, decontamination, bytes that another text has, too."""
+    long = " ".join(f"w{i:06d}" for i in range(100_000))
+    tail = long[-1500:]
+    d = spark.createDataFrame([(1, "short text"), (2, long), (3, tail + " and more")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_repeat_words, r.longest_repeat, r.kept) for r in quality.quality_rules(d).collect()}
+    assert got[2] == (100_000, 700_000, 0, 0, True) and got[1][0] == 2
+    bench = spark.createDataFrame([("x", " ".join(f"w{i:06d}" for i in range(70_000, 70_020))), ("y", " ".join(f"w{i:06d}" for i in range(9)) + " z")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.scan(d, bench).collect()}
+    assert got == {1: (2, 0, 0), 2: (100_000, 20, 1), 3: (len(tail.split()) + 2, 0, 0)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeated(d).collect()}
+    assert got == {1: (10, 0, 0), 2: (len(long), 1500, 1), 3: (1509, 1500, 1)}
+
+
 ITEMS = [("1", "wé1 W2 x#3 " * 6), ("2", None), ("3", " "), ("10", "Tick TOCK tick"), ("4", "no such words as these in any text of the corpus"), (None, "one"), ("11", "a b c d")]
 
 
