@@ -21,9 +21,9 @@ task, so a task gets a key at most once for each chunk. Texts with equal sets ar
 Candidates in rounds. In the first, all of a key's classes are paired with the smallest, which
 grows as the keys do. Links are verified on the full sets and joined to components. After that, only
 keys whose classes are still in different components are looked at again, in blocks of at most `block` classes:
-each class is paired with the first earlier class of another component within size and Hamming bounds, in the
-next round with the first four that were not refuted, then sixteen, until no block has a pair left. So families
-of near copies cost a row for each text, and only pairs that the bounds cannot tell from links are all tried.
+each class is paired with the first 16 earlier classes of other components within size and Hamming bounds. Blocks
+in which a class had more go on with the first 256 that were not refuted, and so on. So families of
+near copies cost a few rows for each text, and only pairs that the bounds cannot tell from links are all tried.
 
 Defined results: a text without words or null text has an empty set and is linked with nothing;
 equal rows have one result; component ids are the smallest doc_id of the component; a row without
@@ -272,14 +272,14 @@ def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent:
 
 
 def _pairs_in_groups(members: DataFrame, refuted: DataFrame | None, percent: int, most: int) -> DataFrame:
-    """(key, i, j, x, y): for each member at most `most` close earlier members of other components, without refuted pairs.
+    """(key, i, j, x, y, more): for each member at most `most` close earlier members of other components, without refuted pairs.
 
-    members: group columns, side, vertex, label, n, sketch; refuted: group columns, x, y.
+    more: whether a member of the group has as many, so that there may be others. members: group columns, side, vertex, label, n, sketch; refuted: group columns, x, y.
     """
     vertex = members.schema["vertex"].dataType
     kind = vertex.simpleString()
 
-    def close_pairs(group: tuple, held: list[tuple], no: set[tuple]) -> tuple[list, list]:
+    def close_pairs(group: tuple, held: list[tuple], no: set[tuple]) -> tuple[list, list, bool]:
         n, side = np.array([h[2] for h in held]), np.array([h[4] for h in held])
         _, label = np.unique(np.array([str(h[1]) for h in held]), return_inverse=True)
         sketch = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), SKETCH_WORDS)
@@ -295,16 +295,16 @@ def _pairs_in_groups(members: DataFrame, refuted: DataFrame | None, percent: int
             room[at] -= 1
             xs += [held[i][0]] * len(at)
             ys += [held[k][0] for k in at.tolist()]
-        return xs, ys
+        return xs, ys, not room.all()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, no = None, [], set()
 
         def found() -> Iterator[pa.RecordBatch]:
-            xs, ys = close_pairs(now, held, no) if len(held) > 1 else ([], [])
+            xs, ys, more = close_pairs(now, held, no) if len(held) > 1 else ([], [], False)
             if xs:
                 columns = [pa.array([v] * len(xs), k) for v, k in zip(now, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(xs, arrow), pa.array(ys, arrow)], names=["key", "i", "j", "x", "y"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(xs, arrow), pa.array(ys, arrow), pa.array([more] * len(xs))], names=["key", "i", "j", "x", "y", "more"])
 
         arrow = to_arrow_type(vertex)
         for batch in batches:
@@ -321,8 +321,8 @@ def _pairs_in_groups(members: DataFrame, refuted: DataFrame | None, percent: int
     rows_in = members.select("key", "i", "j", "side", "vertex", "label", "n", "sketch")
     if refuted is not None:
         rows_in = rows_in.unionByName(refuted.select("key", "i", "j", F.lit(-1).alias("side"), F.col("x").alias("vertex"), F.col("y").alias("label"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch")))
-    pairs = rows_in.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "vertex").mapInArrow(run, f"key long, i int, j int, x {kind}, y {kind}")
-    return pairs.select("key", "i", "j", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = rows_in.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "vertex").mapInArrow(run, f"key long, i int, j int, x {kind}, y {kind}, more boolean")
+    return pairs.select("key", "i", "j", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "more")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -390,24 +390,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alike = [F.bit_xor(F.xxhash64("vertex", F.lit(salt))).alias(f"members_{salt}") for salt in (1, 2)]
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("g"), *alike).filter("low != high")
     open_keys = open_keys.groupBy("g", "members_1", "members_2").agg(F.min("key").alias("key")).select("key", "g")
-    member = rows.join_hot(named.drop("label"), rows.written(open_keys, "open"), ["key"]).join(classes.select("vertex", "sketch"), "vertex")
+    member = rows.join_hot(named.drop("label"), open_keys, ["key"])
     blocks = F.ceil(F.col("g") / F.lit(block)).cast("int")
     member = member.withColumn("side", F.pmod(F.xxhash64("vertex"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     member = member.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
     refuted = None
-    for step in count(2):
-        now = member.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-        found = rows.written(_pairs_in_groups(now, refuted, percent, 4 ** (step - 2)), f"found-{step}")
-        if found.isEmpty():
-            break
-        linked = rows.written(verified(_within_bounds(found.select("x", "y").distinct(), sketches, percent), step), f"links-{step}")
-        wrong = rows.written(found.join(linked, ["x", "y"], "left_anti"), f"refuted-{step}")
-        refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        # A block without a pair is done: components only grow.
-        member = member.join(found.select("key", "i", "j").distinct(), ["key", "i", "j"], "left_semi")
+    for step in count(1):
+        of = classes.select("vertex", "sketch").join(labels, "vertex", "left").select("vertex", "sketch", F.coalesce("label", "vertex").alias("label"))
+        found = rows.written(_pairs_in_groups(member.join(of, "vertex"), refuted, percent, 16**step), f"found-{step}")
+        linked = rows.written(verified(_within_bounds(found.select("x", "y").distinct(), sketches, percent), step + 1), f"links-{step}")
         if not linked.isEmpty():
             links = links.unionByName(linked)
             labels = components(links)
+        more = rows.written(found.filter("more").select("key", "i", "j").distinct(), f"more-{step}")
+        if more.isEmpty():
+            break
+        wrong = found.join(more, ["key", "i", "j"], "left_semi").join(linked, ["x", "y"], "left_anti").drop("more")
+        refuted = wrong if refuted is None else refuted.join(more, ["key", "i", "j"], "left_semi").unionByName(wrong)
+        refuted = rows.written(refuted, f"refuted-{step}")
+        member = rows.written(member.join(more, ["key", "i", "j"], "left_semi"), f"members-{step}")
 
     out = info.join(classes.select("a", "b", "vertex"), ["a", "b"], "left").join(labels, "vertex", "left")
     own = F.coalesce("vertex", "doc_id")
