@@ -217,17 +217,13 @@ def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: i
             local = many[group]
             speaker = np.flatnonzero(fresh)
             kept_key, kept_text, known = key[speaker], text[speaker], many
-            home = _homes(kept_key, ranges)
-            cuts = np.searchsorted(home, np.arange(ranges + 1))
             out = []
             here = int(key[0]) % ranges
             if local.any():
                 out.append((here, True, pack_sorted(key[local]), text[local].astype(np.uint32).tobytes(), b"", a.tobytes()))
-            for r in range(ranges):
-                i, j = int(cuts[r]), int(cuts[r + 1])
-                if i < j:
-                    texts, local_of = np.unique(kept_text[i:j], return_inverse=True)
-                    out.append((r, False, pack_sorted(kept_key[i:j]), local_of.astype(np.uint16 if len(texts) < 65536 else np.uint32).tobytes(), np.packbits(known[i:j]).tobytes(), a[texts].tobytes()))
+            for r, i, j in tx.runs_of(_homes(kept_key, ranges)):
+                texts, local_of = np.unique(kept_text[i:j], return_inverse=True)
+                out.append((r, False, pack_sorted(kept_key[i:j]), local_of.astype(np.uint16 if len(texts) < 65536 else np.uint32).tobytes(), np.packbits(known[i:j]).tobytes(), a[texts].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=["home", "local", "keys", "texts", "known", "who"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +258,7 @@ def shared_keys(docs: DataFrame, common_list: np.ndarray, words: int, percent: i
             yield settled()
 
     sent = docs.mapInArrow(announce, "home int, local boolean, keys binary, texts binary, known binary, who binary")
-    return sent.repartition(ranges, "home").sortWithinPartitions("home").mapInArrow(confirm, "key long, a long")
+    return sent.repartition(min(ranges, rows.MOST_TASKS), "home").sortWithinPartitions("home").mapInArrow(confirm, "key long, a long")
 
 
 def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:

@@ -43,7 +43,6 @@ from gridloom.llm.packing import pack_ints, pack_sorted, unpack_ints, unpack_sor
 
 KEEP = 5
 HOT_WORDS = 1000
-MOST_TASKS = 20_000
 END = np.uint64(0x5EED0E4D)
 
 
@@ -176,6 +175,15 @@ def _lists(batch: pa.RecordBatch, name: str, i: int) -> list[dict]:
     return sorted(out, key=lambda r: r["home"])
 
 
+_NONE = np.zeros(0, dtype=np.int64)
+
+
+def _by_value(values: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each value, rising."""
+    order = np.argsort(values, kind="stable")
+    return {v: order[x:y] for v, x, y in tx.runs_of(values[order])}
+
+
 class _Block:
     """Row i of a batch of _tokens, with what is known of its words (column words) and, order by order, of its tokens."""
 
@@ -220,23 +228,23 @@ class _Block:
         code, at, self.pair_of = np.unique(rank * wide + word, return_index=True, return_inverse=True)
         self.pair_context, self.pair_word, self.pair_lower = contexts[code // wide] if len(code) else contexts, code % wide, self.lower[self.known][at]
         self.pair_train = np.bincount(self.pair_of, weights=self.train[self.known], minlength=len(code)).astype(np.int64)
-        self.pair_home = level.home_of(self.pair_context, self.pair_word)
+        self.pairs_of_home = _by_value(level.home_of(self.pair_context, self.pair_word))
         lone = self.context[(self.context >= 0) & (self.word < 0)]
         backing = np.unique(np.concatenate([lone, self.pair_context[self.pair_train == 0]]))
         self.backing = backing[~np.isin(backing, list(level.hot))]
-        self.backing_home = level.home_of(self.backing)
+        self.backing_of_home = _by_value(level.home_of(self.backing))
 
     def _learn(self, model: WordModel, level: Level, replies: list[dict]) -> None:
         count, number = np.zeros(len(self.pair_word), dtype=np.int64), np.full(len(self.pair_word), -1, dtype=np.int64)
         whole = [np.array([v for v, (_, w) in level.hot_weights.items() if w], dtype=np.int64)]
         names, weights = [np.array(list(level.hot_weights), dtype=np.int64)], [np.array([w for w, _ in level.hot_weights.values()], dtype=np.float64)]
         for r in replies:
-            mine = self.pair_home == r["home"]
+            mine = self.pairs_of_home.get(r["home"], _NONE)
             count[mine] = r["counts"]
             if r["numbers"] is not None and len(r["numbers"]):
                 number[mine] = r["numbers"]
             whole.append(r["contexts"])
-            names.append(self.backing[self.backing_home == r["home"]])
+            names.append(self.backing[self.backing_of_home.get(r["home"], _NONE)])
             weights.append(backoff(r["totals"], r["seen"], r["rare"].reshape(-1, KEEP), level.discount))
         name, weight = np.concatenate(names), np.concatenate(weights)
         order = np.argsort(name)
@@ -259,8 +267,7 @@ def _ask_words(tokens: DataFrame, homes: int) -> DataFrame:
                 b = _Block(batch, i)
                 count = b.train_counts()
                 home = ((b.vocabulary >> np.uint64(32)) * np.uint64(homes) >> np.uint64(32)).astype(np.int64)
-                cut = np.searchsorted(home, np.arange(homes + 1))
-                out = [(h, b.name, pack_sorted(b.vocabulary[x:y]), pack_ints(count[x:y])) for h, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if x < y]
+                out = [(h, b.name, pack_sorted(b.vocabulary[x:y]), pack_ints(count[x:y])) for h, x, y in tx.runs_of(home)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["home", "block", "keys", "counts"])
 
     return tokens.select("block", "train", "n_tokens", "vocabulary", "codes").mapInArrow(run, "home int, block long, keys binary, counts binary")
@@ -306,7 +313,7 @@ def _answer_words(asked: DataFrame, homes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _WORDS, strict=True)], schema=_WORDS)
 
     kinds = "kind string, home int, block long, keys array<long>, ids array<long>, counts array<long>"
-    return asked.repartition(min(homes, MOST_TASKS), "home").sortWithinPartitions("home").mapInArrow(run, kinds)
+    return asked.repartition(min(homes, rows.MOST_TASKS), "home").sortWithinPartitions("home").mapInArrow(run, kinds)
 
 
 def _lower_packed(lower: np.ndarray, order: int) -> bytes:
@@ -322,13 +329,10 @@ def _ask_pairs(blocks: DataFrame, model: WordModel, levels: list[Level], level:
             for i in range(batch.num_rows):
                 b = _Block(batch, i).known_up_to(model, levels, batch, i)
                 b.pair_up(level)
-                order = np.argsort(b.pair_home, kind="stable")
-                cut = np.searchsorted(b.pair_home[order], np.arange(level.homes + 1))
                 out = []
-                for h, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-                    mine, ask = order[x:y], b.backing[b.backing_home == h]
-                    if len(mine) or len(ask):
-                        out.append((h, b.name, pack_sorted(b.pair_context[mine]), pack_ints(b.pair_word[mine]), pack_ints(b.pair_train[mine]), _lower_packed(b.pair_lower[mine], level.order), pack_sorted(ask)))
+                for h in sorted(b.pairs_of_home.keys() | b.backing_of_home.keys()):
+                    mine, ask = b.pairs_of_home.get(h, _NONE), b.backing[b.backing_of_home.get(h, _NONE)]
+                    out.append((h, b.name, pack_sorted(b.pair_context[mine]), pack_ints(b.pair_word[mine]), pack_ints(b.pair_train[mine]), _lower_packed(b.pair_lower[mine], level.order), pack_sorted(ask)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["home", "block", "contexts", "words", "counts", "lower", "back"])
 
@@ -387,7 +391,7 @@ def _answer_pairs(asked: DataFrame, model: WordModel, level: Level, numbered: bo
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _PAIRS, strict=True)], schema=_PAIRS)
 
     kinds = "kind string, home int, block long, contexts array<long>, totals array<long>, seen array<double>, rare array<long>, pairs array<long>, words array<long>, counts array<long>, numbers array<long>"
-    return asked.repartition(min(level.homes, MOST_TASKS), "home").sortWithinPartitions("home").mapInArrow(run, kinds)
+    return asked.repartition(min(level.homes, rows.MOST_TASKS), "home").sortWithinPartitions("home").mapInArrow(run, kinds)
 
 
 def backoff(totals: np.ndarray, seen: np.ndarray, rare: np.ndarray, d: np.ndarray) -> np.ndarray:

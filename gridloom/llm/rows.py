@@ -16,6 +16,8 @@ from gridloom.llm import text as tx
 
 #: Two hashes of id and text, never null: they name a row in joins, whatever type its id has.
 KEYS = ("row_key", "row_check")
+#: Partitions of a hash partition by homes or ranges at most; a task has several of these then, one after another.
+MOST_TASKS = 20_000
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:

@@ -179,6 +179,13 @@ def covered(starts: np.ndarray, lengths: np.ndarray | int, n: int) -> np.ndarray
     return np.cumsum(change[:-1]) > 0
 
 
+def runs_of(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    if len(values):
+        begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        yield from zip(values[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(values)], strict=True)
+
+
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values over first[d]..first[d+1]-1 for each text d."""
     sums = np.zeros(len(values) + 1, dtype=np.int64)
