@@ -74,9 +74,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and no lineage behind it."""
-    path = new_folder(df.sparkSession, name)
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder before the application ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (at `path`, if given): computed once, and no lineage behind it."""
+    path = path or new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -258,9 +258,11 @@ def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataF
 def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, most_contexts: int = 1000) -> DataFrame:
     """docs (from rows.keyed, packed) with column spans: (start, end) byte stretches to remove, which may overlap."""
     texts = rows.packed(docs)
-    placed = rows.written(anchors(docs, window, gram), "anchors")
+    every = rows.new_folder(docs.sparkSession, "anchors")
+    placed = rows.written(anchors(docs, window, gram), "anchors", every)
     twice = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     found = rows.written(rows.join_hot(placed, twice, ["anchor"], "left_semi"), "found")
+    rows.delete(docs.sparkSession, every)
     where = F.struct(*rows.KEYS, "place", F.least("place", F.lit(window - gram)).alias("before"), "after")
     different = rows.written(found.groupBy(*_CONTEXT).agg(F.count("*").alias("n"), F.min(where).alias("at")).select(*_CONTEXT, "n", "at.*"), "different")
     counts = rows.written(different.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
