@@ -99,13 +99,13 @@ def _shard_bounds(pages: DataFrame, shard_bytes: int, most_shards: int) -> list[
     keys = [F.col("page_id").asc_nulls_first(), F.col("digest")]
     sized = pages.groupBy("page_id", "digest").agg(F.sum("payload_bytes").alias("size"))
     ranged = rows.written(sized.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
-    before, offset = {}, 0
-    for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).orderBy("range").collect():  # one row for each shuffle partition
-        before[r["range"]], offset = offset, offset + r["size"]
-    start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("range")]
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("sum"))  # one row for each shuffle partition
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     ahead = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    at = (start + F.coalesce(F.sum("size").over(ahead), F.lit(0))) / F.lit(shard_bytes)
-    first = ranged.withColumn("shard", F.floor(at)).groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "digest")).alias("key"))
+    within = ranged.withColumn("within", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    shard = F.floor((F.col("start") + F.col("within")) / F.lit(shard_bytes))
+    first = within.join(starts, "range").withColumn("shard", shard).groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "digest")).alias("key"))
     return sorted(_sort_key(r["key"]["page_id"], r["key"]["digest"]) for r in first.collect())[1:]
 
 
