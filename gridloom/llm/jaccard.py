@@ -26,9 +26,9 @@ in which a class had more go on with the first 256 that were not refuted, and so
 near copies cost a few rows for each text, and only pairs that the bounds cannot tell from links are all tried.
 
 Defined results: a text without words or null text has an empty set and is linked with nothing;
-equal rows have one result; component ids are the smallest doc_id of the component; a row without
-an id is in the component of a row with an id and an equal set, or else in none (null), but its class_key tells
-those with equal sets. Sets are known by hash: equal ones by two of 64 bits, shingles by one.
+equal rows have one result; rows without an id link like all others, and may be what joins two with ids; component
+ids are the smallest doc_id of the component, null if no row of it has one; component_key, a number of this run,
+tells components apart whether they have ids or not (null: no shingles). Sets are known by hash: equal ones by two of 64 bits, shingles by one.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm import rows
 from gridloom.llm import text as tx
@@ -272,9 +271,6 @@ def _pairs_in_groups(members: DataFrame, refuted: DataFrame | None, percent: int
 
     more: whether a member of the group has as many, so that there may be others. members: group columns, side, vertex, label, n, sketch; refuted: group columns, x, y.
     """
-    vertex = members.schema["vertex"].dataType
-    kind = vertex.simpleString()
-
     def close_pairs(group: tuple, held: list[tuple], no: set[tuple]) -> tuple[list, list, bool]:
         n, side = np.array([h[2] for h in held]), np.array([h[4] for h in held])
         _, label = np.unique(np.array([str(h[1]) for h in held]), return_inverse=True)
@@ -300,9 +296,8 @@ def _pairs_in_groups(members: DataFrame, refuted: DataFrame | None, percent: int
             xs, ys, more = close_pairs(now, held, no) if len(held) > 1 else ([], [], False)
             if xs:
                 columns = [pa.array([v] * len(xs), k) for v, k in zip(now, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(xs, arrow), pa.array(ys, arrow), pa.array([more] * len(xs))], names=["key", "i", "j", "x", "y", "more"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array([more] * len(xs))], names=["key", "i", "j", "x", "y", "more"])
 
-        arrow = to_arrow_type(vertex)
         for batch in batches:
             for key, i, j, side, vertex_, label, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != now:
@@ -317,7 +312,7 @@ def _pairs_in_groups(members: DataFrame, refuted: DataFrame | None, percent: int
     rows_in = members.select("key", "i", "j", "side", "vertex", "label", "n", "sketch")
     if refuted is not None:
         rows_in = rows_in.unionByName(refuted.select("key", "i", "j", F.lit(-1).alias("side"), F.col("x").alias("vertex"), F.col("y").alias("label"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch")))
-    pairs = rows_in.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "vertex").mapInArrow(run, f"key long, i int, j int, x {kind}, y {kind}, more boolean")
+    pairs = rows_in.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "vertex").mapInArrow(run, "key long, i int, j int, x long, y long, more boolean")
     return pairs.select("key", "i", "j", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "more")
 
 
@@ -333,9 +328,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = dict(pairs.dtypes)["x"]
     one, two = (sets.select(F.col("vertex").alias(c), F.col("items").alias(f"{c}_items")) for c in ("x", "y"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "x_items", "y_items").mapInArrow(run, f"x {kind}, y {kind}")
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "x_items", "y_items").mapInArrow(run, "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -354,14 +348,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, block: int = 1000, range_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, row_key, row_check, n_shingles, class_id, class_key, component_id for each row of docs (text rows of one id count as one vertex by their smallest id)."""
+    """doc_id, row_key, row_check, n_shingles, class_id, component_id and component_key for each row of docs; rows with equal sets are one vertex."""
     if percent < 60:
         raise ValueError("percent must be 60 or more: below, sketches of the size of the sets leave too little to agree in")
     keyed = rows.keyed(docs, id_col, text_col)
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     info = rows.written(identified(keyed, words), "sets")
     classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
-    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("vertex"), "first.row_key", "first.row_check", "sketch", "wide").filter("vertex is not null"), "classes")
+    classes = classes.select("a", "b", "n", F.col("first.doc_id").alias("class_id"), "first.row_key", "first.row_check", "sketch", "wide")
+    classes = rows.written(classes.withColumn("vertex", F.monotonically_increasing_id()), "classes")
     announced = shared_keys(keyed, common_shingles(info), words, percent, max(1, math.ceil(size / range_bytes)))
     keys = announced.distinct().join(classes.select("a", "vertex", "n"), "a")  # equal hashes of unlike sets only make more candidates
     keys = rows.written(keys.select("key", "vertex", "n"), "keys")
@@ -370,8 +365,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Only the sets that are in a pair are made and sent."""
         pairs = rows.written(pairs, f"pairs-{step}")
         ends = pairs.select(F.col("x").alias("vertex")).unionByName(pairs.select(F.col("y").alias("vertex"))).distinct()
-        wanted = rows.written(ends.join(classes.select("vertex", *rows.KEYS), "vertex").select(*rows.KEYS), f"wanted-{step}")
-        sets = rows.written(_packed_sets(rows.wanted_texts(keyed, wanted), words), f"items-{step}")
+        wanted = rows.written(ends.join(classes.select("vertex", *rows.KEYS), "vertex").select(*rows.KEYS, "vertex"), f"wanted-{step}")
+        sets = rows.written(_packed_sets(rows.wanted_texts(keyed, wanted), words).dropDuplicates(["vertex"]), f"items-{step}")  # equal rows are one
         return _verified(pairs, sets, percent)
 
     leaders = keys.groupBy("key").agg(F.min("vertex").alias("x"), F.min_by("n", "vertex").alias("m"))
@@ -406,10 +401,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         refuted = rows.written(refuted, f"refuted-{step}")
         member = rows.written(member.join(more, ["key", "i", "j"], "left_semi"), f"members-{step}")
 
-    out = info.join(classes.select("a", "b", "vertex"), ["a", "b"], "left").join(labels, "vertex", "left")
-    own = F.coalesce("vertex", "doc_id")
-    key = F.concat(F.hex("a"), F.lit("-"), F.hex("b")).alias("class_key")
-    return out.select("doc_id", *rows.KEYS, F.col("n").alias("n_shingles"), own.alias("class_id"), key, F.coalesce("label", own).alias("component_id"))
+    of = classes.select("a", "b", "class_id", "vertex").join(labels, "vertex", "left").select("a", "b", "class_id", F.coalesce("label", "vertex").alias("component_key"))
+    of = rows.written(of, "components")
+    smallest = of.groupBy("component_key").agg(F.min("class_id").alias("component_id"))
+    out = info.join(rows.join_hot(of, smallest, ["component_key"]), ["a", "b"], "left")
+    mine = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return out.select("doc_id", *rows.KEYS, F.col("n").alias("n_shingles"), mine("class_id"), mine("component_id"), "component_key")
 
 
 def _packed_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -417,10 +414,9 @@ def _packed_sets(texts: DataFrame, words: int) -> DataFrame:
         for batch, data, bounds in rows.text_chunks(batches):
             s = Sets(data, bounds, words)
             items = [pack_sorted(s.hashes[s.first[d] : s.first[d + 1]]) for d in range(len(s.sizes))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary())], names=["vertex", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array(items, pa.binary())], names=["vertex", "items"])
 
-    kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(run, f"vertex {kind}, items binary")
+    return texts.mapInArrow(run, "vertex long, items binary")
 
 
 def _within_bounds(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -435,6 +431,5 @@ def _within_bounds(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
                 keep.append(bool(_close(folded(p, words), folded(q, words), n, m, percent)))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = dict(pairs.dtypes)["x"]
     one, two = (sketches.select(F.col("vertex").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in ("x", "y"))
-    return pairs.join(one, "x").join(two, "y").mapInArrow(run, f"x {kind}, y {kind}")
+    return pairs.join(one, "x").join(two, "y").mapInArrow(run, "x long, y long")

@@ -106,10 +106,10 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """The rows of docs (from keyed) that `wanted`, a written table, names. Up to `most` names (16 bytes each) are broadcast, more are joined."""
+    """The rows of docs (from keyed) that `wanted`, a written table, names, with its other columns. Up to `most` names (few bytes each) are broadcast, more are joined."""
     if wanted.count() <= most:
-        return docs.join(F.broadcast(wanted.select(*KEYS)), list(KEYS), "left_semi")
-    return packed(docs).join(wanted.select(*KEYS), list(KEYS), "left_semi")
+        return docs.join(F.broadcast(wanted), list(KEYS))
+    return packed(docs).join(wanted, list(KEYS))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = tx.CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

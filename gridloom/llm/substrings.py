@@ -14,7 +14,7 @@ places of runs that survive; joins that send them back may split hot hashes (AQE
 Texts are shuffled once, packed; a lost executor's share is computed anew from the input.
 
 Defined results: a null text is an empty one; rows with equal id and text are copies of each
-other (and so are removed like copies); rows of one id with different texts are different
+other (and so are removed like copies; their places are kept once); rows of one id with different texts are different
 documents; a text of fewer words than the window keeps all of them.
 """
 
@@ -138,7 +138,7 @@ def repeated_runs(docs: DataFrame, window: int = 35, start_words: int = 18) -> D
     for level in steps:
         runs = _level_rows(out, level, window, found)
         twice = runs.groupBy("run_hash").agg(F.sum("n").alias("n")).filter("n > 1").select("run_hash")
-        kept = rows.join_hot(runs, twice, ["run_hash"], "left_semi").groupBy(*rows.KEYS).agg(F.collect_list("place").alias(f"level_{level}"))
+        kept = rows.join_hot(runs, twice, ["run_hash"], "left_semi").groupBy(*rows.KEYS).agg(F.collect_set("place").alias(f"level_{level}"))
         # Only documents with survivors go on; at the end each gets its last survivors, or none.
         last = level == steps[-1]
         out = rows.with_info(texts if last or not found else out, kept, "left" if last else "inner")

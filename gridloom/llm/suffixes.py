@@ -20,11 +20,12 @@ A core with more than `most_contexts` different hulls is not gathered: its famil
 the narrower ones are dealt out in the same way by their larger cores. A family of one window has
 its core for hull, so this ends after log2(window - gram) rounds at most, and is exact.
 
-Extensions are checked on bytes. That contexts, or hulls, are copies as a whole is decided by hash alone,
-by two independent ones of 64 and 32 bits, as their bytes would be several times the input to send.
+Extensions are checked on bytes. That contexts of one anchor, or hulls of one core, are copies as a whole is
+decided by a hash of 62 bits alone (two points modulo a prime), beside that of the anchor or core, as their bytes
+would be several times the input to send.
 
 Defined results: a null text is an empty one; rows with equal id and text are copies of each
-other; rows of one id with different texts are different documents.
+other, whose places are kept once; rows of one id with different texts are different documents.
 """
 
 from __future__ import annotations
@@ -44,8 +45,14 @@ from gridloom.llm import text as tx
 from gridloom.llm.substrings import _owners, least_runs, selected
 
 CHUNK = 1 << 18
-#: What names a context: the hash of its anchor, and two of all its bytes.
-_CONTEXT = ("anchor", "context", "check")
+#: What names a context: the hashes of its anchor and of all its bytes.
+_CONTEXT = ("anchor", "context")
+_RANDOM = np.random.default_rng(3_310_559)
+#: Each byte as an item of runs.
+_ITEMS = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Of the prefix hashes, modulo 2**64: what they find is checked on bytes.
+_PREFIX = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_POINT = np.uint64(0xD6E8FEB86659FD93)
 
 
 class SortedSuffixes:
@@ -57,7 +64,8 @@ class SortedSuffixes:
         self.wide = int(self.lengths.max(initial=0))
         raw = np.frombuffer(b"".join(s.ljust(self.wide, b"\0") for s in strings), dtype=np.uint8).reshape(len(strings), self.wide)
         self.prefix = np.zeros((len(strings), self.wide + 1), dtype=np.uint64)
-        np.cumsum(tx.BYTES[raw] * tx.powers(self.wide)[0][: self.wide], axis=1, out=self.prefix[:, 1:])
+        powers = np.multiply.accumulate(np.full(self.wide, _POINT))
+        np.cumsum(_PREFIX[raw] * powers, axis=1, out=self.prefix[:, 1:])
 
     def common(self, i: int, j: int) -> int:
         """Length of the longest common prefix of strings i and j."""
@@ -132,35 +140,38 @@ def longest_matches(left: list[bytes], right: list[bytes], window: int) -> tuple
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(row_key, row_check, anchor, place, context, check, after): each document's anchors.
+    """(row_key, row_check, anchor, place, context, after): each document's anchors.
 
-    anchor: hash of the anchor's bytes; context, check: two hashes of the bytes a window around it can span, of
-    which min(place, window - gram) precede it.
+    anchor: hash of the anchor's bytes; context: of the bytes a window around it can span, of which min(place, window - gram)
+    precede it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in rows.text_chunks(batches, CHUNK):
             room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))
-            runs, least, full = least_runs(tx.BYTES[data], room, gram, window)
+            runs, least, full = least_runs(_ITEMS[data], room, gram, window)
             at = selected(runs, least, full, window - gram + 1)
             if not len(at):
                 continue
             of = np.searchsorted(bounds, at, side="right") - 1
             lo, hi = np.maximum(bounds[of], at - (window - gram)), np.minimum(bounds[of + 1], at + window)
             context = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((at - lo).astype(np.uint64)))
-            check = (tx.span_hashes(data, lo, hi, tx.SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             mine = batch.select(list(rows.KEYS)).take(pa.array(of))
-            columns = [*mine.columns, pa.array(runs[at].view(np.int64)), pa.array((at - bounds[of]).astype(np.int32)), pa.array(context.view(np.int64)), pa.array(check), pa.array((hi - at).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rows.KEYS, "anchor", "place", "context", "check", "after"])
+            columns = [*mine.columns, pa.array(runs[at].view(np.int64)), pa.array((at - bounds[of]).astype(np.int32)), pa.array(context.view(np.int64)), pa.array((hi - at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*rows.KEYS, "anchor", "place", "context", "after"])
 
-    return docs.mapInArrow(run, "row_key long, row_check long, anchor long, place int, context long, check int, after int")
+    return docs.mapInArrow(run, "row_key long, row_check long, anchor long, place int, context long, after int")
 
 
 def _spelled(docs: DataFrame) -> DataFrame:
-    """The bytes of the contexts listed in column `wanted`."""
+    """The bytes of the contexts listed in column `wanted`, once for equal rows of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in rows.text_chunks(batches, CHUNK):
+        seen: set[tuple[int, int]] = set()
+        for every, data, bounds in rows.text_chunks(batches, CHUNK):
+            names = list(zip(*(every.column(k).to_pylist() for k in rows.KEYS), strict=True))
+            fresh = [k for k, name in enumerate(names) if name not in seen and not seen.add(name)]
+            batch, bounds = every.take(pa.array(fresh, pa.int64())), bounds[fresh]
             wanted = batch.column("wanted")
             of, flat = _owners(wanted), wanted.flatten()
             at = bounds[of] + flat.field("place").to_numpy()
@@ -169,7 +180,7 @@ def _spelled(docs: DataFrame) -> DataFrame:
             around = pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in (*_CONTEXT, "before")), around], names=[*_CONTEXT, "before", "around"])
 
-    return docs.mapInArrow(run, "anchor long, context long, check int, before int, around binary")
+    return docs.mapInArrow(run, "anchor long, context long, before int, around binary")
 
 
 _REACH = "id long, reach_left int, reach_right int"
@@ -203,10 +214,10 @@ def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
 
 
 def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
-    """(core, hull, hull_check, id, low, high, least_back, most_back): each context's windows, dealt into families.
+    """(core, hull, id, low, high, least_back, most_back): each context's windows, dealt into families.
 
     A row's windows begin low to high bytes before the anchor; these are cut into `parts` families.
-    core: hash of the bytes all windows of the family have; hull, hull_check: two of those at least one has;
+    core: hash of the bytes all windows of the family have; hull: of those at least one has;
     least_back, most_back: where windows of the family begin that the document has room for.
     """
 
@@ -226,11 +237,10 @@ def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
                 core = tx.mix(tx.span_hashes(data, one - f, one + window - t) ^ family)
                 lo, hi = np.maximum(one - t, start[fits]), np.minimum(one + window - f, end[fits])
                 hull = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((one - lo).astype(np.uint64)))
-                hull_check = (tx.span_hashes(data, lo, hi, tx.SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                columns = [core.view(np.int64), hull.view(np.int64), hull_check, name[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "hull_check", "id", "low", "high", "least_back", "most_back"])
+                columns = [core.view(np.int64), hull.view(np.int64), name[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "id", "low", "high", "least_back", "most_back"])
 
-    return contexts.mapInArrow(run, "core long, hull long, hull_check int, id long, low int, high int, least_back int, most_back int")
+    return contexts.mapInArrow(run, "core long, hull long, id long, low int, high int, least_back int, most_back int")
 
 
 def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataFrame:
@@ -241,8 +251,8 @@ def _in_several(contexts: DataFrame, window: int, gram: int, most: int) -> DataF
     while True:
         nodes = rows.written(_nodes(todo, window, parts), "nodes")
         one = F.min(F.struct("id", "low", "high")).alias("one")
-        hulls = rows.written(nodes.groupBy("core", "hull_check", "hull").agg(F.count("*").alias("n"), one).select("core", "hull_check", "hull", "n", "one.*"), "hulls")
-        same = rows.join_hot(nodes, hulls.filter("n > 1").select("core", "hull_check", "hull"), ["core", "hull_check", "hull"], "left_semi")
+        hulls = rows.written(nodes.groupBy("core", "hull").agg(F.count("*").alias("n"), one).select("core", "hull", "n", "one.*"), "hulls")
+        same = rows.join_hot(nodes, hulls.filter("n > 1").select("core", "hull"), ["core", "hull"], "left_semi")
         found.append(same.select("id", F.col("most_back").alias("reach_left"), (window - F.col("least_back")).alias("reach_right")))
         sizes = rows.written(hulls.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1"), "cores")
         held = rows.join_hot(hulls, sizes, ["core"]).select("core", "m", "id", "low", "high")
@@ -272,9 +282,9 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 200, most_con
     several = different.join(counts, "anchor", "left_semi").groupBy(*rows.KEYS).agg(F.collect_list(F.struct(*_CONTEXT, "place", "before", "after")).alias("wanted"))
     spelled = _spelled(rows.with_info(texts, several, "inner"))
     reach = reach.unionByName(_in_several(spelled, window, gram, most_contexts))
-    reach = reach.groupBy("anchor", "check", "context").agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
-    spans = rows.join_hot(found.select(*rows.KEYS, *_CONTEXT, "place"), reach, ["anchor", "check", "context"])
-    spans = spans.groupBy(*rows.KEYS).agg(F.collect_list(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
+    reach = reach.groupBy(*_CONTEXT).agg(F.max("reach_left").alias("reach_left"), F.max("reach_right").alias("reach_right"))
+    spans = rows.join_hot(found.select(*rows.KEYS, *_CONTEXT, "place"), reach, list(_CONTEXT))
+    spans = spans.groupBy(*rows.KEYS).agg(F.collect_set(F.struct((F.col("place") - F.col("reach_left")).alias("start"), (F.col("place") + F.col("reach_right")).alias("end"))).alias("spans"))
     return rows.with_info(texts, spans)
 
 

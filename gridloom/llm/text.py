@@ -3,27 +3,51 @@
 Texts are handled as the UTF-8 bytes of an Arrow column, in chunks of bounded size, so a
 task holds a few arrays of `CHUNK` bytes (or of one document, if that is longer) at a time.
 
-Hashes are 64-bit polynomial prefix sums over a random byte table, finished by an avalanche
-step. Equal sequences always get equal hashes. Operators that decide across the corpus on
-hashes alone say so.
+A hash is that of a polynomial with the sequence as coefficients: its values at two random points
+modulo the prime 2**31 - 1, from prefix sums, finished by an avalanche step. Two unlike sequences of n items
+share it for (n / 2**31)**2 of all pairs of points at most, whatever the sequences are (modulo a power of two
+there are sequences that collide at every point). Equal sequences always get equal hashes. Operators
+that decide across the corpus on hashes alone say so.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 19
+PRIME = (1 << 31) - 1
+_LOW, _HALF = np.uint64(PRIME), np.uint64(31)
 
-_RANDOM = np.random.default_rng(5_150_211)
-BYTES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-#: Another table, for a second hash that does not follow from the first.
-SECOND = np.random.default_rng(7_300_427).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+
+class ByteHash(NamedTuple):
+    """Two points, and what each byte counts at either."""
+
+    points: tuple[int, int]
+    values: np.ndarray
+
+    @classmethod
+    def random(cls, seed: int) -> ByteHash:
+        r = np.random.default_rng(seed)
+        return cls(tuple(r.integers(1 << 20, PRIME, 2).tolist()), r.integers(1, PRIME, (2, 256), dtype=np.uint64))
+
+    def lowered(self) -> ByteHash:
+        """The same with A-Z read as a-z."""
+        values = self.values.copy()
+        values[:, 0x41:0x5B] = values[:, 0x61:0x7B]
+        return self._replace(values=values)
+
+
+BYTES = ByteHash.random(5_150_211)
+LOWER_BYTES = BYTES.lowered()
+#: Other points and values, for a second hash that does not follow from the first.
+SECOND = ByteHash.random(7_300_427)
+#: The points of runs of items.
+_RUN_POINTS = ByteHash.random(9_120_077).points
 
 #: ASCII blanks that separate words.
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -33,27 +57,54 @@ NOT_BLANK[list(BLANKS)] = False
 ALNUM = np.zeros(256, dtype=bool)
 for _lo, _hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     ALNUM[_lo:_hi] = True
-#: Hash values of bytes with A-Z read as a-z.
-LOWER_BYTES = BYTES.copy()
-LOWER_BYTES[0x41:0x5B] = BYTES[0x61:0x7B]
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
+def powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n (and some more) powers of the point and of its inverse modulo PRIME."""
+    have = _powers.get(point)
+    if have is not None and len(have[0]) >= n:
+        return have
     size = 1 << max(10, int(n).bit_length())
-    if size not in _powers:
-        both = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        if size > 4 * CHUNK:  # for a long text: not worth keeping
-            return both[0], both[1]
-        _powers.clear()
-        _powers[size] = (both[0], both[1])
-    return _powers[size]
+    both = []
+    for base in (point, pow(point, -1, PRIME)):
+        p = np.ones(size, dtype=np.uint64)
+        k = 1
+        while k < size:
+            p[k : 2 * k] = _reduced(p[:k] * np.uint64(pow(base, k, PRIME)))
+            k *= 2
+        both.append(p.astype(np.uint32))
+    if size <= 2 * CHUNK:  # those of a longer text are not worth keeping
+        _powers[point] = (both[0], both[1])
+    return both[0], both[1]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x in place, under 2**33 or (from under 2**62) 2**32, and the same modulo PRIME."""
+    high = x >> _HALF
+    x &= _LOW
+    x += high
+    return x
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x in place, modulo PRIME."""
+    x = _folded(_folded(x))
+    x[x >= _LOW] -= _LOW
+    return x
+
+
+def _sums(coefficients: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Prefix sums of coefficients (used up) times powers; of under 2**32 items, as they are not reduced."""
+    coefficients *= up[: len(coefficients)]
+    sums = np.zeros(len(coefficients) + 1, dtype=np.uint64)
+    np.cumsum(_folded(coefficients), out=sums[1:])
+    return sums
+
+
+def _joined(two: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    return mix((two[0] << np.uint64(32)) | two[1], salt)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -122,23 +173,23 @@ class Words:
         """How many words its text has from each word on, itself included."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
 
-    def hashes(self, table: np.ndarray = BYTES) -> np.ndarray:
+    def hashes(self, table: ByteHash = BYTES) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends, table)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: ByteHash = BYTES) -> np.ndarray:
     """A 64-bit hash of data[starts[i]:ends[i]] for each i."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.take(table, data, out=sums[1:])
-    sums[1:] *= up[: len(data)]
-    np.cumsum(sums[1:], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    two = []
+    for point, values in zip(table.points, table.values, strict=True):
+        up, down = powers(point, len(data))
+        sums = _sums(np.take(values, data), up)
+        two.append(_reduced(_reduced(sums[ends] - sums[starts]) * down[starts]))
+    return _joined(two)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray, table: np.ndarray = BYTES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray, table: ByteHash = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the number of words of each text, taken `CHUNK` bytes at a time."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in chunked(bounds):
@@ -149,15 +200,16 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray, table: n
 
 
 def run_hashes(items: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of every n consecutive items; whether they are of one text is for the caller."""
+    """A 64-bit hash of every n consecutive items (64-bit hashes); whether they are of one text is for the caller."""
     many = len(items) - n + 1
     if many <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = powers(len(items))
-    sums = np.zeros(len(items) + 1, dtype=np.uint64)
-    np.multiply(items, up[: len(items)], out=sums[1:])
-    np.cumsum(sums[1:], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[:many], salt)
+    two = []
+    for point, part in zip(_RUN_POINTS, (items >> np.uint64(33), items & _LOW), strict=True):
+        up, down = powers(point, len(items))
+        sums = _sums(part, up)
+        two.append(_reduced(_reduced(sums[n:] - sums[:-n]) * down[:many]))
+    return _joined(two, salt)
 
 
 def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:

@@ -56,7 +56,7 @@ def common(x, y):
 
 
 def test_colliding_hashes_are_caught(monkeypatch):
-    monkeypatch.setattr(tx, "BYTES", np.ones(256, dtype=np.uint64))  # every string of a length has one hash
+    monkeypatch.setattr(suffixes, "_PREFIX", np.ones(256, dtype=np.uint64))  # every string of a length has one hash
     s = suffixes.SortedSuffixes([b"abcd", b"abXd"])
     assert s.common(0, 1) == 2
 
@@ -116,6 +116,17 @@ def test_jaccard_all_sizes(spark, percent):
     assert by_id(got, "n_shingles", "component_id") == corpus.components(dict(data), percent)
 
 
+def test_jaccard_rows_without_id_link(spark):
+    """1 ~ null ~ 2, though 1 and 2 are not near each other; two near rows without ids; equal rows; an unlinked one."""
+    w = [f"w{i}" for i in range(400)]
+    data = [(1, w[:100]), (None, w[10:110]), (2, w[20:120]), (None, w[200:300]), (None, w[205:305]), (7, w[310:340]), (7, w[310:340]), (None, w[350:390])]
+    got = jaccard.jaccard_components(spark.createDataFrame([(i, " ".join(t)) for i, t in data], "doc_id long, text string").repartition(3)).collect()
+    keys = {}
+    for r in got:
+        keys.setdefault(r.component_key, []).append((r.doc_id, r.component_id))
+    assert sorted((sorted(v, key=str) for v in keys.values()), key=str) == sorted([[(1, 1), (2, 1), (None, 1)], [(7, 7), (7, 7)], [(None, None)] * 2, [(None, None)]], key=str)
+
+
 def test_jaccard_refuses_low_similarity(spark):
     with pytest.raises(ValueError, match="60 or more"):
         jaccard.jaccard_components(corpus.docs(spark), percent=50)
@@ -192,3 +203,50 @@ def test_packing():
         assert (packing.unpack_ints(packing.pack_ints(x)) == x).all()
         x.sort()
         assert (packing.unpack_sorted(packing.pack_sorted(x)) == x).all()
+
+
+def _thue_morse(n, a, b):
+    x = [a]
+    while len(x) < n:
+        x += [b if y == a else a for y in x]
+    return x[:n]
+
+
+def test_strings_that_collide_modulo_powers_of_two(spark):
+    """The Thue-Morse string of two letters, or words, and its complement have equal polynomials modulo 2**64 at every odd point."""
+    one, two = "".join(_thue_morse(2048, "a", "b")), "".join(_thue_morse(2048, "b", "a"))
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    for table in (tx.BYTES, tx.LOWER_BYTES, tx.SECOND):
+        for n in (512, 1024, 2048):
+            h = tx.span_hashes(data, np.array([0, 2048]), np.array([n, 2048 + n]), table)
+            assert h[0] != h[1]
+    items = np.array([3 << 40 | 5, 7 << 50 | 11], dtype=np.uint64)
+    runs = [tx.run_hashes(items[np.array(_thue_morse(1024, a, 1 - a))], 1024)[0] for a in (0, 1)]
+    assert runs[0] != runs[1]
+    d = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {r.n_removed for r in lines.dedup_lines(d).collect()} == {0}
+    words = [" ".join(_thue_morse(1100, *p)) for p in (("aa", "bb"), ("bb", "aa"))]
+    long = [f"{one}{k} " * 20 + f"{k} " * 20 for k in "xy"] + [f"{two}{k} " * 20 + f"{k} " * 20 for k in "xy"]
+    texts = dict(enumerate([*words, *long]))
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = substrings.remove_repeated(d).collect()
+    assert by_id(got, "n_words", "n_removed", "kept_sha256") == corpus.removed_words(texts, 35)
+    got = substrings.remove_repeated(d, window=1024, start_words=512).collect()
+    assert by_id(got, "n_words", "n_removed", "kept_sha256") == corpus.removed_words(texts, 1024)
+    got = jaccard.jaccard_components(d).collect()
+    assert by_id(got, "n_shingles", "component_id") == corpus.components(texts)
+    got = suffixes.remove_repeated(d, window=1100, gram=550).collect()
+    assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == corpus.removed_bytes(texts, 1100)
+
+
+def test_many_equal_rows(spark):
+    """20,000 rows of one id and text cost what 20,000 others would, not their square."""
+    text = " ".join(f"w{i}" for i in range(300))
+    one = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    d = one.crossJoin(spark.range(20_000).select("id")).drop("id").unionByName(spark.createDataFrame([(8, "x " + text[400:])], "doc_id long, text string")).repartition(4)
+    got = substrings.remove_repeated(d, with_text=False).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 300, 300, 20_000), (8, len(text[400:].split()) + 1, len(text[400:].split()) - (text[399] != " "), 1)]
+    got = suffixes.remove_repeated(d, with_bytes=False).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got)) == [(7, len(text), len(text), 1, 20_000), (8, len(text) - 398, len(text) - 400 + (text[399] == " "), 1, 1)]
+    got = jaccard.jaccard_components(d.limit(20_001)).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(7, 7), (8, 8)}

@@ -41,7 +41,7 @@ def test_stages(spark):
 def test_rows_without_id_and_repeated_rows(spark):
     """Beside columns named like those that the stages add."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(70)) for x in "abc")
-    data = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, a), (3, c + " more"), (4, None), (4, None), (5, " "), (None, "")]
+    data = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, a), (3, c + " more"), (4, None), (4, None), (5, " "), (None, ""), (None, b + " near"), (None, c + " near")]
     d = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1.0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, row_key string, mix_topic string, weight double").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, d, DATA)
     assert got.columns == d.columns
