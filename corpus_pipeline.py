@@ -30,14 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, with the smallest id; texts without words all stay.
-
-    Rows without an id are duplicates of rows with an equal set of shingles, with or without an id.
-    """
+    """Of each group of near duplicates one row stays, with the smallest id, or one without an id if none has one; texts without words all stay."""
     found = jaccard.jaccard_components(docs)
-    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("class_key"))]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("one")
-    one = found.filter("n_shingles > 0").groupBy(*group).agg(first).select("one.row_key", "one.row_check", F.lit(True).alias("single"))
+    one = found.filter("n_shingles > 0").groupBy("component_key").agg(first).select("one.row_key", "one.row_check", F.lit(True).alias("single"))
     kept = one.unionByName(found.filter("n_shingles = 0").select(*rows.KEYS, F.lit(False).alias("single")).distinct())
     keyed, names = rows.with_keys(docs)
     kept = kept.select(*(F.col(k).alias(n) for k, n in zip(rows.KEYS, names, strict=True)), F.col("single").alias(f"single_{names[0]}"))
