@@ -45,7 +45,8 @@ def test_rows_without_id_and_repeated_rows(spark):
     d = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1.0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, row_key string, mix_topic string, weight double").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, d, DATA)
     assert got.columns == d.columns
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, c), (None, b), (4, None), (4, None), (5, " "), (None, "")], key=str)
+    got = [(r.doc_id, r.text if r.text is None else r.text.removesuffix(" near")) for r in got.collect()]  # of near rows without ids either may stay
+    assert sorted(got, key=str) == sorted([(1, a), (2, c), (None, b), (4, None), (4, None), (5, " "), (None, "")], key=str)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, d, DATA).count() >= 0
 
