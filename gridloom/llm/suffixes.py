@@ -213,6 +213,14 @@ def _matched(contexts: DataFrame, group: str, window: int) -> DataFrame:
     return one.repartition("group").sortWithinPartitions("group").mapInArrow(run, _REACH)
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, bytes of column `around` and their bounds, a chunk at a time."""
+    for batch in batches:
+        data, bounds = tx.flat(batch.column("around").cast(pa.large_binary()))
+        for i, j in tx.chunked(bounds, CHUNK):
+            yield batch.slice(i, j - i), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+
+
 def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
     """(core, hull, id, low, high, least_back, most_back): each context's windows, dealt into families.
 
@@ -222,8 +230,8 @@ def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = tx.flat(batch.column("around").cast(pa.large_binary()))
+        for batch, data, bounds in _around(batches):
+            spans = tx.Spans(data)
             anchor, name, before, low, high = (batch.column(c).to_numpy() for c in ("anchor", "id", "before", "low", "high"))
             start, end, at = bounds[:-1], bounds[1:], bounds[:-1] + before
             step = -(-(high - low + 1) // parts)
@@ -234,9 +242,9 @@ def _nodes(contexts: DataFrame, window: int, parts: int) -> DataFrame:
                 fits = np.flatnonzero((first <= last) & (least <= most) & (at - first >= start) & (at + window - last <= end))
                 one, f, t = at[fits], first[fits], last[fits]
                 family = tx.mix(anchor[fits].view(np.uint64) ^ tx.mix((f * (window + 1) + t).astype(np.uint64)))
-                core = tx.mix(tx.span_hashes(data, one - f, one + window - t) ^ family)
+                core = tx.mix(spans.hashes(one - f, one + window - t) ^ family)
                 lo, hi = np.maximum(one - t, start[fits]), np.minimum(one + window - f, end[fits])
-                hull = tx.mix(tx.span_hashes(data, lo, hi) ^ tx.mix((one - lo).astype(np.uint64)))
+                hull = tx.mix(spans.hashes(lo, hi) ^ tx.mix((one - lo).astype(np.uint64)))
                 columns = [core.view(np.int64), hull.view(np.int64), name[fits], *(c.astype(np.int32) for c in (f, t, least[fits], most[fits]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "hull", "id", "low", "high", "least_back", "most_back"])
 

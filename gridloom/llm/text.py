@@ -177,16 +177,23 @@ class Words:
         return span_hashes(self.data, self.starts, self.ends, table)
 
 
+class Spans:
+    """Hashes of spans of the same bytes: the prefix sums are made once."""
+
+    def __init__(self, data: np.ndarray, table: ByteHash = BYTES) -> None:
+        self.two = []
+        for point, values in zip(table.points, table.values, strict=True):
+            up, down = powers(point, len(data) + 1)
+            self.two.append((_sums(np.take(values, data), up), down))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of data[starts[i]:ends[i]] for each i."""
+        return _joined([_reduced(_reduced(sums[ends] - sums[starts]) * down[starts]) for sums, down in self.two])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: ByteHash = BYTES) -> np.ndarray:
     """A 64-bit hash of data[starts[i]:ends[i]] for each i."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    two = []
-    for point, values in zip(table.points, table.values, strict=True):
-        up, down = powers(point, len(data))
-        sums = _sums(np.take(values, data), up)
-        two.append(_reduced(_reduced(sums[ends] - sums[starts]) * down[starts]))
-    return _joined(two)
+    return Spans(data, table).hashes(starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray, table: ByteHash = BYTES) -> tuple[np.ndarray, np.ndarray]:
