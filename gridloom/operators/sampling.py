@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom import tables
+
 
 def hash_order(seed: str, *keys: Column) -> Column:
     """A value to order by, as good as a shuffle with this seed."""
@@ -48,15 +50,28 @@ def first_per_group(rows: DataFrame, by: str, most: int, *order: Column) -> Data
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("__rank") <= most).drop("__rank")
 
 
+def indexed(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once, with a number from 0 on without gaps, in the order of partitions and of rows in them.
+
+    A row's partition and place in it are written with the row, so what is counted is what is numbered, whatever a later
+    plan of the same rows would look like; numbers then come from one row of sums for each partition. Fails if a partition's
+    places are not what was counted.
+    """
+    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    d = tables.written(rows.withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    sizes = d.groupBy(F.shiftright("__place", 33).alias("__p")).agg(F.count("*").alias("__n"), F.max(place).alias("__last"))
+    sound = F.when(F.col("__last") + 1 == F.col("__n"), F.col("__n")).otherwise(F.raise_error(F.lit("rows were lost while they were numbered")).cast("long"))
+    before = F.coalesce(F.sum(sound).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__p", (before + F.when(sound > 0, F.lit(0))).alias("__before"))
+    return d.join(F.broadcast(sizes), F.shiftright("__place", 33) == F.col("__p")).withColumn(name, F.col("__before") + place).select(*rows.columns, name)
+
+
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
-    """rows with their 0-based place in this order, from a range sort: places within a range, and how many rows the ranges before it have."""
-    ranged = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each shuffle partition
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("__range").alias("__r"), before.alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    d = ranged.withColumn("__within", within)
-    return d.join(sizes, d["__range"] == sizes["__r"]).withColumn(name, F.col("__before") + F.col("__within")).select(*rows.columns, name)
+    """rows with their 0-based place in this order, from a range sort that is written once.
+
+    Rows that are equal in all of `order` are sorted by one task: end it with a column that tells them apart if there may be many.
+    """
+    return indexed(rows.repartitionByRange(*order).sortWithinPartitions(*order), name)
 
 
 def batches(rows: DataFrame, key: str, size: int = 32, seed: str = "epoch") -> DataFrame:
