@@ -161,9 +161,27 @@ reach(x, y) as (select doc_id, doc_id from d union select r.x, l.y from reach r
 select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(y) from reach r where r.x = d.doc_id) as component_id from d left join n using (doc_id)
 """
 
+OP13 = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as words from documents),
+w as (select doc_id, unnest(words) as word from d),
+b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) as word from benchmark),
+h as materialized (select word, xor(list_reduce([4294967295] || list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(word), i::int * 2 + 1, 2))::bigint),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 10000 as bucket
+  from (select distinct word from (select word from w union all select word from b))),
+s as (select bucket, count(*)::double as s from w join h using (word) group by bucket),
+t as (select bucket, count(*)::double as t from b join h using (word) group by bucket),
+g as (select k as bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((select count(*) from w)::double + 10000) / ((coalesce(s, 0) + 1) * ((select count(*) from b)::double + 10000))))::bigint as gain
+  from range(10000) r(k) left join s on s.bucket = k left join t on t.bucket = k),
+weight as (select doc_id, sum(gain)::bigint as weight from w join h using (word) join g using (bucket) group by doc_id),
+score as (select d.doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from d left join weight using (doc_id)),
+place as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as many from score where n_features >= 20)
+select score.*, case when place <= 10 * many // 100 then place end as rank from score left join place using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1, "op2_line_dedup": OP2, "op3_quality_rules": OP3, "op4_substring_dedup": OP4,
-        "op5_decontamination": OP5, "op6_preferences": OP6, "op7_mixing": op7(), "op8_lm_scoring": OP8, "op9_jaccard_join": OP9,
+        "op5_decontamination": OP5, "op6_preferences": OP6, "op7_mixing": op7(), "op8_lm_scoring": OP8, "op9_jaccard_join": OP9, "op13_importance_resampling": OP13,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, jaccard, katz, lines, mixing, preferences, quality, rows, substrings, suffixes, warc
+from gridloom.llm import bestfit, decontaminate, importance, jaccard, katz, lines, mixing, preferences, quality, rows, substrings, suffixes, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated(_table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bestfit.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_preferences, op7_mixing, op8_lm_scoring, op9_jaccard_join, op10_suffix_array_dedup)}
+    every = (
+        op1_warc, op2_line_dedup, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_preferences, op7_mixing, op8_lm_scoring, op9_jaccard_join,
+        op10_suffix_array_dedup, op11_best_fit_packing, op12_embedding_whitening, op13_importance_resampling,
+    )
+    return {f.__name__: f for f in every}
