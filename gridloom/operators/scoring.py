@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,17 @@ KEYWORDS = {
 ALIASES = {"バス": "bus", "車": "car", "自動車": "car", "信号": "traffic_light", "信号機": "traffic_light", "自転車": "bicycle", "消火栓": "fire_hydrant"}
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once: as the variable of a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array of scores."""
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    """Probabilities of an array of scores, in time that grows with its length: largest score and sum are evaluated once."""
+    scores = F.struct(logits.alias("x"), F.array_max(logits).cast("double").alias("most"))
+    powers = _bound(scores, lambda s: F.transform(s["x"], lambda x: F.exp(x.cast("double") - s["most"])))
+    summed = _bound(powers, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("sum")))
+    return _bound(summed, lambda s: F.transform(s["e"], lambda x: x / s["sum"]))
 
 
 def best(scores: Column) -> Column:
@@ -93,6 +102,7 @@ def detections(found: DataFrame, by: str, least: float = 0.1) -> DataFrame:
 
 
 def categories_of_best(best_rows: DataFrame, vocabulary: DataFrame, by: str) -> DataFrame:
-    """by, categories: sorted, distinct coarse categories of the best classes of each group."""
+    """by, categories: sorted, distinct coarse categories of the best classes of each group; empty if these have no names or no category."""
     named = vocabulary.select("class_idx", coarse(F.col("label")).alias("some"))
-    return best_rows.join(named, "class_idx").groupBy(by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))).alias("categories"))
+    every = F.flatten(F.collect_list("some"))
+    return best_rows.join(named, "class_idx", "left").groupBy(by).agg(F.array_sort(F.array_distinct(every)).alias("categories"))

@@ -11,7 +11,10 @@ _TILES = """select p_partkey as image_id, (p_size + 9)::int as width, (p_size *
   from part, range(9) t(i)"""
 _P = """select vec_id, i::int as class_idx, exp(x - max(x) over (partition by vec_id)) / sum(exp(x - m)) over (partition by vec_id) as p
   from (select *, max(x) over (partition by vec_id) as m from (select vec_id, i, embedding[i + 1]::double * 10 as x from embeddings, range(64) t(i)))"""
-_VOCABULARY = "(values (0, 'school bus'), (1, 'minibus'), (2, 'trolleybus'), (3, 'sports car'), (4, 'traffic light'), (5, 'mountain bike'), (6, 'cabinet'), (7, 'hydrant'), (8, 'dog'), (9, 'tandem')) v(class_idx, label)"
+_VOCABULARY = """(select k::int as class_idx, case when k < 10 then (['school bus', 'minibus', 'trolleybus', 'sports car', 'traffic light', 'mountain bike', 'cabinet', 'hydrant', 'dog', 'tandem'])[k + 1]
+    else (['jeep', 'house', 'tandem bicycle', 'tree', 'taxi', 'lamp', 'fire hydrant', 'omnibus'])[k % 8 + 1] || ' ' || k end as label from range(64) t(k)) v"""
+_CATEGORIES = f"""(select class_idx, cat from (select class_idx, unnest([case when contains(label, 'bus') then 'bus' end, case when regexp_matches(label, 'car|cab|taxi|limousine|jeep|minivan|pickup|racer|ambulance|police van') then 'car' end,
+    case when contains(label, 'traffic light') then 'traffic_light' end, case when regexp_matches(label, 'bicycle|mountain bike|tandem') then 'bicycle' end, case when contains(label, 'hydrant') then 'fire_hydrant' end]) as cat from {_VOCABULARY}) where cat is not null)"""
 _EPOCHS = "select event_id % 40 as epoch, round(avg(case when event_type = 'click' then 1::double else 0::double end), 3) as val_acc from events group by 1"
 _PIXELS = """select p_partkey as image, (k // 36)::int as y, (k // 3 % 12)::int as x, (k % 3)::int as c, ((k * 7 + p_size * k % 31 + p_partkey * 13) % 256)::int as v
   from part, range(324) t(k)"""
@@ -57,8 +60,9 @@ def oracle_sql() -> dict[str, str]:
             round(case when count(*) filter (p) > 0 then count(*) filter (p and y) / count(*) filter (p) else 0 end::double, 9) as precision, round(case when count(*) filter (y) > 0 then count(*) filter (p and y) / count(*) filter (y) else 0 end::double, 9) as recall
             from (select lang, n_chars >= 500 as p, quality = 1 as y from labels join documents using (doc_id)) group by lang""",
         "r13_best_epoch": f"select epoch, val_acc from ({_EPOCHS}) where val_acc > 0 order by val_acc desc, epoch limit 1",
-        "r13b_published_best": "select 7::int as epoch, 0.9749::double as val_acc",
+        "r13b_published_best": f"select 'published' as series, 7::bigint as epoch, 0.9749::double as val_acc union all select 'events', * from (select epoch, val_acc from ({_EPOCHS}) where val_acc > 0 order by val_acc desc, epoch limit 1)",
         "r14_natural_sort": "select p_brand, row_number() over (order by regexp_extract(p_brand, '^[^0-9]*'), regexp_extract(p_brand, '[0-9]+$')::int)::int as place from (select distinct p_brand from part)",
+        "r14b_natural_order": "select o_orderkey, 'clerk ' || o_custkey % 97 || '/' || o_orderkey || '.jpg' as name, o_orderpriority, row_number() over (order by o_custkey % 97, o_orderkey) - 1 as place from orders",
         "r15_grid_pivot": "select l_orderkey % 50 as grid, (((l_linenumber - 1) % 9) // 3)::int as row, max(case when ((l_linenumber - 1) % 9) % 3 = 0 then l_returnflag end) as c0, max(case when ((l_linenumber - 1) % 9) % 3 = 1 then l_returnflag end) as c1, max(case when ((l_linenumber - 1) % 9) % 3 = 2 then l_returnflag end) as c2 from lineitem group by 1, 2",
         "r16_detections_collect": "select user_id as image, string_agg(event_type, ',' order by value / 100 desc, event_id) as labels from events where value / 100 >= 0.1::double group by user_id",
         "r17_gap_fill": "select i::int as tile, coalesce(n_name, 'missing') as mark, case when n_name is null then 'missing' else 'ok' end as status from range(9) t(i) left join nation on n_nationkey = i and n_nationkey % 3 <> 1",
@@ -66,10 +70,9 @@ def oracle_sql() -> dict[str, str]:
             union all (select 'new_only', o_orderkey from orders where o_orderkey in ({_PROMO}) and o_orderkey % 2 <> 0 order by 2 limit 100)""",
         "r18b_copies": "select p_partkey as pos, 'copy_' || p_partkey as copy_name from part where p_size > 10 and p_partkey % 5 <> 0 order by 1 limit 100",
         "r19_alias_lookup": "select doc_id, case lang when 'en' then 'english' when 'de' then 'german' else lower(lang) end as target from documents",
-        "r20_target_score": f"select vec_id, round(sum(case when class_idx in (0, 1, 2) then p else 0::double end), 6) as score, sum(case when class_idx in (0, 1, 2) then p else 0::double end) >= 0.05::double as selected from ({_P}) group by vec_id",
-        "r20b_best_categories": f"""with top as (select vec_id, class_idx from (select *, row_number() over (partition by vec_id order by p desc, class_idx) as n from ({_P})) where n <= 3),
-            named as (select class_idx, case when class_idx in (0, 1, 2) then 'bus' when class_idx in (3, 6) then 'car' when class_idx = 4 then 'traffic_light' when class_idx in (5, 9) then 'bicycle' when class_idx = 7 then 'fire_hydrant' end as cat from {_VOCABULARY})
-            select vec_id, coalesce(string_agg(distinct cat, ',' order by cat), '') as categories from top join named using (class_idx) group by vec_id""",
+        "r20_target_score": f"select vec_id, round(sum(case when cat = 'bus' then p else 0::double end), 6) as score, sum(case when cat = 'bus' then p else 0::double end) >= 0.05::double as selected from ({_P}) p left join (select * from {_CATEGORIES} where cat = 'bus') c using (class_idx) group by vec_id",
+        "r20b_best_categories": f"""with top as (select vec_id, class_idx from (select *, row_number() over (partition by vec_id order by p desc, class_idx) as n from ({_P})) where n <= 3)
+            select vec_id, coalesce(string_agg(distinct cat, ',' order by cat), '') as categories from top left join {_CATEGORIES} c using (class_idx) group by vec_id""",
         "r21_losses": "select round(sum(loss * n) / sum(n), 6) as weighted_loss, round(avg(loss), 6) as mean_of_batches from (select avg(value) as loss, count(*) as n from events group by event_id // 32)",
         "r22_running_best": f"select epoch, val_acc, coalesce(max(val_acc) over w, 0::double) as best_before, val_acc > coalesce(max(val_acc) over w, 0::double) as improved from ({_EPOCHS}) window w as (order by epoch rows between unbounded preceding and 1 preceding)",
         "r23_pixel_ops": f"""with p as (select image, y, x, c, {_CLIP.format("v * 0.75::double")} as v from ({_PIXELS})),

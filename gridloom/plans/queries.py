@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import kernels, names, pixels
@@ -165,13 +165,23 @@ def r13_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r13b_published_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published series' best epoch beside the events' one."""
     series = spark.createDataFrame(evaluation.PUBLISHED, "epoch int, train_loss double, val_loss double, train_acc double, val_acc double")
-    return evaluation.best_epoch(series)
+    published = evaluation.best_epoch(series).select(F.lit("published").alias("series"), F.col("epoch").cast("bigint").alias("epoch"), "val_acc")
+    return published.unionAll(evaluation.best_epoch(_epochs(spark, sf_dir)).select(F.lit("events"), F.col("epoch").cast("bigint"), "val_acc"))
 
 
 def r14_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = _t(spark, sf_dir, "part").select("p_brand").distinct()
-    return brands.select("p_brand", F.row_number().over(Window.orderBy(names.natural_key(F.col("p_brand")), "p_brand")).cast("int").alias("place"))
+    placed = sampling.numbered(brands, "place", names.natural_key(F.col("p_brand")), F.col("p_brand"))
+    return placed.select("p_brand", (F.col("place") + 1).cast("int").alias("place"))
+
+
+def r14b_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as files, dealt to clerks' folders, in natural order."""
+    name = F.concat(F.lit("clerk "), (F.col("o_custkey") % 97).cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".jpg"))
+    files_ = _t(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), "o_orderpriority")
+    return sampling.numbered(files_, "place", names.natural_key(F.col("name")), F.col("name"))
 
 
 def r15_grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +223,10 @@ def r19_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession) -> DataFrame:
+    """A label for each of the 64 classes: ten, and then things with numbers."""
     labels = ["school bus", "minibus", "trolleybus", "sports car", "traffic light", "mountain bike", "cabinet", "hydrant", "dog", "tandem"]
+    things = ["jeep", "house", "tandem bicycle", "tree", "taxi", "lamp", "fire hydrant", "omnibus"]
+    labels += [f"{things[k % 8]} {k}" for k in range(len(labels), 64)]
     return spark.createDataFrame(list(enumerate(labels)), "class_idx int, label string")
 
 
@@ -267,6 +280,7 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pd.DataFrame(out, columns=["image_id", "height", "width", "nChannels", "data"])
 
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = part.repartition(part.sparkSession.sparkContext.defaultParallelism, "p_partkey")  # ids are few bytes, what is painted of them is not
     return part.mapInPandas(paint, "image_id long, height int, width int, nChannels int, data binary")
 
 

@@ -1,5 +1,7 @@
 """Hooks for models, numbered and batched rows, subsets of documents, missing inputs."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel
@@ -54,6 +56,46 @@ def test_numbered(spark):
     assert sampling.numbered(d.limit(0), "place", F.col("v")).count() == 0
 
 
+def test_numbered_keeps_wide_rows(spark):
+    """Ranges of rows with wide columns have other bounds in another plan; also where AQE joins them."""
+    d = spark.range(600_000).select(F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"), F.sha2((-F.col("id")).cast("string"), 512).alias("wider"))
+    want = d.select("v").toPandas()["v"].sort_values(ignore_index=True)
+    for advisory in ("64m", "200k"):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        try:
+            got = sampling.numbered(d, "place", F.col("v")).select("place", "v", "wide").toPandas().sort_values("place", ignore_index=True)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        assert (got["place"] == range(600_000)).all() and (got["v"] == want).all() and got["wide"].nunique() == 600_000
+
+
+def test_indexed(spark):
+    d = spark.range(5000).repartition(7)
+    assert sorted(r.n for r in sampling.indexed(d, "n").collect()) == list(range(5000))
+    assert sampling.indexed(d.filter("id = 3"), "n").collect()[0].n == 0
+
+
+def test_softmax_of_many_classes(spark):
+    """1,000 classes take about 20 times as long as 50, not their cube."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 1000)) * 5
+    d = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)] + [(60, None), (61, [])], "id int, x array<double>").repartition(4)
+    got = {q.id: q.p for q in d.select("id", scoring.softmax(F.col("x")).alias("p")).collect()}
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    assert all(np.allclose(got[k], row, rtol=1e-12, atol=0) for k, row in enumerate(e / e.sum(axis=1, keepdims=True)))
+    assert got[60] is None and got[61] == []
+    rows = spark.range(4000).select(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.sin(k * (F.col("id") + 1))).alias("x"))
+    began = time.monotonic()
+    assert rows.select(F.sum(F.aggregate(scoring.softmax(F.col("x")), F.lit(0.0), lambda a, y: a + y))).first()[0] == pytest.approx(4000)
+    assert time.monotonic() - began < 60  # 4 million classes; the square of 1,000 for each row would be 4 billion
+
+
+def test_categories_without_names(spark):
+    best = spark.createDataFrame([(1, 0), (1, 5), (2, 5), (3, 1)], "image int, class_idx int")
+    vocabulary = spark.createDataFrame([(0, "school bus"), (1, "dog")], "class_idx int, label string")
+    assert {r.image: r.categories for r in scoring.categories_of_best(best, vocabulary, "image").collect()} == {1: ["bus"], 2: [], 3: []}
+
+
 def test_subset(spark):
     images = spark.createDataFrame([(i, 10 - i, ["train", "val"][i % 2]) for i in range(10)], "id long, pos long, split string")
     notes = spark.createDataFrame([(i, i % 3, 1.0) for i in range(10)] + [(3, 9, 2.0)], "image_id long, category_id long, area double")
