@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +91,44 @@ def batches(rows: DataFrame, key: str, size: int = 32, seed: str = "epoch") -> D
     d = d.withColumn("__within", within)
     place = F.col("__before") + F.col("__within")
     return d.join(bins, d["__bin"] == bins["__b"]).withColumn("batch", F.floor(place / size)).select(*rows.columns, "batch")
+
+
+def epoch_batches(rows: DataFrame, key: str, epochs: int, size: int = 32, seed: str = "epoch") -> DataFrame:
+    """rows once for each epoch (from 1), with `epoch` and `batch`; each epoch, whose number is in the seed, deals them in another order."""
+    out = None
+    for epoch in range(1, epochs + 1):
+        one = batches(rows, key, size, f"{seed}-{epoch}").withColumn("epoch", F.lit(epoch))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def batch_scan(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, size: int = 32) -> DataFrame:
+    """fn over whole batches: each batch (columns epoch, batch) reaches it as one Arrow batch, those of a task in order.
+
+    The task that reads a batch's rows puts them together, so a batch may be as large as a task's memory; all its rows are dealt to
+    one partition. fn is called once for each task, like that of mapInArrow.
+    """
+
+    def whole(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for some in arrow:
+            epoch, batch = (some.column(c).to_numpy() for c in ("epoch", "batch"))
+            cuts = [0, *(np.flatnonzero((epoch[1:] != epoch[:-1]) | (batch[1:] != batch[:-1])) + 1).tolist(), len(epoch)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if held and (epoch[i], batch[i]) != now:
+                    yield _one(held)
+                    held = []
+                now = (epoch[i], batch[i])
+                held.append(some.slice(i, j - i))
+        if held:
+            yield _one(held)
+
+    dealt = rows.repartition("epoch", "batch").sortWithinPartitions("epoch", "batch")
+    return dealt.mapInArrow(lambda arrow: fn(whole(arrow)), schema)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0]

@@ -84,5 +84,9 @@ def oracle_sql() -> dict[str, str]:
         "r25_model_scoring": """select vec_id, (s < 0)::int as pred, round(100 / (1 + exp(-2 * abs(s))), 6) as percent
             from (select vec_id, list_sum(list_transform(range(64), lambda i: embedding[i + 1]::double * cos(i))) as s from embeddings)""",
         "r27_batches": "select batch, count(*) as n from (select (row_number() over (order by md5('epoch:' || vec_id), vec_id) - 1) // 32 as batch from embeddings) group by batch",
+        "r26d_classified": """with s as (select vec_id, c, sum(e * cos((k - 1) * 10 + c) / 8) + sin(c) / 8 as s from (select vec_id, unnest(embedding)::double as e, unnest(range(1, 65)) as k from embeddings), range(10) t(c) group by vec_id, c)
+            select vec_id, arg_max(c, s)::int as pred, round(1 / sum(exp(s - m)), 6) as p from (select *, max(s) over (partition by vec_id) as m from s) group by vec_id""",
+        "r27b_epoch_batches": """select epoch, batch, count(*) as n, min(vec_id) as least, sum(vec_id)::bigint as ids from (
+            select epoch::int as epoch, vec_id, (row_number() over (partition by epoch order by md5('epoch-' || epoch || ':' || vec_id), vec_id) - 1) // 32 as batch from embeddings, range(1, 4) t(epoch)) group by epoch, batch""",
         "r28_report": f"select epoch, printf('%-5s loss: %.4f acc: %.4f', 'Val', 1 - val_acc, val_acc) as line from ({_EPOCHS})",
     }

@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import kernels, names, pixels
-from gridloom.operators import curation, evaluation, model, sampling, scoring, tiles
+from gridloom.operators import curation, evaluation, model, sampling, scoring, tiles, training
 from gridloom.sources import files
 
 STRATA = {"similar": ["SMALL", "MEDIUM"], "different": ["LARGE", "ECONOMY"]}
@@ -316,11 +317,53 @@ def r26_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall")})
 
 
+def _ten_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return sampling.split(e.withColumn("cls", F.col("label").cast("string")), "cls", "vec_id")
+
+
+def r26b_fine_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head for the ten labels, batch by batch; the series of epochs."""
+    d = _ten_classes(spark, sf_dir)
+    _, series = training.fine_tuned(d.filter("split = 'train'"), d.filter("split = 'val'"), "embedding", "label", "vec_id", _first_head(), epochs=3, batch_size=256, rate=0.05)
+    return series.select("epoch", *(F.round(c, 6).alias(c) for c in ("train_loss", "train_acc", "val_loss", "val_acc")), "improved")
+
+
+def r26c_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over all rows without validation; batches' mean and the mean by rows, which a short last batch tells apart."""
+    _, series = training.prototype(_t(spark, sf_dir, "embeddings"), "embedding", "label", "vec_id", _first_head(), epochs=2, batch_size=192, rate=0.05)
+    return evaluation.losses(series, "epoch").select("epoch", F.round("weighted_loss", 6).alias("weighted_loss"), F.round("mean_of_batches", 6).alias("mean_of_batches"))
+
+
+def _first_head() -> training.Head:
+    """Weights from a rule, ten classes of 64 features."""
+    k, c = np.meshgrid(np.arange(64), np.arange(10), indexing="ij")
+    return training.Head(np.cos(k * 10 + c) / 8, np.sin(np.arange(10)) / 8)
+
+
+def r26d_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a head of ten classes, not trained yet, says of all rows."""
+    d = training.classified(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", _first_head())
+    return d.select("vec_id", "pred", F.round(F.array_max(scoring.softmax(F.col("scores"))), 6).alias("p"))
+
+
 def r27_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sampling.batches(_t(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
     return d.groupBy("batch").agg(F.count("*").alias("n"))
 
 
+def r27b_epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three epochs of batches, each read whole: rows and first ids of what reached the function."""
+
+    def said(whole: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole:
+            ids = b.column("vec_id").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("epoch").slice(0, 1), b.column("batch").slice(0, 1), pa.array([len(ids)]), pa.array([ids.min()]), pa.array([ids.sum()])], names=["epoch", "batch", "n", "least", "ids"])
+
+    d = sampling.epoch_batches(_t(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 3)
+    return sampling.batch_scan(d, said, "epoch int, batch long, n long, least long, ids long")
+
+
 def r28_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _epochs(spark, sf_dir).select("epoch", F.lit("val").alias("phase"), (1 - F.col("val_acc")).alias("loss"), F.col("val_acc").alias("acc"))
     return evaluation.report(d)
