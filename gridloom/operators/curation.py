@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom import tables
 from gridloom.functions import names
 from gridloom.operators import sampling
 
@@ -99,17 +100,16 @@ def fan_out(images: DataFrame, variants: tuple[str, ...] = names.VARIANTS, prefi
 
 
 def first_successes(rows: DataFrame, attempt, most: int, chunk: int = 200) -> list[DataFrame]:
-    """attempt(rows) for chunks of rows in order of pos until `most` rows have no error; the results, limited.
+    """attempt(rows) for chunks of rows in order of pos until `most` rows have no error; the results, limited, as written tables.
 
-    attempt adds a column `error`. Only as many chunks are attempted as are needed.
+    attempt adds a column `error`; it is run once for each row of a chunk, and of no more chunks than are needed. The rows are sorted once.
     """
-    out, have, after = [], 0, -1
-    while have < most:
-        part = rows.filter(F.col("pos") > after).orderBy("pos").limit(chunk)
-        last = part.agg(F.max("pos")).first()[0]
-        if last is None:
-            break
-        good = attempt(part).filter("error is null").orderBy("pos").limit(most - have).persist()
-        have, after = have + good.count(), last
+    placed = tables.written(sampling.numbered(rows, "__n", F.col("pos"), F.xxhash64(*rows.columns)), "attempts")
+    last = placed.agg(F.max("__n")).first()[0]
+    out, have, at = [], 0, 0
+    while have < most and last is not None and at <= last:
+        done = tables.written(attempt(placed.filter((F.col("__n") >= at) & (F.col("__n") < at + chunk))), "attempted")
+        good = done.filter("error is null").orderBy("__n").limit(most - have).drop("__n")
+        have, at = have + min(most - have, done.filter("error is null").count()), at + chunk
         out.append(good)
     return out

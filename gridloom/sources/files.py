@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +11,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from gridloom.functions import names
 from gridloom.operators import sampling
+from gridloom.sources import archives
 
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
 
@@ -52,28 +50,21 @@ def rasters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def labelled_folders(spark: SparkSession, path: str) -> DataFrame:
     """Images under path/<cls=name>/ with cls and class_index, the alphabetical rank of the class."""
+    required(spark, path)
     images = spark.read.format("image").load(path)
     classes = spark.read.format("binaryFile").load(path).select("cls").distinct()  # from the listing, without contents
     ranked = classes.withColumn("class_index", F.dense_rank().over(Window.orderBy("cls")) - 1)  # a row for each class
     return images.join(ranked, "cls").select("image.*", "cls", "class_index")
 
 
-def zip_entries(spark: SparkSession, path: str, wanted: str = ".*") -> DataFrame:
-    """archive, entry, content for each file in the zip archives whose name matches; entries stream out one by one."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for archive, raw in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for entry in z.namelist():
-                        if not entry.endswith("/") and re.search(wanted, entry):
-                            yield pd.DataFrame({"archive": [archive], "entry": [entry], "content": [z.read(entry)]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, entry string, content binary")
+def zip_entries(spark: SparkSession, path: str, wanted: str = ".*", partition_bytes: int = 64 << 20) -> DataFrame:
+    """archive, entry, size, content for each file in the zip archive (or in those of a folder) whose name matches; see `archives`."""
+    required(spark, path)
+    return archives.entries(spark, path, wanted, partition_bytes)
 
 
 def fetched(rows: DataFrame, url: str, transport: Callable[[str], bytes]) -> DataFrame:
-    """rows with content and error; one of both is null. transport fetches a URL and is given by the caller.
+    """rows with content and error; one of both is null. transport fetches a URL and is given by the caller. `store.fetched_once` keeps what it fetches.
 
     Tasks may run again after a failure, so the transport must be safe to repeat.
     """
