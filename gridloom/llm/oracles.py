@@ -11,8 +11,8 @@ with p as (select page_id, url, coalesce(html, '') as payload from pages),
 d as (select page_id, url, strlen(payload)::bigint as payload_bytes, sha1(payload) as payload_digest from p),
 m as (select payload_digest, max(page_id) as top from d where payload_bytes >= 1000 group by payload_digest)
 select page_id, url, payload_bytes, d.payload_digest,
-  case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 1000 and page_id < top then top end as refers_to
+  case when payload_bytes >= 1000 and top is not null and page_id is distinct from top then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id is distinct from top then top end as refers_to
 from d left join m on d.payload_digest = m.payload_digest
 """
 

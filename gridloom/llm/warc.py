@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Pages are sorted by (page_id, payload digest) and cut into shards of about `shard_bytes` of payload: a
-range sort of ids and sizes alone gives the running sums that name each shard's first key, so
+Pages are sorted by (page_id, payload digest, hash of the url) and cut into shards of about `shard_bytes` of payload and
+headers: a range sort of these keys and sizes alone gives the running sums that name each shard's first key, so
 the same pages give the same shards, whatever the partitions. Payloads then go to the partition
 of their shard's number, each shard to one of its own, are sorted there, and files are closed at
 `file_bytes` compressed. Every record is a gzip member of its own, with headers and digests made anew.
@@ -15,10 +15,10 @@ Of pages with equal payloads of at least `revisit_bytes`, that with the largest
 the payload, the others are revisit records that refer to it. Who refers to whom is found on
 digests alone and merged into the sorted stream, so payloads are shuffled once.
 
-Defined results: a null payload is an empty one; a null page_id sorts first and never is what
-others refer to; repeated rows of the referred page all stay responses; a null url is written as
-`urn:page:<id>`; further columns are not archived; rows of one page_id with different payloads may
-be in different shards, rows equal in both are in one, which is written as a stream.
+Defined results: a null payload is an empty one; a null page_id sorts first, is never what others refer to, and refers to the page
+that others with its payload refer to, if one of them has an id; repeated rows of the referred page all stay responses; a null url is written as
+`urn:page:<id>`; further columns are not archived; rows of one page_id may be in several shards, but for those
+equal in id, payload and url, which are in one and written as a stream.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import rows
 
 _NEWLINE = b"\r\n"
+#: What a record counts in its shard beside its payload.
+HEADER_BYTES = 512
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard long, part long, path string, records long, bytes long, sha256 string"
 _COUNTS = "shards long, files long, records long, bytes long"
@@ -85,19 +87,22 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _sort_key(page_id: int | None, digest: str) -> tuple[bool, int, str]:
-    """Nulls first, as Spark sorts."""
-    return page_id is not None, page_id or 0, digest
+def _keys(page_id: np.ndarray, named: np.ndarray, *hexes: list[str]) -> np.ndarray:
+    """Fixed-width keys that sort like (page_id, nulls first, and hex digests)."""
+    ids = (np.where(named, page_id, 0).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")
+    parts = [named.astype(np.uint8)[:, None] + np.uint8(1), ids.view(np.uint8).reshape(-1, 8), *(np.frombuffer("".join(h).encode(), np.uint8).reshape(len(ids), -1) for h in hexes)]
+    wide = np.ascontiguousarray(np.hstack(parts)) if len(ids) else np.zeros((0, 81), np.uint8)
+    return wide.view(f"S{wide.shape[1]}").ravel()
 
 
-def _shard_bounds(pages: DataFrame, shard_bytes: int, most_shards: int) -> list[tuple[bool, int, str]]:
-    """The first sort key of each shard but the first; pages: page_id, digest, payload_bytes."""
-    size = pages.agg(F.sum("payload_bytes")).first()[0] or 0
+def _shard_bounds(pages: DataFrame, shard_bytes: int, most_shards: int) -> np.ndarray:
+    """The first key of each shard but the first; pages: page_id, digest, place (hash of the url), size."""
+    size = pages.agg(F.sum("size")).first()[0] or 0
     shard_bytes = max(shard_bytes, -(-size // most_shards))
     if size <= shard_bytes:
-        return []
-    keys = [F.col("page_id").asc_nulls_first(), F.col("digest")]
-    sized = pages.groupBy("page_id", "digest").agg(F.sum("payload_bytes").alias("size"))
+        return _keys(np.zeros(0, np.int64), np.zeros(0, bool))
+    keys = [F.col("page_id").asc_nulls_first(), F.col("digest"), F.col("place")]
+    sized = pages.groupBy("page_id", "digest", "place").agg(F.sum("size").alias("size"))
     ranged = rows.written(sized.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("range").agg(F.sum("size").alias("sum"))  # one row for each shuffle partition
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,8 +110,9 @@ def _shard_bounds(pages: DataFrame, shard_bytes: int, most_shards: int) -> list[
     ahead = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     within = ranged.withColumn("within", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     shard = F.floor((F.col("start") + F.col("within")) / F.lit(shard_bytes))
-    first = within.join(starts, "range").withColumn("shard", shard).groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "digest")).alias("key"))
-    return sorted(_sort_key(r["key"]["page_id"], r["key"]["digest"]) for r in first.collect())[1:]
+    first = within.join(starts, "range").withColumn("shard", shard).groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "digest", "place")).alias("key"))
+    found = first.select("key.*").collect()
+    return np.sort(_keys(np.array([r["page_id"] or 0 for r in found]), np.array([r["named"] for r in found]), [r["digest"] for r in found], [r["place"] for r in found]))[1:]
 
 
 class _Shard:
@@ -164,22 +170,24 @@ def write_archive(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, fi
     fs.create_dir(f"{path}/_temporary", recursive=True)
 
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    slim = p.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    bounds = _shard_bounds(slim, shard_bytes, most_shards)
+    digest, place = F.sha1("payload").alias("digest"), F.md5(F.coalesce("url", F.lit(""))).alias("place")
+    slim = p.select("page_id", digest, place, F.octet_length("payload").cast("long").alias("payload_bytes"))
+    bounds = _shard_bounds(slim.withColumn("size", F.col("payload_bytes") + HEADER_BYTES), shard_bytes, most_shards)
 
     @F.pandas_udf("int")
-    def shard_of(page_id: pd.Series, digest: pd.Series) -> pd.Series:
-        keys = zip(page_id.astype("Int64").astype(object).where(page_id.notna(), None), digest, strict=True)
-        return pd.Series([bisect_right(bounds, _sort_key(*k)) for k in keys], dtype="int32")
-
-    # Who refers to whom, on digests; these rows sort right before their pages.
-    slim = slim.filter((F.col("payload_bytes") >= revisit_bytes) & F.col("page_id").isNotNull())
-    kept = slim.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    refers = rows.join_hot(slim, kept, ["digest", "payload_bytes"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
-    stream = p.select("page_id", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(
-        refers.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    )
-    stream = stream.withColumn("shard", shard_of("page_id", "digest")).repartitionById(len(bounds) + 1, "shard")
+    def shard_of(page_id: pd.Series, digest: pd.Series, place: pd.Series) -> pd.Series:
+        keys = _keys(page_id.fillna(0).to_numpy(dtype=np.int64), page_id.notna().to_numpy(), digest.tolist(), place.tolist())
+        return pd.Series(np.searchsorted(bounds, keys, side="right").astype(np.int32))
+
+    # Who refers to whom, on digests; these rows go to all shards that hold rows of their pages, and sort right before them.
+    slim = slim.filter(F.col("payload_bytes") >= revisit_bytes)
+    kept = slim.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    refers = rows.join_hot(slim, kept, ["digest", "payload_bytes"]).filter("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    shards = F.sequence(shard_of("page_id", "digest", F.lit("0" * 32)), shard_of("page_id", "digest", F.lit("f" * 32)))
+    refers = refers.withColumn("shard", F.explode(shards))
+    stream = p.select("page_id", digest, place, F.lit(None).cast("long").alias("refers_to"), "url", "payload").withColumn("shard", shard_of("page_id", "digest", "place")).drop("place")
+    stream = stream.unionByName(refers.select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "shard"))
+    stream = stream.repartitionById(len(bounds) + 1, "shard")
     stream = stream.sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").desc_nulls_last(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

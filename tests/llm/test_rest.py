@@ -178,15 +178,15 @@ def pages(spark, data):
 
 def test_warc(spark):
     big, other = "x" * 1500, "é" * 600
-    data = [(1, "u1", big), (5, None, big), (3, "u3", big), (3, "u3", big), (5, None, big), (2, "u\r\n2", None), (4, "u4", ""), (7, "u7", other), (8, "u8", other), (9, "u9", "small"), (10, "u10", "small"), (None, "u", big), (11, None, None)]
+    data = [(1, "u1", big), (5, None, big), (3, "u3", big), (3, "u3", big), (5, None, big), (2, "u\r\n2", None), (4, "u4", ""), (7, "u7", other), (8, "u8", other), (9, "u9", "small"), (10, "u10", "small"), (None, "u", big), (11, None, None), (None, "v", "y" * 1200), (None, "w", "y" * 1200), (-4, "z", big)]
     d = pages(spark, [(*r, "clash", 1) for r in data])
     first = warc.round_trip(d.repartition(1)).collect()
     assert len(first) == len(data)
     for r in first:
-        html = next(h for i, _, h in data if i == r.page_id) or ""
+        html = next(h for i, u, h in data if i == r.page_id and (i is not None or u == r.url)) or ""
         raw = html.encode()
-        top = max(i for i, _, h in data if i is not None and (h or "") == html)
-        revisit = len(raw) >= 1000 and r.page_id is not None and r.page_id < top
+        top = max((i for i, _, h in data if i is not None and (h or "") == html), default=None)
+        revisit = len(raw) >= 1000 and top is not None and r.page_id != top
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", top if revisit else None)
     folders = [rows.new_folder(spark, "warc") for _ in range(2)]
     a, b = (warc.write_archive(d.repartition(n), f, shard_bytes=2000, file_bytes=300) for n, f in zip((1, 4), folders, strict=True))
@@ -209,6 +209,19 @@ def test_warc_shards_are_even(spark):
     assert warc.read_archive(spark, folder).count() == 4000
 
 
+def test_warc_hot_page_and_payload_above_a_shard(spark):
+    """A third of all rows have no id and no payload; many others are one page with one payload, which another has, too; one payload is larger than a shard."""
+    data = [(None, f"u{k}", None) for k in range(900)] + [(5, f"v{k}", "p" * 1100) for k in range(900)] + [(6, "w", "p" * 1100), (7, "big", "b" * 300_000)]
+    d = pages(spark, [(*r, "clash", 1) for r in data]).repartition(4)
+    folder = rows.new_folder(spark, "warc")
+    warc.write_archive(d, folder, shard_bytes=40_000)
+    sizes = [r.n for r in warc.read_manifest(spark, folder).groupBy("shard").agg(F.sum("records").alias("n")).collect()]
+    assert sum(sizes) == len(data) and max(sizes) < 100 and len(sizes) > 40
+    got = [(r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(spark, folder).collect()]
+    want = [(i, u, len(h or ""), *(("revisit", 6) if i == 5 else ("response", None))) for i, u, h in data]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_after_a_killed_write(spark):
     """Tasks fail in the middle: no archive, and a new writer replaces what they have left."""
     d = pages(spark, [(k, "u", f"{k} " * 700, None, None) for k in range(40)])
@@ -217,7 +230,7 @@ def test_warc_after_a_killed_write(spark):
     for left in (broken, d):
         fs, path = warc.pafs.FileSystem.from_uri(folder)
         fs.create_dir(f"{path}/_temporary", recursive=True)
-        for name in ("_temporary/part-000000-00000.warc.gz-x", "part-000009-00000.warc.gz", "manifest-000009.json"):
+        for name in ("_temporary/part-000000-00000.warc.gz-x", "part-009999-00000.warc.gz", "manifest-009999.json"):
             with fs.open_output_stream(f"{path}/{name}", compression=None) as f:
                 f.write(b"half a fil")
         if left is broken:
@@ -228,7 +241,7 @@ def test_warc_after_a_killed_write(spark):
         else:
             warc.write_archive(d, folder, shard_bytes=9000)
     assert warc.read_archive(spark, folder).filter("record_type = 'response'").count() == 40
-    assert not [f.path for f in fs.get_file_info(warc.pafs.FileSelector(path)) if "000009" in f.path or "_temporary" in f.path]
+    assert not [f.path for f in fs.get_file_info(warc.pafs.FileSelector(path)) if "009999" in f.path or "_temporary" in f.path]
 
 
 def test_preferences(spark):
