@@ -13,8 +13,9 @@ Pieces then find their places without meeting: the r-th piece of a length goes t
 fillings gives for r. The number r is how many pieces of the length the tasks before have, which is a window over
 counts, and how many the task itself has seen. Texts are tokenized once and not shuffled.
 
-Tokens: distinct white-space separated words of a batch are encoded once, and again only if they are not among the
-first `KNOWN` words a worker has met (`by_word`; for tokenizers that do not look across blanks), or else whole texts.
+Tokens: with `by_word`, for tokenizers that lower-case, do not look across blanks, and in ASCII split runs of letters, single digits and runs of
+other characters, distinct words of a batch are encoded once, and again only if they are not among the first `KNOWN` a
+worker has met; words of printable ASCII go to the model run by run. Other tokenizers get whole texts.
 
 Defined results: a null text is an empty one, of one token, the end; equal rows are packed each; an empty table gives no
 pieces; ids that occur several times keep their rows' pieces apart, but their numbers (`piece`, `start`) are those of the row.
@@ -22,6 +23,7 @@ pieces; ids that occur several times keep their rows' pieces apart, but their nu
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -38,9 +40,11 @@ from gridloom.llm import rows
 from gridloom.llm import text as tx
 
 #: Words whose ids a worker keeps.
-KNOWN = 200_000
-_CHUNK = 4 << 20
-_LETTERS = re.compile("[A-Za-z]+")
+KNOWN = 400_000
+_CHUNK = 8 << 20
+#: Words that can be split here: neither marks of contractions nor of special tokens.
+_PLAIN = re.compile("[!-&(-;=-~]+")
+_RUNS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 #: How many pieces of each length, by falling length, without zeros.
 Counts = tuple[tuple[int, int], ...]
 #: Copies of each length in a sequence.
@@ -212,6 +216,7 @@ class Tokens:
     def __init__(self, path: str, by_word: bool) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are as many as there are cores
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.known: dict[str, list[int]] = {}
 
@@ -228,15 +233,16 @@ class Tokens:
     def _word_ids(self, words: list[str]) -> list[list[int]]:
         model, known = self.tokenizer.model, self.known
         out = [known.get(w) for w in words]
-        letters = [k for k, ids in enumerate(out) if ids is None and _LETTERS.fullmatch(words[k])]
-        for k in letters:  # one piece for the model, whatever splits words at other characters
-            out[k] = [t.id for t in model.tokenize(words[k].lower())]
-        rest = [k for k, ids in enumerate(out) if ids is None]
+        fresh = [k for k, ids in enumerate(out) if ids is None]
+        rest = []
+        for k in fresh:
+            if _PLAIN.fullmatch(words[k]):
+                out[k] = [t.id for run in _RUNS.findall(words[k].lower()) for t in model.tokenize(run)]
+            else:
+                rest.append(k)
         for k, ids in zip(rest, self._encoded([words[k] for k in rest]), strict=True):
             out[k] = ids
-        for k in (*letters, *rest):
-            if len(known) >= KNOWN:
-                break
+        for k in fresh[: max(0, KNOWN - len(known))]:
             known[words[k]] = out[k]
         return out
 
