@@ -25,6 +25,7 @@ def contrast(pixels: DataFrame, factor: float) -> DataFrame:
     weight = F.element_at(F.array(*(F.lit(w) for w in GREY)), F.col("c") + 1)
     spot = Window.partitionBy("image", "y", "x")
     grey = F.expr("cast((__l + 500) div 1000 as int)")
+    pixels = pixels.repartition("image")  # one exchange serves the window by pixel, the mean of the image and the join with it
     d = pixels.withColumn("__l", F.sum(weight * F.col("v")).over(spot)).withColumn("__g", grey)
     mean = d.groupBy("image").agg(F.floor(F.avg("__g") + 0.5).alias("__m"))
     d = d.join(mean, "image")
