@@ -250,3 +250,15 @@ def test_many_equal_rows(spark):
     assert sorted(map(tuple, got)) == [(7, len(text), len(text), 1, 20_000), (8, len(text) - 398, len(text) - 400 + (text[399] == " "), 1, 1)]
     got = jaccard.jaccard_components(d.limit(20_001)).groupBy("doc_id", "component_id").count().collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(7, 7), (8, 8)}
+
+
+def test_texts_above_a_chunk(spark):
+    """Texts of 700,000 bytes, more than is taken at once, that share passages and are near copies of each other."""
+    r = np.random.default_rng(11)
+    words = [f"w{k}" for k in r.integers(0, 40_000, 110_000)]
+    other = [f"v{k}" for k in r.integers(0, 40_000, 110_000)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-40], *other[:40]]), 3: " ".join([*other[:60_000], *words[500:540], *other[60_000:]]), 4: "short"}
+    assert len(texts[1].encode()) > tx.CHUNK
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    assert by_id(substrings.remove_repeated(d).collect(), "n_words", "n_removed", "kept_sha256") == corpus.removed_words(texts, 35)
+    assert by_id(jaccard.jaccard_components(d).collect(), "n_shingles", "component_id") == corpus.components(texts)

@@ -176,6 +176,16 @@ def pages(spark, data):
     return spark.createDataFrame(data, "page_id long, url string, html string, payload string, digest int")
 
 
+def test_preferences_of_long_conversations(spark):
+    """A conversation of 3,000 turns, and one of texts of a million characters."""
+    turns = [(2 * k + side, turn, ["user", "assistant"][turn % 2], f"{k} {turn if turn < 2990 or not side else -turn}") for k in (0,) for side in (0, 1) for turn in range(3000)]
+    turns += [(2 + side, turn, ["user", "assistant"][turn % 2], ["é" * 1_000_000, "x" * 1_000_000 + str(side)][turn]) for side in (0, 1) for turn in (0, 1)]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.pair_id: r for r in preferences.preference_pairs(d, F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0")).collect()}
+    assert (got[0].prompt_turns, got[0].status, got[0].chosen_mask.count(","), got[0].rejected_mask.count(",")) == (2990, "pair", 4, 4)
+    assert (got[1].prompt_turns, got[1].status) == (1, "pair") and len(got[1].prompt) > 1_000_000 and got[1].chosen[int(got[1].chosen_mask.split("-")[0])] == "x"
+
+
 def test_warc(spark):
     big, other = "x" * 1500, "é" * 600
     data = [(1, "u1", big), (5, None, big), (3, "u3", big), (3, "u3", big), (5, None, big), (2, "u\r\n2", None), (4, "u4", ""), (7, "u7", other), (8, "u8", other), (9, "u9", "small"), (10, "u10", "small"), (None, "u", big), (11, None, None), (None, "v", "y" * 1200), (None, "w", "y" * 1200), (-4, "z", big)]
