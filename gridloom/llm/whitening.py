@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -102,8 +103,14 @@ def _blocks(d: DataFrame, mean: np.ndarray, first: int, dealt: _Blocked) -> Bloc
     """Rows `at` and x of a panel (from number `first` on), centred, as distributed blocks. Numbers without a row are rows of zeros, or in no block."""
     centred = F.zip_with("x", F.lit(mean), lambda x, m: x - m)
     vectors = d.select((F.col("at") - first).alias("index"), array_to_vector(centred).alias("vector"))
+    # A product reads its blocks several times; those that are lost are made again from the written rows.
     matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), min(dealt.panel, dealt.last + 1 - first), len(mean))
-    return matrix.toBlockMatrix(dealt.block_rows, dealt.block_columns)
+    return matrix.toBlockMatrix(dealt.block_rows, dealt.block_columns).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _dropped(blocks: BlockMatrix) -> None:
+    """Give back what `_blocks` keeps."""
+    blocks._java_matrix_wrapper.call("blocks").unpersist(False)
 
 
 def _product(left: BlockMatrix, right: BlockMatrix, splits: int = 1) -> BlockMatrix:
@@ -125,6 +132,7 @@ def fitted(fit: DataFrame, width: int, components: int, dealt: _Blocked) -> Fit:
     for first, d in _panels(fit, dealt.last, dealt.panel):
         a = _blocks(d, mean, first, dealt)
         scatter += _product(a.transpose(), a, max(1, a._java_matrix_wrapper.call("blocks").getNumPartitions())).toLocalMatrix().toArray()
+        _dropped(a)
     covariance = (scatter + scatter.T) / (2 * n)
     values, vectors = np.linalg.eigh(covariance)
     best = np.argsort(-values, kind="stable")[:components]
@@ -132,16 +140,17 @@ def fitted(fit: DataFrame, width: int, components: int, dealt: _Blocked) -> Fit:
 
 
 def projected(d: DataFrame, fit: Fit, dealt: _Blocked) -> DataFrame:
-    """at, whitened (array of doubles) for each row of d (at, x)."""
+    """at, whitened (array of doubles) for each row of d (at, x), as written tables of a panel each."""
     width, many = fit.vectors.shape
     step = dealt.block_columns
     parts = [((k, 0), Matrices.dense(len(m), many, m.ravel(order="F"))) for k, m in enumerate(fit.matrix[i : i + step] for i in range(0, width, step))]
     out = []
     for first, some in _panels(d, dealt.last, dealt.panel):
         by = BlockMatrix(d.sparkSession.sparkContext.parallelize(parts, 1), step, many, width, many)
-        product = _product(_blocks(some, fit.mean, first, dealt), by).toIndexedRowMatrix()
-        found = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
-        out.append(found.select((F.col("index") + first).alias("at"), vector_to_array("vector").alias("whitened")))
+        a = _blocks(some, fit.mean, first, dealt)
+        found = callMLlibFunc("getIndexedRows", _product(a, by).toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+        out.append(rows.written(found.select((F.col("index") + first).alias("at"), vector_to_array("vector").alias("whitened")), "projected"))
+        _dropped(a)
     return reduce(DataFrame.unionByName, out)
 
 
@@ -179,7 +188,7 @@ def whitened(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     dealt, width = _Blocked(last[0], block_rows, min(block_columns, last[1]), panel), last[1]
     distinct = rows.written(d.groupBy("x").agg(F.min("at").alias("at")), "distinct")
     fit = fitted(distinct, width, min(components, width), dealt)
-    placed = rows.written(projected(d.select("at", "x"), fit, dealt), "projected")
+    placed = projected(d.select("at", "x"), fit, dealt)
     error = _identity_error(placed.join(distinct.select("at"), "at", "left_semi"), np.flatnonzero(fit.some).tolist())
     share = np.where(fit.some, fit.values / (fit.trace or 1.0), 0.0).tolist()
     value = F.when(F.get(F.lit(fit.some.tolist()), F.col("k")), F.col("w"))
