@@ -65,8 +65,9 @@ def indexed(rows: DataFrame, name: str) -> DataFrame:
     d = tables.written(rows.withColumn("__place", F.monotonically_increasing_id()), "numbered")
     sizes = d.groupBy(F.shiftright("__place", 33).alias("__p")).agg(F.count("*").alias("__n"), F.max(place).alias("__last"))
     sound = F.when(F.col("__last") + 1 == F.col("__n"), F.col("__n")).otherwise(F.raise_error(F.lit("rows were lost while they were numbered")).cast("long"))
-    before = F.coalesce(F.sum(sound).over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__p", (before + F.when(sound > 0, F.lit(0))).alias("__before"))
+    sizes = sizes.select("__p", sound.alias("__n"))  # a row for each partition
+    upto = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.select("__p", (upto - F.col("__n")).alias("__before"))
     return d.join(F.broadcast(sizes), F.shiftright("__place", 33) == F.col("__p")).withColumn(name, F.col("__before") + place).select(*rows.columns, name)
 
 
