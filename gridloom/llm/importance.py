@@ -12,7 +12,7 @@ sort of narrow rows by score, id and their place in the written table, so many e
 
 Defined results: a null text has no words; rows with equal id and text have equal weights and scores, and are drawn one by
 one; a null id is hashed like an empty one and comes last among ties; documents with fewer than `least_words` words have a weight and a score
-but no rank; an empty table on either side counts no features. A weight is the sum of whole numbers; of a score whose noise is beyond doubles there is none.
+but no rank; an empty table on either side counts no features.
 """
 
 from __future__ import annotations
@@ -47,30 +47,18 @@ class Features:
         real = np.array([bool(w) for w in words], dtype=bool)[index]  # a text that begins or ends between words has an empty one there
         index, of = index[real], of[real]
         self.words = np.bincount(of, minlength=len(texts))
-        crc, gram, owner = np.array([zlib.crc32(w) for w in words], dtype=np.int64), index, of
-        found, owners = [crc[gram] % buckets], [owner]
+        crc, gram = np.array([zlib.crc32(w) for w in words], dtype=np.int64), index
+        found, owners = [crc[gram] % buckets], [of]
         for n in range(2, grams + 1):
-            whole = owner[:-1] == of[n - 1 :]  # the word behind is of the same text
-            pair, gram = np.unique(gram[:-1][whole] * len(words) + index[n - 1 :][whole], return_inverse=True)
-            owner = self._padded(owner, whole)
+            start = np.flatnonzero(of[: 1 - n] == of[n - 1 :]) if len(of) >= n else of[:0]  # words whose n-gram is within their text
+            pair, code = np.unique(gram[start] * len(words) + index[start + n - 1], return_inverse=True)
             crc = np.array([zlib.crc32(b" " + words[p % len(words)], int(crc[p // len(words)])) for p in pair.tolist()], dtype=np.int64)
-            found.append(crc[gram] % buckets)
-            owners.append(owner[owner >= 0])
-            gram = self._spread(gram, owner)
+            gram = np.full(len(of), -1, dtype=np.int64)
+            gram[start] = code
+            found.append(crc[code] % buckets)
+            owners.append(of[start])
         self.bucket, self.of = np.concatenate(found), np.concatenate(owners)
 
-    @staticmethod
-    def _padded(owner: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """The text of the n-gram from each word on, -1 where its text ends before it does."""
-        return np.where(whole, owner[:-1], -1)
-
-    @staticmethod
-    def _spread(gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """gram, of the words with an n-gram, at the places of all words."""
-        out = np.zeros(len(owner), dtype=np.int64)
-        out[owner >= 0] = gram
-        return out
-
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of about `_CHUNK` bytes of text, or of one longer text; nulls are empty."""
