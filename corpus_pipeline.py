@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, jaccard, lines, mixing, quality, rows
@@ -30,16 +30,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, with the smallest id, or one without an id if none has one; texts without words all stay."""
+    """Of each group of near duplicates one row stays, with the smallest id, or one without an id if none has one; texts without words all stay.
+
+    Equal rows become one on their way to the join, in the task that reads them, so many of them do not meet.
+    """
     found = jaccard.jaccard_components(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("one")
-    one = found.filter("n_shingles > 0").groupBy("component_key").agg(first).select("one.row_key", "one.row_check", F.lit(True).alias("single"))
-    kept = one.unionByName(found.filter("n_shingles = 0").select(*rows.KEYS, F.lit(False).alias("single")).distinct())
-    keyed, names = rows.with_keys(docs)
-    kept = kept.select(*(F.col(k).alias(n) for k, n in zip(rows.KEYS, names, strict=True)), F.col("single").alias(f"single_{names[0]}"))
-    nth = F.row_number().over(Window.partitionBy(*names).orderBy(*names))  # of equal rows one stays
-    joined = keyed.join(kept, names).withColumn(f"nth_{names[0]}", nth)
-    return joined.filter((F.col(f"nth_{names[0]}") == 1) | ~F.col(f"single_{names[0]}")).select(*docs.columns)
+    kept = found.filter("n_shingles > 0").groupBy("component_key").agg(first)
+    has_word = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed, names = rows.with_keys(docs.filter(has_word))
+    kept = kept.select(*(F.col(f"one.{k}").alias(n) for k, n in zip(rows.KEYS, names, strict=True)))
+    return keyed.dropDuplicates(names).join(kept, names, "left_semi").select(*docs.columns).unionByName(docs.filter(~has_word))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
