@@ -42,7 +42,7 @@ from gridloom.llm import text as tx
 from gridloom.llm.packing import pack_ints, pack_sorted, unpack_ints, unpack_sorted
 
 KEEP = 5
-HOT_WORDS = 1000
+HOT_WORDS = 100_000
 END = np.uint64(0x5EED0E4D)
 
 
