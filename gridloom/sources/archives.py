@@ -8,6 +8,7 @@ verified; encrypted ones are an error.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zipfile
@@ -15,11 +16,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gridloom.sources.paths import located
+from gridloom.sources.paths import listed, located
 
 _SCHEMA = "archive string, entry string, size long, content binary"
 
@@ -56,22 +56,14 @@ def _content(f: pa.NativeFile, e: _Entry) -> bytes:
     return zipfile.ZipExtFile(f, "r", info).read()
 
 
-def _archives(path: str) -> list[tuple[pafs.FileSystem, str, str]]:
-    """File system, path and name of the archive at `path`, or of all in that folder."""
-    fs, where = located(path)
-    if fs.get_file_info(where).type == pafs.FileType.File:
-        return [(fs, where, path)]
-    found = fs.get_file_info(pafs.FileSelector(where))
-    return [(fs, i.path, f"{path.rstrip('/')}/{i.base_name}") for i in sorted(found, key=lambda i: i.path) if i.base_name.lower().endswith(".zip")]
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.wanted, self.limit = options["path"], options.get("wanted", ".*"), int(options.get("partition_bytes", 64 << 20))
+        self.archives, self.wanted, self.limit = json.loads(options["archives"]), options.get("wanted", ".*"), int(options.get("partition_bytes", 64 << 20))
 
     def partitions(self) -> list[_Range]:
         out: list[_Range] = []
-        for fs, where, name in _archives(self.path):
+        for name in self.archives:
+            fs, where = located(name)
             with fs.open_input_file(where) as f, zipfile.ZipFile(f) as z:
                 infos = sorted((i for i in z.infolist() if not i.is_dir() and re.search(self.wanted, i.filename)), key=lambda i: i.header_offset)
             held, size = [], 0
@@ -96,7 +88,7 @@ class _Reader(DataSourceReader):
 
 
 class ZipSource(DataSource):
-    """Options: path (an archive, or a folder of them), wanted (a pattern of entry names), partition_bytes."""
+    """Options: archives (their paths, as JSON), wanted (a pattern of entry names), partition_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,6 +102,7 @@ class ZipSource(DataSource):
 
 
 def entries(spark: SparkSession, path: str, wanted: str = ".*", partition_bytes: int = 64 << 20) -> DataFrame:
-    """archive, entry, size, content for each file in the archive (or in all of a folder) whose name matches."""
+    """archive, entry, size, content for each file whose name matches, in the archives that path names: one, those of a pattern, or those of a folder."""
     spark.dataSource.register(ZipSource)
-    return spark.read.format("zip_entries").option("wanted", wanted).option("partition_bytes", partition_bytes).load(path)
+    found = json.dumps(listed(spark, path, ".zip"))
+    return spark.read.format("zip_entries").option("archives", found).option("wanted", wanted).option("partition_bytes", partition_bytes).load()

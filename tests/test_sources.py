@@ -30,6 +30,7 @@ def test_zip_entries_in_ranges(spark, tmp_path):
     assert got.rdd.getNumPartitions() > 4
     assert {(r.archive.rsplit("/", 1)[1], r.entry): bytes(r.content) for r in got.collect()} == want
     assert files.zip_entries(spark, f"file://{tmp_path}/a.zip", "nothing").collect() == []
+    assert files.zip_entries(spark, f"{tmp_path}/[ab].zip", "other").count() == 1
     with pytest.raises(FileNotFoundError):
         files.zip_entries(spark, str(tmp_path / "gone.zip"))
 
