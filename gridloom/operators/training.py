@@ -151,9 +151,10 @@ def _inputs(rows: DataFrame, features: str, label: str, *more: str) -> DataFrame
 
 
 def _by_batch(rows: DataFrame, features: str, label: str, key: str, size: int, seed: str, epochs: int) -> DataFrame:
-    """epoch, batch, x and y, as a table sorted by epoch and batch."""
-    d = sampling.epoch_batches(_inputs(rows, features, label, key), key, epochs, size, seed).select("epoch", "batch", "x", "y")
-    return tables.written(d.repartitionByRange("epoch", "batch").sortWithinPartitions("epoch", "batch"), "batches")
+    """epoch, batch, x and y, as a table sorted by epoch and batch; a large batch lies in several ranges, for as many tasks."""
+    d = sampling.epoch_batches(_inputs(rows, features, label, key), key, epochs, size, seed)
+    d = d.repartitionByRange("epoch", "batch", F.xxhash64(key)).sortWithinPartitions("epoch", "batch")
+    return tables.written(d.select("epoch", "batch", "x", "y"), "batches")
 
 
 def _epoch(batches: DataFrame, epoch: int, last: int, head: Head, adam: Adam) -> tuple[Head, list[np.ndarray]]:

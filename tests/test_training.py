@@ -100,6 +100,13 @@ def test_sums_go_up_a_tree(spark, monkeypatch):
     assert np.allclose(training.summed(rows.repartition(9), head, True), training.summed(rows.coalesce(1), head, True), atol=1e-9)
 
 
+def test_a_large_batch_lies_in_several_ranges(spark):
+    _, _, d = data(spark)
+    table = training._by_batch(d, "x", "label", "id", 200, "epoch", 1)
+    assert table.filter("batch = 0").select(F.input_file_name().alias("f")).distinct().count() > 1
+    assert sorted(r["count"] for r in table.groupBy("batch").count().collect()) == [30, 200]
+
+
 def test_rows_without_features_or_labels(spark):
     _, _, d = data(spark, 20)
     more = spark.createDataFrame([(100, None, 1), (101, [0.0] * 6, None)], d.schema)
