@@ -355,8 +355,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     info = rows.written(identified(keyed, words), "sets")
     classes = info.filter("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *rows.KEYS)).alias("first"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
-    classes = classes.select("a", "b", "n", F.col("first.doc_id").alias("class_id"), "first.row_key", "first.row_check", "sketch", "wide")
-    classes = rows.written(classes.withColumn("vertex", F.monotonically_increasing_id()), "classes")
+    # Vertices are numbered as their first rows sort, by id: what copies were made of tends to come first, and is what they are paired with first.
+    order = [f"first.{c}" for c in ("nameless", "doc_id", *rows.KEYS)]
+    classes = classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("vertex", F.monotonically_increasing_id())
+    classes = rows.written(classes.select("a", "b", "n", F.col("first.doc_id").alias("class_id"), "first.row_key", "first.row_check", "sketch", "wide", "vertex"), "classes")
     announced = shared_keys(keyed, common_shingles(info), words, percent, max(1, math.ceil(size / range_bytes)))
     keys = announced.distinct().join(classes.select("a", "vertex", "n"), "a")  # equal hashes of unlike sets only make more candidates
     keys = rows.written(keys.select("key", "vertex", "n"), "keys")
