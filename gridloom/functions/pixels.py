@@ -32,13 +32,27 @@ def contrast(pixels: DataFrame, factor: float) -> DataFrame:
     return d.withColumn("v", clipped(F.col("__m") + F.lit(factor) * (F.col("v") - F.col("__m")))).drop("__l", "__g", "__m")
 
 
+def _reached(at: str, old: str, new: int) -> tuple[Column, Column]:
+    """The first and the last of `new` places whose nearest of `old` places is `at`; the last is less than the first if there is none."""
+    first = lambda k: f"({k} * {new} + {old} - 1) div {old}"
+    return F.greatest(F.lit(0), F.expr(first(at))).cast("int"), F.least(F.lit(new), F.expr(first(f"({at} + 1)"))).cast("int") - 1
+
+
 def nearest(pixels: DataFrame, height: Column, width: Column, new_height: int, new_width: int) -> DataFrame:
-    """Resized to a larger or smaller grid by the nearest pixel (floor of the scaled place)."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(new_height * new_width - 1)))
-    sizes = pixels.groupBy("image", "c").agg(F.max(height).alias("h"), F.max(width).alias("w")).withColumn("__k", every)
-    ny, nx = F.expr(f"cast(__k div {new_width} as int)"), F.expr(f"cast(__k % {new_width} as int)")
-    at = sizes.select("image", "c", ny.alias("ny"), nx.alias("nx"), F.expr(f"cast((__k div {new_width}) * h div {new_height} as int)").alias("y"), F.expr(f"cast((__k % {new_width}) * w div {new_width} as int)").alias("x"))
-    return at.join(pixels, ["image", "c", "y", "x"]).select("image", F.col("ny").alias("y"), F.col("nx").alias("x"), "c", "v")
+    """Resized to a larger or smaller grid by the nearest pixel (floor of the scaled place).
+
+    Each pixel goes to the places that it is nearest of, so pixels meet one row of their image with its channels' sizes, not a grid; pixels that
+    are dealt by image already stay where they are. The join is told to shuffle: the optimizer takes an exploded table for as small as what it
+    was made of, and would broadcast it.
+    """
+    pixels = pixels.filter("c is not null").repartition("image")
+    sizes = pixels.groupBy("image", "c").agg(F.max(height).cast("long").alias("h"), F.max(width).cast("long").alias("w"))
+    sizes = sizes.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("h", "w")))).alias("s"))
+    d = pixels.join(sizes.hint("shuffle_hash"), "image").withColumn("s", F.col("s")[F.col("c")]).select("image", "c", "y", "x", "v", "s.h", "s.w")
+    (y0, y1), (x0, x1) = _reached("y", "h", new_height), _reached("x", "w", new_width)
+    d = d.select("image", "c", "v", y0.alias("y0"), y1.alias("y1"), x0.alias("x0"), x1.alias("x1")).filter("y0 <= y1 and x0 <= x1")
+    d = d.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return d.select("image", "y", "x", "c", "v")
 
 
 def scaled(v: Column) -> Column:

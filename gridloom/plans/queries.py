@@ -252,7 +252,9 @@ def r22_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic 12 x 9 pictures of three channels."""
-    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(12 * 9 * 3 - 1))).alias("k"), "p_size")
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), "p_size")
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image")  # parts are shuffled, so that their 324 times as many pixels need not be
+    part = part.select("image", F.explode(F.sequence(F.lit(0), F.lit(12 * 9 * 3 - 1))).alias("k"), "p_size")
     v = (F.col("k") * 7 + F.col("p_size") * F.col("k") % 31 + F.col("image") * 13) % 256
     return part.select("image", F.expr("cast(k div 36 as int)").alias("y"), F.expr("cast(k div 3 % 12 as int)").alias("x"), F.expr("cast(k % 3 as int)").alias("c"), v.cast("int").alias("v"))
 
