@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+EDGES = ("x_min", "y_min", "x_max", "y_max")
+
 
 def grid(images: DataFrame, rows: int = 3, cols: int = 3) -> DataFrame:
     """image columns with index, x_min, y_min, x_max, y_max of each whole tile; what is left at the right and below is in none.
@@ -18,16 +20,21 @@ def grid(images: DataFrame, rows: int = 3, cols: int = 3) -> DataFrame:
     return d.withColumns({k: v.cast("int") for k, v in edges.items()}).drop("__w", "__h")
 
 
-def overlaps(t: DataFrame, b: DataFrame) -> Column:
+def overlaps(t: DataFrame | dict[str, Column], b: DataFrame | dict[str, Column]) -> Column:
     """Strictly: edges that only touch do not count; a box without area inside a tile does."""
     return (t["x_min"] < b["x_max"]) & (t["x_max"] > b["x_min"]) & (t["y_min"] < b["y_max"]) & (t["y_max"] > b["y_min"])
 
 
 def labelled(tiles: DataFrame, boxes: DataFrame) -> DataFrame:
-    """tiles (image_id, index and edges) with label 1 where a box (image_id and edges) of the image overlaps, else 0."""
-    hit = tiles.join(boxes, (tiles["image_id"] == boxes["image_id"]) & overlaps(tiles, boxes), "left_semi").select(F.col("image_id").alias("__i"), F.col("index").alias("__t"), F.lit(1).alias("label"))
-    d = tiles.join(hit.distinct(), (tiles["image_id"] == hit["__i"]) & (tiles["index"] == hit["__t"]), "left")
-    return d.select(*tiles.columns, F.coalesce("label", F.lit(0)).alias("label"))
+    """tiles (image_id, index and edges) with label 1 where a box (image_id and edges) of the image overlaps, else 0.
+
+    One join that only asks whether there is a box. It is told to sort and merge: compressed or exploded boxes are many more than the optimizer
+    takes them for, and would be broadcast.
+    """
+    t = tiles.alias("__t")
+    mine, box = ({c: make(c) for c in ("image_id", *EDGES)} for make in (lambda c: F.col(f"__t.{c}").outer(), lambda c: F.col(f"__b.{c}")))
+    hit = boxes.alias("__b").where((mine["image_id"] == box["image_id"]) & overlaps(mine, box)).hint("merge").exists()
+    return t.select(*(F.col(f"__t.{c}") for c in tiles.columns), F.when(hit, 1).otherwise(0).alias("label"))
 
 
 def labelled_arrays(tiles: DataFrame, boxes: str = "boxes") -> DataFrame:
