@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Channel means and deviations (red, green, blue) that classifiers expect.
@@ -23,13 +23,13 @@ def brightness(v: Column, factor: Column | float) -> Column:
 def contrast(pixels: DataFrame, factor: float) -> DataFrame:
     """Blend with the rounded mean of the image's grey values. Channels are red, green, blue."""
     weight = F.element_at(F.array(*(F.lit(w) for w in GREY)), F.col("c") + 1)
-    spot = Window.partitionBy("image", "y", "x")
     grey = F.expr("cast((__l + 500) div 1000 as int)")
-    pixels = pixels.repartition("image")  # one exchange serves the window by pixel, the mean of the image and the join with it
-    d = pixels.withColumn("__l", F.sum(weight * F.col("v")).over(spot)).withColumn("__g", grey)
-    mean = d.groupBy("image").agg(F.floor(F.avg("__g") + 0.5).alias("__m"))
-    d = d.join(mean, "image")
-    return d.withColumn("v", clipped(F.col("__m") + F.lit(factor) * (F.col("v") - F.col("__m")))).drop("__l", "__g", "__m")
+    pixels = pixels.repartition("image")  # one exchange, or that which is there already, serves spots, means and the join; nothing is sorted
+    spots = pixels.groupBy("image", "y", "x").agg(F.sum(weight * F.col("v")).alias("__l"), F.count("*").alias("__n")).withColumn("__g", grey)
+    rows = F.when(F.col("__g").isNotNull(), F.col("__n"))
+    mean = spots.groupBy("image").agg(F.floor(F.sum(F.col("__g") * rows) / F.sum(rows) + 0.5).alias("__m"))
+    d = pixels.join(mean.hint("shuffle_hash"), "image")  # told to: an exploded table is larger than the optimizer takes it for
+    return d.withColumn("v", clipped(F.col("__m") + F.lit(factor) * (F.col("v") - F.col("__m")))).drop("__m")
 
 
 def _reached(at: str, old: str, new: int) -> tuple[Column, Column]:
