@@ -278,8 +278,8 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out = []
                 for key, size in part.iloc[start : start + 100].itertuples(index=False):
                     h, w = 24 + int(size), 30 + int(size) * 2
-                    y, x, c = np.mgrid[0:h, 0:w, 0:3]
-                    out.append((key, h, w, 3, ((x * 5 + y * 3 + c * 40 + key * 11) % 256).astype(np.uint8).tobytes()))
+                    y, x, c = np.ogrid[0:h, 0:w, 0:3]
+                    out.append((key, h, w, 3, (y * 3 + (x * 5 + (c * 40 + key * 11) % 256)).astype(np.uint8).tobytes()))  # the last byte of each sum
                 yield pd.DataFrame(out, columns=["image_id", "height", "width", "nChannels", "data"])
 
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
