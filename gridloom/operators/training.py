@@ -1,11 +1,13 @@
 """Training of a head with any number of classes over frozen features, batch by batch.
 
-`Head` is the last, fully connected layer of a network: the parameters it learns fit the driver, whatever the table's size. A step sends
-them to the tasks that hold the batch's rows; each returns one row of summed gradients, losses and hits, and these rows are added up in a
-tree, at most `FAN` of them by the driver. Adam then changes the parameters, which go on to the next batch and epoch. So a step
-is one Spark job over one batch: with millions of rows in a batch, all executors work on it; small batches make many short jobs.
+`Head` is the last, fully connected layer of a network: the parameters it learns fit the driver, whatever the table's size. An epoch is one
+barrier stage: each task streams its share of every batch, adds up gradients, losses and hits, and meets the others for their sum after each
+batch; all then take the same step of Adam. So a step costs a message to and from each task, not a job, and large batches have all tasks at work.
 
-The rows of all epochs' batches are written once, sorted by batch, so a step reads the row groups of its batch only. Each epoch
+Heads of more than `TOGETHER` parameters, and sessions with dynamic allocation, which know no barriers, make one job for each step: tasks
+return rows of sums, which are added up in a tree, at most `FAN` of them by the driver, where Adam changes the parameters.
+
+The rows of all epochs' batches are written once, sorted by batch, so an epoch, or a step that is a job, reads its own row groups only. Each epoch
 deals the rows to batches in another order (`sampling.epoch_batches`). A fitted body is any function from a matrix of inputs to a matrix
 of features; it is applied inside the tasks.
 
@@ -17,11 +19,16 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import secrets
+import socket
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +39,10 @@ from gridloom.operators import evaluation, sampling
 Body = Callable[[np.ndarray], np.ndarray]
 #: Rows of sums that are added up by one task, or by the driver.
 FAN = 64
+#: Parameters of a head that tasks exchange after each batch; with more, a step is a job.
+TOGETHER = 1 << 15
+#: Rows of a batch that are worth a task.
+SHARE = 16
 
 
 @dataclass
@@ -157,8 +168,96 @@ def _by_batch(rows: DataFrame, features: str, label: str, key: str, size: int, s
     return tables.written(d.select("epoch", "batch", "x", "y"), "batches")
 
 
-def _epoch(batches: DataFrame, epoch: int, last: int, head: Head, adam: Adam) -> tuple[Head, list[np.ndarray]]:
-    """One step for each batch; the head after them, and rows, loss and hits of each batch before its step."""
+def _plain(c: Connection) -> Connection:
+    """c, which sends at once."""
+    with socket.socket(fileno=os.dup(c.fileno())) as s:
+        s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return c
+
+
+def _adder(context: BarrierTaskContext) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that each task of the stage calls as often as the others, for the sum of what they give; the first task adds, in the order of tasks."""
+    hosts, me = [t.address.rsplit(":", 1)[0] for t in context.getTaskInfos()], context.partitionId()
+    if len(hosts) == 1:
+        return lambda mine: mine
+    secret = secrets.token_hex(16)
+    home = Listener(("0.0.0.0", 0), backlog=len(hosts), authkey=secret.encode()) if me == 0 else None
+    port, key = context.allGather(f"{home.address[1]} {secret}" if home else "")[0].split()
+    if not home:
+        there = _plain(Client((hosts[0], int(port)), authkey=key.encode()))
+        there.send_bytes(str(me).encode())
+
+        def added(mine: np.ndarray) -> np.ndarray:
+            there.send_bytes(mine.tobytes())
+            return np.frombuffer(there.recv_bytes())
+
+        return added
+    came = [_plain(home.accept()) for _ in hosts[1:]]
+    others = [came[k] for _, k in sorted((int(c.recv_bytes()), k) for k, c in enumerate(came))]
+
+    def add(mine: np.ndarray) -> np.ndarray:
+        total = mine
+        for c in others:
+            total = total + np.frombuffer(c.recv_bytes())
+        for c in others:
+            c.send_bytes(total.tobytes())
+        return total
+
+    return add
+
+
+def _shares(arrow: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """batch, x and y of rows that are sorted by batch; a batch may come in several pieces."""
+    for some in arrow:
+        batch = some.column("batch").to_numpy()
+        cuts = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(batch)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < j:
+                yield int(batch[i]), _matrix(some.column("x").slice(i, j - i)), some.column("y").slice(i, j - i).to_numpy()
+
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that run at once, 0 where their number may change."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    context = spark.sparkContext._jsc.sc()
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
+def _epoch(batches: DataFrame, epoch: int, last: int, head: Head, adam: Adam, size: int) -> tuple[Head, list[np.ndarray]]:
+    """One step for each batch of `size` rows; the head after them, and rows, loss and hits of each batch before its step."""
+    many = min(_slots(batches.sparkSession), -(-size // SHARE))
+    if last < 0:
+        return head, []
+    if head.flat.size > TOGETHER or not many:
+        return _epoch_by_jobs(batches, epoch, last, head, adam)
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        added, shares, values, now, said = _adder(context), _shares(arrow), head.flat, head, []
+        share = next(shares, None)
+        for batch in range(last + 1):
+            mine = np.zeros(3 + values.size)
+            while share and share[0] == batch:
+                mine += _sums(now, *share[1:], True)
+                share = next(shares, None)
+            s = added(mine)
+            said.append(s[:3])
+            values = adam.step(values, s[3:] / s[0])
+            now = head.with_flat(values)
+        if context.partitionId() == 0:
+            rows = [*said, np.concatenate([values, adam.first, adam.second])]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["k", "s"])
+
+    own = batches.filter(F.col("epoch") == epoch).select("batch", "x", "y").repartition(many).sortWithinPartitions("batch")
+    got = [np.array(r["s"]) for r in sorted(own.mapInArrow(run, "k long, s array<double>", barrier=True).collect())]
+    values, adam.first, adam.second = np.split(got[-1], 3)
+    adam.steps += last + 1
+    return head.with_flat(values), got[:-1]
+
+
+def _epoch_by_jobs(batches: DataFrame, epoch: int, last: int, head: Head, adam: Adam) -> tuple[Head, list[np.ndarray]]:
+    """The same with a job for each step."""
     values, said = head.flat, []
     for batch in range(last + 1):
         s = summed(batches.filter((F.col("epoch") == epoch) & (F.col("batch") == batch)), head, gradients=True)
@@ -182,7 +281,7 @@ def fine_tuned(
     last = batches.agg(F.max("batch")).first()[0]
     adam, best, best_head, series = Adam(head.flat.size, rate), 0.0, head, []
     for epoch in range(1, epochs + 1):
-        head, said = _epoch(batches, epoch, -1 if last is None else last, head, adam)
+        head, said = _epoch(batches, epoch, -1 if last is None else last, head, adam, batch_size)
         n, loss, hits = np.sum(said, axis=0) if said else np.zeros(3)
         v_n, v_loss, v_hits = summed(held, head)
         accuracy = float(v_hits / max(v_n, 1))
@@ -201,7 +300,7 @@ def prototype(rows: DataFrame, features: str, label: str, key: str, head: Head,
     last = batches.agg(F.max("batch")).first()[0]
     adam, series = Adam(head.flat.size, rate), []
     for epoch in range(1, epochs + 1):
-        head, said = _epoch(batches, epoch, -1 if last is None else last, head, adam)
+        head, said = _epoch(batches, epoch, -1 if last is None else last, head, adam, batch_size)
         series += [(epoch, k, int(n), float(loss / n)) for k, (n, loss, _) in enumerate(said)]
     return head, rows.sparkSession.createDataFrame(series, "epoch int, batch int, n long, loss double")
 
