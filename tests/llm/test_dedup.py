@@ -34,6 +34,18 @@ def test_suffixes(spark, window, gram, most):
     assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == corpus.removed_bytes(plain(), window)
 
 
+def test_planted_passages_go_by_bytes_not_words(spark):
+    """op10: a passage of over 50 words that stands in two documents stays whole below 400 bytes, as the contract counts bytes, and goes from 400 on."""
+    texts = {}
+    for k, n in enumerate((399, 400, 401)):
+        p = " ".join(f"{k}w{i:03}" for i in range(80))[: n - 1] + "."
+        assert len(p) == n and len(p.split()) > 50
+        texts |= {2 * k: f"{k}a{p}b{k}", 2 * k + 1: f"{k}c{p}d{k}"}
+    got = suffixes.remove_repeated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0, 2: 400, 3: 400, 4: 401, 5: 401}
+    assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == corpus.removed_bytes(texts, 400)
+
+
 def test_suffix_order_and_matches():
     r = np.random.default_rng(1)
     strings = [bytes(r.integers(97, 99, r.integers(0, 12), dtype=np.uint8)) for _ in range(60)]
