@@ -7,6 +7,7 @@ for categories, events for road-scene labels and embeddings for class scores.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -269,6 +270,12 @@ def r23b_pixel_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.nearest(_pixels(spark, sf_dir), F.col("y") + 1, F.col("x") + 1, 5, 20)
 
 
+@lru_cache(64)
+def _pattern(h: int, w: int) -> np.ndarray:
+    y, x, c = np.ogrid[0:h, 0:w, 0:3]
+    return (y * 3 + x * 5 + c * 40).astype(np.uint8)
+
+
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic BGR rasters, one for each part."""
 
@@ -278,8 +285,7 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out = []
                 for key, size in part.iloc[start : start + 100].itertuples(index=False):
                     h, w = 24 + int(size), 30 + int(size) * 2
-                    y, x, c = np.ogrid[0:h, 0:w, 0:3]
-                    out.append((key, h, w, 3, (y * 3 + (x * 5 + (c * 40 + key * 11) % 256)).astype(np.uint8).tobytes()))  # the last byte of each sum
+                    out.append((key, h, w, 3, (_pattern(h, w) + np.uint8(key * 11 % 256)).tobytes()))  # the last byte of each sum
                 yield pd.DataFrame(out, columns=["image_id", "height", "width", "nChannels", "data"])
 
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
